@@ -1,15 +1,19 @@
-"""What the two substring operators share: segments of windows, their classes, and the removal of covered units.
+"""What the two substring operators share: segments of windows, their classes, and what later occurrences lose.
 
 A window is `span` consecutive units (bytes or words) of one document. Neighbouring windows whose smallest inner k-gram
 hash is the same occurrence form a segment; the hash is the segment's bucket. The bucket and a window's offset to it
 depend on the window's content alone, so equal windows are in segments of one bucket wherever they stand. Segments with
-the same content form a class, whose leader is its first occurrence: copies, however many, meet as one row for each
-map task. Only buckets with several classes need their windows compared.
+the same content form a class, whose leader is its first occurrence: copies, however many, meet as one partial minimum
+for each map task. Only buckets with several classes need their windows compared, class by class and not copy by copy.
+
+A document then only needs to know its leaders: every other candidate segment of it occurs earlier as a whole, and
+of a leader those windows that the comparison found in an earlier class. So no row is ever sent for a copy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -18,16 +22,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm import staging
+from scanloom.llm import textkernel as tk
 
 #: Classes whose content a map task remembers to have handed on; forgetting them costs a repeated row, no result.
 REMEMBERED = 200_000
 
-SEGMENTS = "h long, c binary, doc_id long, th long, s int, n int, body binary"
+
+@dataclass
+class Segments:
+    """Candidate segments of a block of documents. s: first window, as a unit of the block; n: windows; h: bucket;
+    begin: first unit of each document, and the number of units; same: equal for equal contents; body: contents."""
+
+    s: np.ndarray
+    n: np.ndarray
+    h: np.ndarray
+    begin: np.ndarray
+    same: np.ndarray
+    body: Callable[[np.ndarray], list[bytes]]
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.searchsorted(self.begin, self.s, "right") - 1
+
+
+Segmenter = Callable[[np.ndarray, np.ndarray, staging.Sketch], Segments]
+Resolver = Callable[[list[tuple[bytes, int, int]]], Iterator[tuple[int, np.ndarray]]]
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text, with which rows that share a doc_id stay apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def smallest(grams: np.ndarray, width: int) -> np.ndarray:
@@ -62,41 +85,70 @@ def inside(off: np.ndarray, n: int, span: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-class Emitter:
-    """Makes rows of segments; the content of a class goes out once."""
-
-    def __init__(self) -> None:
-        self.known: set[bytes] = set()
-
-    def batch(self, h: np.ndarray, bodies: list[bytes], doc: list, th: list, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        c = [blake2b(x, digest_size=16).digest() for x in bodies]
-        out: list[bytes | None] = []
-        for key, body in zip(c, bodies, strict=True):
-            if key in self.known:
-                out.append(None)
-            else:
-                self.known.add(key)
-                out.append(body)
-        return pa.record_batch({"h": pa.array(h.view(np.int64)), "c": pa.array(c, pa.binary()), "doc_id": pa.array(doc, pa.int64()), "th": pa.array(th, pa.int64()), "s": pa.array(s.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "body": pa.array(out, pa.binary())})
-
-
-Resolver = Callable[[list[tuple[bytes, int, int]]], Iterator[tuple[int, np.ndarray]]]
-
-
-def covered(segments: DataFrame, span: int, resolver: Resolver, by_start: bool, batch_bytes: int, slices: int) -> DataFrame:
-    """(doc_id, th, a, b): ranges of units that lie in a window which occurs earlier; ranges may overlap.
-
-    by_start: a document's own earlier windows count too. resolver: gets classes (content, doc_id, start of the leader)
-    of whole buckets, gives (number of the class, windows that have an earlier equal); it sees at most batch_bytes, or
-    one bucket.
+def _over(docs: DataFrame, segment: Segmenter, cast, wanted, row: Callable, schema: str) -> DataFrame:
+    """mapInArrow over the candidate segments of documents with an id, without those that repeat the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, more = staging.with_sketch(cast), staging.with_sketch(wanted) if wanted else None
+        known: set[bytes] = set()
+        for b in batches:
+            raw, off = tk.utf8(b.column("text"))
+            ids = b.column("doc_id")
+            named, number = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            for i, j in tk.blocks(off):
+                g = segment(raw[off[i] : off[j]], off[i : j + 1] - off[i], seen)
+                doc = g.doc
+                ok = named[i:j][doc]
+                if len(g.s) > 1:
+                    ok[1:] &= ~((g.same[1:] == g.same[:-1]) & (doc[1:] == doc[:-1]) & (g.s[1:] == g.s[:-1] + g.n[:-1]))
+                if more:
+                    ok &= more.repeated(g.h)
+                at = np.flatnonzero(ok)
+                if len(at):
+                    bodies = g.body(at)
+                    c = [blake2b(x, digest_size=16).digest() for x in bodies]
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    yield row(g.h[at], c, bodies, number[i:j][doc[at]], g.s[at] - g.begin[doc[at]], known)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _places(h, c, bodies, doc, s, known) -> pa.RecordBatch:
+    return pa.record_batch({"h": pa.array(h.view(np.int64)), "c": pa.array(c, pa.binary()), "doc_id": pa.array(doc), "s": pa.array(s.astype(np.int32))})
+
+
+def _bodies(h, c, bodies, doc, s, known) -> pa.RecordBatch:
+    fresh = []
+    for k, x in enumerate(c):
+        if x not in known:
+            known.add(x)
+            fresh.append(k)
+    return pa.record_batch({"c": pa.array([c[k] for k in fresh], pa.binary()), "body": pa.array([bodies[k] for k in fresh], pa.binary())})
+
+
+def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], segment: Segmenter, resolver: Resolver, batch_bytes: int):
+    """(table of the leaders, broadcast sketch of the buckets). A row: doc_id, s, h and inner, windows (a to b) of the
+    segment that occur in an earlier class.
+
+    hashes: what to count to find candidates. resolver: gets classes (content, doc_id and start of the leader) of whole
+    buckets and gives (number of the class, windows that have an earlier equal); it sees at most batch_bytes, or one bucket.
     """
-    first = F.min(F.struct("doc_id", F.col("s").alias("s"))) if by_start else F.min(F.struct("doc_id", F.lit(0).alias("s")))
-    classes = staging.staged(segments.groupBy("h", "c").agg(first.alias("lead")).select("h", "c", F.col("lead.doc_id").alias("lead"), F.col("lead.s").alias("lead_s")), "classes")
-    several = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    bodies = segments.where("body is not null").select("c", "body")
-    rows = classes.join(several, "h", "left_semi").join(bodies, "c").select("h", "c", "lead", "lead_s", "body").repartition(slices, "h").sortWithinPartitions("h", "c")
+    parts, log = staging.slices(docs), staging.log_bits(docs)
+    cast = staging.sketch(docs.mapInArrow(lambda it: staging.packed(hashes(it), parts), staging.PACKED), parts, log)
+    places = _over(docs, segment, cast, None, _places, "h long, c binary, doc_id long, s int")
+    classes = places.groupBy("h", "c").agg(F.min(F.struct("doc_id", "s")).alias("lead"))
+    classes = staging.staged(classes.select("h", "c", F.col("lead.doc_id").alias("doc_id"), F.col("lead.s").alias("s")), "classes")
+    # classes are distinct, so a bucket that is counted twice has several
+    several = staging.sketch(classes.select("h").mapInArrow(lambda it: staging.packed((x.column("h").to_numpy().view(np.uint64) for x in it), parts), staging.PACKED), parts, log)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = staging.with_sketch(several)
+        for x in batches:
+            yield x.filter(pa.array(seen.repeated(x.column("h").to_numpy().view(np.uint64))))
+
+    bodies = _over(docs, segment, cast, several, _bodies, "c binary, body binary")
+    rows = classes.mapInArrow(shared, classes.schema).join(bodies, "c").repartition(4 * parts, "h").sortWithinPartitions("h", "c")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int, int]] = []
@@ -113,36 +165,74 @@ def covered(segments: DataFrame, span: int, resolver: Resolver, by_start: bool,
             if c:
                 yield pa.record_batch({"c": pa.array(c, pa.binary()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
 
-        for batch in batches:
-            for h, c, lead, lead_s, body in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "lead", "lead_s", "body")), strict=True):
+        for batch in (p for x in batches for p in pieces(x, 4096)):
+            for h, c, doc, s, body in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "doc_id", "s", "body")), strict=True):
                 if h != last_h and size >= batch_bytes:
                     yield from flush()
                     held, names, size = [], [], 0
                 if c != last_c:
-                    held.append((body, lead, lead_s))
+                    held.append((body, doc, s))
                     names.append(c)
                     size += len(body)
                 last_h, last_c = h, c
         if held:
             yield from flush()
 
-    inner = rows.mapInArrow(resolve, "c binary, a int, b int").groupBy("c").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
-    known = classes.select("c", "lead", "lead_s").join(inner, "c", "left")
-    later = (F.col("doc_id") > F.col("lead")) | ((F.col("doc_id") == F.col("lead")) & (F.col("s") > F.col("lead_s")) & F.lit(by_start))
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))
-    at = segments.select("c", "doc_id", "th", "s", "n").join(known, "c").withColumn("r", F.explode(F.when(later, whole).otherwise(F.col("inner"))))
-    return at.select("doc_id", "th", (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b") + span).alias("b"))
+    inner = rows.select("h", "c", "doc_id", "s", "body").mapInArrow(resolve, "c binary, a int, b int").groupBy("c").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
+    return classes.join(inner, "c", "left").select("doc_id", "s", "h", "inner"), cast
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """docs (as prepared() gives them) with an array of the ranges of each; one document's ranges are bounded by its length."""
-    of = ranges.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    return docs.join(of, (docs["doc_id"] == of["d"]) & (docs["th"] == of["t"]), "left").select("doc_id", "text", "ranges")
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, most):
+        yield batch.slice(k, most)
 
 
-def keep_mask(n: int, ranges: list[dict] | None) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    for r in ranges or ():
-        edge[r["a"]] += 1
-        edge[r["b"]] -= 1
-    return np.cumsum(edge[:-1]) == 0
+def removed(docs: DataFrame, found: DataFrame, cast, segment: Segmenter, span: int, each: bool, row: Callable, schema: str) -> DataFrame:
+    """docs through row(batch, raw, off, gone, begin): gone has a bit for each unit of a block of rows.
+
+    each: all of a document's segments with a leader's content stay, not only the first.
+    """
+    of = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("s", "h", "inner")).alias("own"))
+    both = docs.join(of, docs["doc_id"] == of["d"], "left").select("doc_id", "text", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = staging.with_sketch(cast)
+        for b in (p for x in batches for p in pieces(x, 1024)):
+            raw, off = tk.utf8(b.column("text"))
+            named = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            for i, j in tk.blocks(off):
+                part = b.slice(i, j - i)
+                text, begin = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+                g = segment(text, begin, seen)
+                doc = g.doc
+                n_units = int(g.begin[-1])
+                window = np.zeros(n_units + 1, np.int64)
+                ok = named[i:j][doc]
+                np.add.at(window, g.s[ok], 1)
+                np.add.at(window, g.s[ok] + g.n[ok], -1)
+                dup = np.cumsum(window[:-1]) > 0
+                lists = part.column("own")
+                flat, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                where = np.repeat(np.arange(j - i), counts)
+                s, h, inner = flat.field("s").to_numpy() + g.begin[:-1][where], flat.field("h").to_numpy().view(np.uint64), flat.field("inner")
+                at = np.minimum(np.searchsorted(g.s, s), max(0, len(g.s) - 1))
+                real = (g.s[at] == s) & (g.h[at] == h) if len(g.s) else np.zeros(len(s), bool)
+                some = inner.is_valid().to_numpy(zero_copy_only=False)
+                for k in np.flatnonzero(real):
+                    q = at[k]
+                    alike = [q]
+                    if each:
+                        lo, hi = np.searchsorted(g.s, [g.begin[where[k]], g.begin[where[k] + 1]])
+                        alike = lo + np.flatnonzero(g.same[lo:hi] == g.same[q])
+                    again = [(x["a"], x["b"]) for x in inner[int(k)].as_py()] if some[k] else []
+                    for x in alike:
+                        dup[g.s[x] : g.s[x] + g.n[x]] = False
+                        for a, z in again:
+                            dup[g.s[x] + a : g.s[x] + z + 1] = True
+                starts = np.flatnonzero(dup)
+                unit = np.zeros(n_units + span + 1, np.int64)
+                np.add.at(unit, starts, 1)
+                np.add.at(unit, starts + span, -1)
+                yield row(part, text, begin, np.cumsum(unit[:n_units]) > 0, g.begin)
+
+    return both.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ the match is extended: every SPAN-word window that holds one is a candidate and
 segments of repeats.py.
 
 Defined results: a null text has no words; a row with a null doc_id is neither earlier nor later than others and stays
-whole; rows that share doc_id and text are the same document; a document shorter than SPAN words stays whole.
+whole; repeated rows are the same document; a document shorter than SPAN words stays whole.
 """
 
 from __future__ import annotations
@@ -43,52 +43,46 @@ def _anchors(words: np.ndarray, first: np.ndarray, anchor: int, period: int, cov
     return at, h[at]
 
 
-def removed_ranges(docs: DataFrame, span: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """(doc_id, th, a, b) in words; docs as repeats.prepared() gives them."""
-    if span < period:
-        raise ValueError("a window must be at least as long as the cover's period")
-    anchor, gram = span - period + 1, min(GRAM, span)
-    parts, log = staging.slices(docs), staging.log_bits(docs)
+class _Cover:
+    """The two passes over blocks that a cover asks for."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in batches:
-            raw, off = tk.utf8(b.column("text"))
-            for i, j in tk.blocks(off):
-                _, _, first, words = _block(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield _anchors(words, first, anchor, period, cover)[1]
-
-    cast = staging.sketch(docs.mapInArrow(lambda it: staging.packed(hashes(it), parts), staging.PACKED), parts, log)
+    def __init__(self, span: int, period: int, cover: tuple[int, ...]) -> None:
+        if span < period:
+            raise ValueError("a window must be at least as long as the cover's period")
+        self.span, self.period, self.cover, self.anchor, self.gram = span, period, cover, span - period + 1, min(GRAM, span)
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, emit = staging.with_sketch(cast), repeats.Emitter()
+    def hashes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             raw, off = tk.utf8(b.column("text"))
-            ids, ths = b.column("doc_id").to_pylist(), b.column("th").to_pylist()
             for i, j in tk.blocks(off):
-                own = raw[off[i] : off[j]]
-                starts, ends, first, words = _block(own, off[i : j + 1] - off[i])
-                at, h = _anchors(words, first, anchor, period, cover)
-                at = at[seen.repeated(h)]
-                n = len(words) - span + 1
-                if not len(at) or n <= 0:
-                    continue
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, np.maximum(at - (span - anchor), 0), 1)
-                np.add.at(edge, at + 1, -1)
-                ok = (np.cumsum(edge[:-1]) > 0) & repeats.inside(first, len(words), span)
-                grams = tk.window_hashes(words, gram)
-                place = repeats.smallest(grams, span - gram + 1)
-                s, size = repeats.runs(ok[:n], place[:n])
-                doc = np.searchsorted(first, s, "right") - 1
-                named = np.array([ids[i + d] is not None for d in range(j - i)], bool)[doc]
-                s, size, doc = s[named], size[named], doc[named]
-                if len(s):
-                    text = own.tobytes()
-                    bodies = [b" ".join(text[x:y].split()) for x, y in zip(starts[s].tolist(), ends[s + size + span - 2].tolist(), strict=True)]
-                    yield emit.batch(grams[place[s]], bodies, [ids[i + d] for d in doc], [ths[i + d] for d in doc], s - first[doc], size)
-
-    segments = staging.staged(docs.mapInArrow(candidates, repeats.SEGMENTS), "segments")
-
+                _, _, first, words = _block(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                yield _anchors(words, first, self.anchor, self.period, self.cover)[1]
+
+    def segment(self, raw: np.ndarray, off: np.ndarray, seen: staging.Sketch) -> repeats.Segments:
+        """Segments of the windows that hold an anchor which occurs again."""
+        starts, ends, first, words = _block(raw, off)
+        at, h = _anchors(words, first, self.anchor, self.period, self.cover)
+        at = at[seen.repeated(h)]
+        n, span = len(words) - self.span + 1, self.span
+        if not len(at) or n <= 0:
+            none = np.empty(0, np.int64)
+            return repeats.Segments(none, none, none.view(np.uint64), first, none, lambda ks: [])
+        edge = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edge, np.maximum(at - (span - self.anchor), 0), 1)
+        np.add.at(edge, at + 1, -1)
+        ok = (np.cumsum(edge[:-1]) > 0) & repeats.inside(first, len(words), span)
+        grams = tk.window_hashes(words, self.gram)
+        place = repeats.smallest(grams, span - self.gram + 1)
+        s, size = repeats.runs(ok[:n], place[:n])
+
+        def body(ks: np.ndarray) -> list[bytes]:
+            text = raw.tobytes()
+            return [b" ".join(text[x:y].split()) for x, y in zip(starts[s[ks]].tolist(), ends[s[ks] + size[ks] + span - 2].tolist(), strict=True)]
+
+        return repeats.Segments(s, size, grams[place[s]], first, tk.run_hashes(words, s, s + size + span - 1), body)
+
+
+def _compare(span: int):
     def compare(classes: list[tuple[bytes, int, int]]) -> Iterator[tuple[int, np.ndarray]]:
         least: dict[bytes, int] = {}
         windows = []
@@ -104,24 +98,22 @@ def removed_ranges(docs: DataFrame, span: int = 50, period: int = PERIOD, cover:
             if found:
                 yield k, np.array(found)
 
-    return repeats.covered(segments, span, compare, False, 4 << 20, 4 * parts)
+    return compare
 
 
-def dedup(docs: DataFrame, span: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, text (the kept words, joined by one space) and kept_sha256 of each document."""
-    docs = repeats.prepared(docs)
+def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+    total = np.r_[0, np.cumsum(gone)][begin]
+    kept = []
+    for k in range(b.num_rows):
+        words = raw[off[k] : off[k + 1]].tobytes().split()
+        if total[k + 1] > total[k]:
+            words = [w for w, g in zip(words, gone[begin[k] : begin[k + 1]].tolist(), strict=True) if not g]
+        kept.append(b" ".join(words))
+    return pa.record_batch({"doc_id": b.column("doc_id"), "n_words": pa.array(np.diff(begin)), "n_removed": pa.array(np.diff(total)), "text": pa.array([x.decode() for x in kept], pa.string()), "kept_sha256": pa.array([sha256(x).hexdigest() for x in kept], pa.string())})
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, ranges in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                n_words.append(len(words))
-                if ranges:
-                    keep = repeats.keep_mask(len(words), ranges)
-                    words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array([x.decode() for x in kept], pa.string()), "kept_sha256": pa.array([sha256(x).hexdigest() for x in kept], pa.string())})
-
-    return repeats.with_ranges(docs, removed_ranges(docs, span)).mapInArrow(apply, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")
+
+def dedup(docs: DataFrame, span: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+    """doc_id, n_words, n_removed, text (the kept words, joined by one space) and kept_sha256 of each document."""
+    docs, passes = repeats.prepared(docs), _Cover(span, period, cover)
+    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, _compare(span), 1 << 20)
+    return repeats.removed(docs, found, cast, passes.segment, span, True, _row, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")

@@ -12,7 +12,7 @@ Files: a task's two streams are spooled files, in memory up to SPOOL bytes and b
 like a sort's spill: nothing outlives the task and no other task reads them.
 
 Defined results: texts are UTF-8 bytes, a null text is empty; a row with a null doc_id stays whole and is no other's
-copy; rows that share doc_id and text are the same document.
+copy; repeated rows are the same document.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from scanloom.llm import repeats, staging
 from scanloom.llm import textkernel as tk
 
-SPAN, GRAM = 100, 16
+SPAN, GRAM = 100, 32
 #: Bytes of segments that are sorted together, unless one bucket has more.
 BATCH_BYTES = 1 << 20
 SPOOL = 16 << 20
@@ -153,68 +153,52 @@ def earlier(classes: list[tuple[bytes, int, int]], span: int) -> Iterator[tuple[
         yield int(string[a]), offset[a:b]
 
 
-def removed_ranges(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, th, a, b) in bytes; docs as repeats.prepared() gives them."""
-    gram = min(GRAM, span)
-    parts, log = staging.slices(docs), staging.log_bits(docs)
+class _Bytes:
+    """The two passes over blocks: buckets of all segments, and segments of buckets that occur again."""
 
-    def segmented(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(raw) - span + 1
+    def __init__(self, span: int) -> None:
+        self.span, self.gram = span, min(GRAM, span)
+
+    def _all(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(raw) - self.span + 1
         if n <= 0:
             return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-        grams = tk.byte_grams(raw, gram)
-        place = repeats.smallest(grams, span - gram + 1)
-        s, size = repeats.runs(repeats.inside(off, len(raw), span)[:n], place[:n])
+        grams = tk.byte_grams(raw, self.gram)
+        place = repeats.smallest(grams, self.span - self.gram + 1)
+        s, size = repeats.runs(repeats.inside(off, len(raw), self.span)[:n], place[:n])
         return s, size, grams[place[s]]
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    def hashes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             raw, off = tk.utf8(b.column("text"))
             for i, j in tk.blocks(off):
-                yield segmented(raw[off[i] : off[j]], off[i : j + 1] - off[i])[2]
+                yield self._all(raw[off[i] : off[j]], off[i : j + 1] - off[i])[2]
 
-    cast = staging.sketch(docs.mapInArrow(lambda it: staging.packed(hashes(it), parts), staging.PACKED), parts, log)
+    def segment(self, raw: np.ndarray, off: np.ndarray, seen: staging.Sketch) -> repeats.Segments:
+        s, size, h = self._all(raw, off)
+        again = seen.repeated(h)
+        s, size, h = s[again], size[again], h[again]
+        stop = s + size + self.span - 1
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, emit = staging.with_sketch(cast), repeats.Emitter()
-        for b in batches:
-            raw, off = tk.utf8(b.column("text"))
-            ids, ths = b.column("doc_id").to_pylist(), b.column("th").to_pylist()
-            for i, j in tk.blocks(off):
-                own, begin = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-                s, size, h = segmented(own, begin)
-                again = seen.repeated(h)
-                s, size, h = s[again], size[again], h[again]
-                doc = np.searchsorted(begin, s, "right") - 1
-                named = np.array([ids[i + d] is not None for d in range(j - i)], bool)[doc]
-                s, size, h, doc = s[named], size[named], h[named], doc[named]
-                if len(s):
-                    text = own.tobytes()
-                    bodies = [text[x:y] for x, y in zip(s.tolist(), (s + size + span - 1).tolist(), strict=True)]
-                    yield emit.batch(h, bodies, [ids[i + d] for d in doc], [ths[i + d] for d in doc], s - begin[doc], size)
-
-    segments = staging.staged(docs.mapInArrow(candidates, repeats.SEGMENTS), "segments")
-    return repeats.covered(segments, span, lambda classes: earlier(classes, span), True, BATCH_BYTES, 4 * parts)
+        def body(ks: np.ndarray) -> list[bytes]:
+            text = raw.tobytes()
+            return [text[x:y] for x, y in zip(s[ks].tolist(), stop[ks].tolist(), strict=True)]
+
+        return repeats.Segments(s, size, h, off, tk.span_hashes(raw, s, stop, lower=False) if len(s) else h, body)
+
+
+def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+    total = np.r_[0, np.cumsum(gone)][begin]
+    spans, kept = [], []
+    for k in range(b.num_rows):
+        text, out = raw[off[k] : off[k + 1]], gone[off[k] : off[k + 1]]
+        spans.append(int(np.count_nonzero(out & ~np.r_[False, out[:-1]])) if len(out) else 0)
+        kept.append((text[~out] if spans[-1] else text).tobytes())
+    return pa.record_batch({"doc_id": b.column("doc_id"), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(total)), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array([sha256(x).hexdigest() for x in kept], pa.string())})
 
 
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of each document."""
-    docs = repeats.prepared(docs)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for text, ranges in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist(), strict=True):
-                raw = (text or "").encode()
-                n_bytes.append(len(raw))
-                spans = 0
-                if ranges:
-                    keep = repeats.keep_mask(len(raw), ranges)
-                    spans = int(np.count_nonzero(~keep & np.r_[True, keep[:-1]]))
-                    raw = np.frombuffer(raw, np.uint8)[keep].tobytes()
-                n_spans.append(spans)
-                n_removed.append(n_bytes[-1] - len(raw))
-                kept.append(raw)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), **{k: pa.array(v, pa.int64()) for k, v in (("n_bytes", n_bytes), ("n_removed", n_removed), ("n_spans", n_spans))}, "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array([sha256(x).hexdigest() for x in kept], pa.string())})
-
-    return repeats.with_ranges(docs, removed_ranges(docs, span)).mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    docs, passes = repeats.prepared(docs), _Bytes(span)
+    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: earlier(classes, span), BATCH_BYTES)
+    return repeats.removed(docs, found, cast, passes.segment, span, False, _row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
