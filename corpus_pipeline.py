@@ -1,10 +1,34 @@
-"""The corpus pipeline: each stage takes all that its predecessor kept, and its decisions take effect."""
+"""The corpus pipeline: each stage takes all that its predecessor kept, and its decisions take effect.
+
+All stages but the last return the columns of documents. A stage works on whole texts of all its input; what it finds
+is judged on that input, so the similarity join sees texts after line deduplication.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scanloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go; lang becomes what was recognised."""
+    model = language_id.train(docs)
+    out = language_id.predict(docs, model)
+    kept = out.where(F.col("lang_pred") != language_id.UNKNOWN) if model else out
+    return kept.withColumn("lang", F.col("lang_pred") if model else F.col("lang")).select(docs.columns)
+
 
-from scanloom.llm import decontaminate
+def line_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Chunks of lines that occur earlier are cut out; documents of which nothing stays go."""
+    out = line_dedup.dedup(docs).where((F.col("n_removed_chunks") == 0) | F.col("text").rlike(r"\S"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays."""
+    return jaccard_join.representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,9 +36,20 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark_decontamination", decontaminated)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their bins."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identified),
+    ("line_dedup", line_deduplicated),
+    ("ngram_jaccard_join", near_deduplicated),
+    ("benchmark_decontamination", decontaminated),
+    ("best_fit_packing", packed),
+]
 
-#: Line chunks, similarity classes and best fit are no SQL; tests hold each stage against brute force.
+#: Language identification, similarity classes and best fit are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
