@@ -90,7 +90,7 @@ def _over(docs: DataFrame, segment: Segmenter, cast, wanted, row: Callable, sche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, more = staging.with_sketch(cast), staging.with_sketch(wanted) if wanted else None
-        known: set[bytes] = set()
+        known: set[tuple[int, int]] = set()
         for b in batches:
             raw, off = tk.utf8(b.column("text"))
             ids = b.column("doc_id")
@@ -106,25 +106,25 @@ def _over(docs: DataFrame, segment: Segmenter, cast, wanted, row: Callable, sche
                 at = np.flatnonzero(ok)
                 if len(at):
                     bodies = g.body(at)
-                    c = [blake2b(x, digest_size=16).digest() for x in bodies]
+                    c = np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in bodies]), np.int64)
                     if len(known) > REMEMBERED:
                         known.clear()
-                    yield row(g.h[at], c, bodies, number[i:j][doc[at]], g.s[at] - g.begin[doc[at]], known)
+                    yield row(g.h[at].view(np.int64), c, bodies, number[i:j][doc[at]], g.s[at] - g.begin[doc[at]], known)
 
     return docs.mapInArrow(run, schema)
 
 
 def _places(h, c, bodies, doc, s, known) -> pa.RecordBatch:
-    return pa.record_batch({"h": pa.array(h.view(np.int64)), "c": pa.array(c, pa.binary()), "doc_id": pa.array(doc), "s": pa.array(s.astype(np.int32))})
+    return pa.record_batch({"h": pa.array(h), "c": pa.array(c), "doc_id": pa.array(doc), "s": pa.array(s.astype(np.int32))})
 
 
 def _bodies(h, c, bodies, doc, s, known) -> pa.RecordBatch:
     fresh = []
-    for k, x in enumerate(c):
+    for k, x in enumerate(zip(h.tolist(), c.tolist(), strict=True)):
         if x not in known:
             known.add(x)
             fresh.append(k)
-    return pa.record_batch({"c": pa.array([c[k] for k in fresh], pa.binary()), "body": pa.array([bodies[k] for k in fresh], pa.binary())})
+    return pa.record_batch({"h": pa.array(h[fresh]), "c": pa.array(c[fresh]), "body": pa.array([bodies[k] for k in fresh], pa.binary())})
 
 
 def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], segment: Segmenter, resolver: Resolver, batch_bytes: int):
@@ -136,50 +136,55 @@ def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterat
     """
     parts, log = staging.slices(docs), staging.log_bits(docs)
     cast = staging.sketch(docs.mapInArrow(lambda it: staging.packed(hashes(it), parts), staging.PACKED), parts, log)
-    places = _over(docs, segment, cast, None, _places, "h long, c binary, doc_id long, s int")
+    # a class goes by its bucket and a digest of its content, 128 bits together
+    places = _over(docs, segment, cast, None, _places, "h long, c long, doc_id long, s int")
     classes = places.groupBy("h", "c").agg(F.min(F.struct("doc_id", "s")).alias("lead"))
     classes = staging.staged(classes.select("h", "c", F.col("lead.doc_id").alias("doc_id"), F.col("lead.s").alias("s")), "classes")
     # classes are distinct, so a bucket that is counted twice has several
     several = staging.sketch(classes.select("h").mapInArrow(lambda it: staging.packed((x.column("h").to_numpy().view(np.uint64) for x in it), parts), staging.PACKED), parts, log)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = staging.with_sketch(several)
-        for x in batches:
-            yield x.filter(pa.array(seen.repeated(x.column("h").to_numpy().view(np.uint64))))
+    def buckets(shared: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = staging.with_sketch(several)
+            for x in batches:
+                yield x.filter(pa.array(seen.repeated(x.column("h").to_numpy().view(np.uint64)) == shared))
 
-    bodies = _over(docs, segment, cast, several, _bodies, "c binary, body binary")
-    rows = classes.mapInArrow(shared, classes.schema).join(bodies, "c").repartition(4 * parts, "h").sortWithinPartitions("h", "c")
+        return classes.mapInArrow(run, classes.schema)
+
+    bodies = _over(docs, segment, cast, several, _bodies, "h long, c long, body binary")
+    mixed = buckets(True).withColumn("body", F.lit(None).cast("binary")).unionByName(bodies, allowMissingColumns=True)
+    rows = mixed.repartition(4 * parts, "h").sortWithinPartitions("h", "c", F.col("doc_id").asc_nulls_last())
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int, int]] = []
-        names: list[bytes] = []
+        names: list[int] = []
         size, last_h, last_c = 0, None, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            c, a, b = [], [], []
+            inner: list[list[dict]] = [[] for _ in held]
             for k, windows in resolver(held):
                 cut = np.flatnonzero(np.diff(windows) > 1)
-                c += [names[k]] * (len(cut) + 1)
-                a += windows[np.r_[0, cut + 1]].tolist()
-                b += windows[np.r_[cut, len(windows) - 1]].tolist()
-            if c:
-                yield pa.record_batch({"c": pa.array(c, pa.binary()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
+                inner[k] = [{"a": a, "b": b} for a, b in zip(windows[np.r_[0, cut + 1]].tolist(), windows[np.r_[cut, len(windows) - 1]].tolist(), strict=True)]
+            yield pa.record_batch({"doc_id": pa.array([x[1] for x in held], pa.int64()), "s": pa.array([x[2] for x in held], pa.int32()), "h": pa.array(names, pa.int64()), "inner": pa.array(inner, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
 
         for batch in (p for x in batches for p in pieces(x, 4096)):
             for h, c, doc, s, body in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "doc_id", "s", "body")), strict=True):
-                if h != last_h and size >= batch_bytes:
-                    yield from flush()
-                    held, names, size = [], [], 0
-                if c != last_c:
-                    held.append((body, doc, s))
-                    names.append(c)
+                if body is None:  # the class's own row comes first, then its content from one task or several
+                    if h != last_h and size >= batch_bytes:
+                        yield from flush()
+                        held, names, size = [], [], 0
+                    lead, last_h, last_c, new = (doc, s), h, c, True
+                elif new and (h, c) == (last_h, last_c):
+                    held.append((body, *lead))
+                    names.append(h)
                     size += len(body)
-                last_h, last_c = h, c
+                    new = False
         if held:
             yield from flush()
 
-    inner = rows.select("h", "c", "doc_id", "s", "body").mapInArrow(resolve, "c binary, a int, b int").groupBy("c").agg(F.collect_list(F.struct("a", "b")).alias("inner"))
-    return classes.join(inner, "c", "left").select("doc_id", "s", "h", "inner"), cast
+    inner = rows.select("h", "c", "doc_id", "s", "body").mapInArrow(resolve, "doc_id long, s int, h long, inner array<struct<a:int,b:int>>")
+    alone = buckets(False).select("doc_id", "s", "h", F.lit(None).cast("array<struct<a:int,b:int>>").alias("inner"))
+    return inner.unionByName(alone), cast
 
 
 def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:

@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from scanloom.llm import repeats, staging
 from scanloom.llm import textkernel as tk
 
-SPAN, GRAM = 100, 32
+SPAN, GRAM = 100, 48
 #: Bytes of segments that are sorted together, unless one bucket has more.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 128 << 10
 SPOOL = 16 << 20
 
 
@@ -54,34 +54,45 @@ class _Stream:
 
 
 def collection_bwt(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The transform (0 before a whole string, else byte + 1), the common prefixes up to cap, and the places of the
-    whole strings among all sorted suffixes, the empty ones first."""
+    """The transform (0 before a whole string, else the rank of a byte among those that occur, from 1), the common
+    prefixes up to cap, and the places of the whole strings among all sorted suffixes, the empty ones first."""
     m = len(strings)
     size = np.array([len(x) for x in strings], np.int64)
-    text = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + np.uint16(1)
+    raw = np.frombuffer(b"".join(strings), np.uint8)
+    there = np.zeros(256, bool)
+    there[raw] = True
+    kind = np.uint8 if there.sum() < 256 else np.uint16
+    text = np.cumsum(there).astype(kind)[raw]
     end = np.cumsum(size)
-    symbols, prefixes = _Stream(np.uint16), _Stream(np.uint8)
+    symbols, prefixes = _Stream(kind), _Stream(np.uint8)
     symbols.replace(np.zeros(m))
-    prefixes.replace(np.zeros(m))
+    prefixes.replace(np.zeros(m + 1))  # one more at the end, which closes ranges
     place = np.arange(m)
+    by_size = np.argsort(-size, kind="stable")
+    n_live = np.searchsorted(-size[by_size], -np.arange(int(size.max(initial=0)) + 2), "right")
+    owner = np.zeros(len(raw) + m, np.int32)
     for r in range(1, int(size.max(initial=0)) + 1):
-        live = np.flatnonzero(size >= r)
+        live = by_size[: n_live[r]]
         bwt, lcp = symbols.read().copy(), prefixes.read()
-        bwt[place[live]] = text[end[live] - r]
+        here = place[live]
+        bwt[here] = text[end[live] - r]
         n = len(bwt)
         order = np.argsort(bwt, kind="stable")
-        whole = n - np.count_nonzero(bwt)
-        to = np.empty(n, np.int64)
-        to[order] = np.arange(n) + (m - whole)
-        new = to[place[live]]
-        by_new = np.argsort(new)
-        new, live = new[by_new], live[by_new]
-        at = new - (m - whole)  # where order has the shorter suffixes
-        here = place[live]
+        whole = m - len(live)
+        last = np.zeros(n, bool)
+        last[here] = True
+        owner[here] = live
+        at = np.flatnonzero(last[order])  # where the order has the shorter suffixes; the longer ones come after the empty ones
+        here = order[at]
+        live = owner[here]
+        new = at + (m - whole)
 
         def common(first: np.ndarray, second: np.ndarray) -> np.ndarray:
             """One more than the least common prefix on the way between two shorter suffixes."""
-            return np.minimum(np.minimum.reduceat(np.r_[lcp, np.uint8(0)], np.stack([first + 1, second + 1], 1).ravel())[::2], cap - 1) + 1
+            both = np.empty(2 * len(first), np.int64)
+            both[::2], both[1::2] = first, second
+            both += 1
+            return np.minimum(np.minimum.reduceat(lcp, both)[::2], cap - 1) + 1
 
         before = order[np.maximum(at - 1, 0)]
         same = (at > 0) & (bwt[before] == bwt[here])
@@ -91,22 +102,21 @@ def collection_bwt(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarr
         next_same = (at + 1 < n) & (bwt[after] == bwt[here])
         old = np.ones(n + len(live), bool)
         old[new] = False
-        longer, shared = np.zeros(n + len(live), np.uint16), np.empty(n + len(live), np.uint8)
-        longer[old], shared[old] = bwt, lcp
+        longer, shared = np.zeros(n + len(live), kind), np.zeros(n + len(live) + 1, np.uint8)
+        longer[old] = bwt
+        shared[:-1][old] = lcp[:-1]
         shared[new] = own
         follow = new[next_same] + 1
         moved = common(here[next_same], after[next_same])
         free = old[follow]
         shared[follow[free]] = moved[free]
-        others = np.flatnonzero(size < r)
-        fresh = place.copy()
-        # a place moves by the new suffixes that come before it; new[k] - k is where the k-th would stand among the old
-        fresh[others] += np.searchsorted(new - np.arange(len(new)), place[others], "right")
-        fresh[live] = new
-        place = fresh
+        others = by_size[n_live[r] :]
+        if len(others):  # a place moves by the new suffixes that come before it
+            place[others] += np.searchsorted(new - np.arange(len(new)), place[others], "right")
+        place[live] = new
         symbols.replace(longer)
         prefixes.replace(shared)
-    out = symbols.read().copy(), prefixes.read().copy(), place
+    out = symbols.read().copy(), prefixes.read()[:-1].copy(), place
     symbols.close()
     prefixes.close()
     return out
