@@ -47,8 +47,8 @@ def nearest(probe: DataFrame, model: DataFrame, radius: float, by: Sequence[str]
     found = pairs(probe, model, radius, by)
     found = found.where("pid <> mid") if other else found
     rest = [c for c in found.columns if c not in ("pid", "d2", "mid", *by)]
-    best = found.groupBy("pid", *by).agg(F.min(F.struct("d2", "mid", *rest)).alias("b"))
-    return best.select("pid", *by, *[F.col(f"b.{c}").alias(c) for c in ("mid", "d2", *rest)])
+    best = found.groupBy("pid", *by).agg(F.min(F.struct("d2", "mid", *rest)).alias("__best"))
+    return best.select("pid", *by, *[F.col(f"__best.{c}").alias(c) for c in ("mid", "d2", *rest)])
 
 
 def k_nearest_within(probe: DataFrame, model: DataFrame, k: int, radius: float, by: Sequence[str] = ()) -> DataFrame:
@@ -120,8 +120,8 @@ def segment_within(points: DataFrame, a: Sequence[float], b: Sequence[float], ra
 def first_by(points: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
     """The row of each group with the smallest order, then id."""
     rest = [c for c in points.columns if c not in (order, "point_id", *by)]
-    best = points.groupBy(*by).agg(F.min(F.struct(order, "point_id", *rest)).alias("b"))
-    return best.select(*by, *[F.col(f"b.{c}").alias(c) for c in (order, "point_id", *rest)])
+    best = points.groupBy(*by).agg(F.min(F.struct(order, "point_id", *rest)).alias("__best"))
+    return best.select(*by, *[F.col(f"__best.{c}").alias(c) for c in (order, "point_id", *rest)])
 
 
 def directions_within(points: DataFrame, direction: Sequence[float], angle: float) -> DataFrame:
