@@ -9,8 +9,8 @@ then share a single rare shingle or a pair of frequent ones of a group, in both
 also indexed by its plain prefix. Shingles that occur once are covered but never indexed.
 
 Verification is staged: one representative for each distinct set; in each index list everything is first held against
-a hub of the list; what is then in the same component needs no further comparison; all other pairs of a list are
-compared. A parity bitmap of 1,024 bits bounds the symmetric difference from below and drops most false candidates
+two hubs of the list; what is then in the same component needs no further comparison; all other pairs of a list are
+compared inside the join that finds them. A parity bitmap of 1,024 bits bounds the symmetric difference from below and drops most false candidates
 before full sets are read. No link between different sets is lost, and no list is expanded into all its pairs unless its
 members are in different components.
 
@@ -25,7 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm import staging
@@ -34,8 +34,10 @@ from scanloom.llm import textkernel as tk
 #: Logarithm of the count from which a shingle is frequent, and the number of groups of frequent shingles.
 FREQUENT, GROUPS = 4, 64
 BITS = 1024
+B = [f"b{i}" for i in range(BITS // 64)]
 
-SETS = "doc_id long, n int, key binary, sigs array<long>, bits binary, tokens binary"
+#: own: shingles of the set that no other document has.
+SETS = "doc_id long, n long, own long, key binary, sigs array<long>, tokens binary, " + ", ".join(f"{b} long" for b in B)
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -115,40 +117,38 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 every = seen.order(np.concatenate(sets))
                 n = np.array([len(x) for x in sets], np.int64)
                 begin = np.r_[0, np.cumsum(n)]
-                key, sigs, bits, tokens = [], [], [], []
+                key, sigs, bits, tokens, own = [], [], [], [], []
                 for d, x in enumerate(sets):
                     s = signatures(x, every[begin[d] : begin[d + 1]], percent) if len(x) and ids[i + d].is_valid else x[:0]
                     if len(s):
                         blob = x.tobytes()
                         key.append(blake2b(blob, digest_size=16).digest())
                         sigs.append(s.view(np.int64))
-                        bits.append(np.packbits((np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes())
+                        bits.append(np.packbits((np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).astype(bool)).view(np.int64))
                         tokens.append(blob)
+                        own.append(int(np.count_nonzero(every[begin[d] : begin[d + 1]] == 0)))
                     else:
-                        for column in (key, sigs, bits, tokens):
+                        bits.append(np.zeros(len(B), np.int64))
+                        for column in (key, sigs, tokens, own):
                             column.append(None)
-                yield pa.record_batch({"doc_id": ids.slice(i, j - i), "n": pa.array(n.astype(np.int32)), "key": pa.array(key, pa.binary()), "sigs": pa.array(sigs, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
+                yield pa.record_batch({"doc_id": ids.slice(i, j - i), "n": pa.array(n), "own": pa.array(own, pa.int64()), "key": pa.array(key, pa.binary()), "sigs": pa.array(sigs, pa.list_(pa.int64())), "tokens": pa.array(tokens, pa.binary()), **dict(zip(B, map(pa.array, np.stack(bits, 1)), strict=True))})
 
     return staging.staged(docs.mapInArrow(rows, SETS), "sets")
 
 
-_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+def _plausible(percent: int) -> Column:
+    """Sizes (nx, ny) and parity bitmaps (xb*, yb*) allow a link: what the bitmaps differ in, the sets differ in."""
+    least = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
+    differ = sum((F.bit_count(F.col(f"x{b}").bitwiseXOR(F.col(f"y{b}"))) for b in B), F.lit(0))
+    return (least <= F.least("nx", "ny")) & (differ <= F.col("nx") + F.col("ny") - 2 * least)
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, indexed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): leaders of those pairs (x, y) of set keys that link."""
-    light = nodes.select("key", "n", "bits")
-    sides = pairs.join(light.toDF("x", "nx", "bx"), "x").join(light.toDF("y", "ny", "by"), "y")
+def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
+    return rows.select(*more, F.col("key").alias(s), F.col("n").alias(f"n{s}"), *[F.col(b).alias(f"{s}{b}") for b in B])
 
-    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nx, ny = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("nx", "ny"))
-            bx, by = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("bx", "by"))
-            least = _least_common(nx, ny, percent)
-            ok = (least <= np.minimum(nx, ny)) & (_ONES[bx ^ by].sum(axis=1, dtype=np.int64) <= nx + ny - 2 * least)
-            yield b.select(["x", "y"]).filter(pa.array(ok))
 
-    left = sides.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(plausible, "x binary, y binary")
+def _links(left: DataFrame, nodes: DataFrame, indexed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): leaders of those plausible pairs (x, y) of set keys that link."""
     full = indexed.join(nodes.select("key", "lead"), "key").where("doc_id = lead").select("key", "lead", "tokens").dropDuplicates(["key"])
     both = left.join(full.toDF("x", "a", "tx"), "x").join(full.toDF("y", "b", "ty"), "y").select("a", "b", "tx", "ty")
 
@@ -173,22 +173,25 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = index(docs, k, percent)
     indexed = rows.where("key is not null")
     lead = indexed.groupBy("key").agg(F.min("doc_id").alias("lead"))
-    nodes = staging.staged(indexed.join(lead, "key").where("doc_id = lead").select("key", "lead", "n", "sigs", "bits").dropDuplicates(["key"]), "nodes")
-    lists = nodes.select("key", "lead", "n", F.explode("sigs").alias("sig"))
+    nodes = staging.staged(indexed.join(lead, "key").where("doc_id = lead").select("key", "lead", "n", "own", "sigs", *B).dropDuplicates(["key"]), "nodes")
+    lists = nodes.select("key", "lead", "n", "own", F.explode("sigs").alias("sig"))
 
-    hub = lists.groupBy("sig").agg(F.min(F.struct(F.xxhash64("key", F.pmod("sig", F.lit(4))).alias("o"), "key", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    # two hubs for each list: the member with the fewest shingles of its own, which edited copies are nearest to, and a
+    # member by one of four orders
+    hubs = lists.groupBy("sig").agg(F.min(F.struct("own", "key", "n")).alias("u"), F.min(F.struct(F.xxhash64("key", F.pmod("sig", F.lit(4))).alias("o"), "key", "n")).alias("v"), F.count("*").alias("c")).where("c > 1")
+    hub = hubs.select("sig", F.explode(F.array_distinct(F.array(F.struct("u.key", "u.n"), F.struct("v.key", "v.n")))).alias("hub"))
     near = (F.col("n") * 100 >= F.col("hub.n") * percent) & (F.col("hub.n") * 100 >= F.col("n") * percent)
     star = lists.join(hub, "sig").where((F.col("key") != F.col("hub.key")) & near)
     pairs = star.select(F.least("key", "hub.key").alias("x"), F.greatest("key", "hub.key").alias("y")).distinct()
-    first = _links(pairs, nodes, indexed, percent)
+    sides = pairs.join(_side(nodes, "x"), "x").join(_side(nodes, "y"), "y").where(_plausible(percent)).select("x", "y")
+    first = _links(sides, nodes, indexed, percent)
 
     label = staging.components(first)
-    member = lists.join(label, lists["lead"] == label["node"], "left").select("sig", "key", "n", F.coalesce("component", "lead").alias("c"))
+    member = lists.join(label, lists["lead"] == label["node"], "left").select("sig", "key", F.coalesce("component", "lead").alias("c"))
     mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    member = staging.staged(member.join(mixed, "sig", "left_semi"), "members")
-    x, y = member.toDF("sig", "x", "nx", "cx"), member.toDF("sig", "y", "ny", "cy")
-    close = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
-    cross = x.join(y, "sig").where((F.col("cx") < F.col("cy")) & close).select("x", "y").distinct()
+    member = staging.staged(member.join(mixed, "sig", "left_semi").join(nodes.select("key", "n", *B), "key"), "members")
+    x, y = _side(member, "x", "sig", F.col("c").alias("cx")), _side(member, "y", F.col("sig").alias("sig_y"), F.col("c").alias("cy"))
+    cross = x.join(y, (F.col("sig") == F.col("sig_y")) & (F.col("cx") < F.col("cy")) & _plausible(percent)).select("x", "y").distinct()
     second = _links(cross, nodes, indexed, percent)
 
     label = staging.components(first.unionByName(second))
