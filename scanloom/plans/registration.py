@@ -129,9 +129,9 @@ def relax(points: DataFrame, poses: dict[int, np.ndarray], links: list[tuple[int
             mm = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
             mz = np.array([r[f"b{i}"] for i in range(6)])
             d = np.linalg.lstsq(mm, mz, rcond=None)[0]
-            ss = max(r["dd"] - d @ mz, 0.0) / max(2 * r["n"] - 3, 1)
-            if ss >= 1e-13:
-                system.append((number[r["a"]], number[r["b"]], mm / ss, mz / ss))
+            # a perfect fit has no variance; the floor keeps its weight finite
+            ss = max((r["dd"] - d @ mz) / max(2 * r["n"] - 3, 1), 1e-13)
+            system.append((number[r["a"]], number[r["b"]], mm / ss, mz / ss))
         if not system:
             break
         x = linalg.link_system(len(names), system)

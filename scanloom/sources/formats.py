@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from scanloom import schema
 
@@ -82,7 +83,7 @@ def _numbers(line: Column, n: int) -> tuple[Column, Column]:
     return fields, (F.size(fields) == n) & F.forall(fields, lambda x: x.rlike(number))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(types.ArrayType(types.DoubleType()))
 def _hexadecimal(fields: pd.Series) -> pd.Series:
     return fields.map(lambda f: [float.fromhex(x) if "x" in x.lower() else float(x) for x in f])
 
@@ -95,7 +96,7 @@ def read_text(spark: SparkSession, path: str, fmt: str, scan_id: int | None = No
     """
     f = FORMATS[fmt]
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    files = spark.read.option("wholetext", True).text(path).select("value", name.alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", name.alias("file"))
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("point_id", "line"))
     fields, ok = _numbers(F.col("line"), len(f.columns))
     blank = F.trim(F.regexp_replace("line", "#.*$", "")) == ""
@@ -147,10 +148,14 @@ def read_zip(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return modelled(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "scan_id int, point_id long, v array<double>"), f)
 
 
+def _stripped(c: str) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
     """scan_id and tx, ty, tz (units of the scan), rx, ry, rz (radians) from pose files in degrees."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(name, r"(\d+)", 1).cast("int").alias("scan_id"), F.split(F.trim("value"), r"\s+").alias("v"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(name, r"(\d+)", 1).cast("int").alias("scan_id"), F.split(_stripped("value"), r"\s+").alias("v"))
     v = lambda k: F.element_at("v", k + 1).cast("double")
     return files.select("scan_id", *[v(k).alias(c) for k, c in enumerate(("tx", "ty", "tz"))], *[F.radians(v(k + 3)).alias(c) for k, c in enumerate(("rx", "ry", "rz"))])
 
@@ -158,8 +163,8 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """scan_id, seq, m (sixteen numbers, column-major) and algo of frames files."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(name, r"(\d+)", 1).cast("int").alias("scan_id"), F.posexplode(F.split(F.trim("value"), "\n")).alias("seq", "line"))
-    v = F.split(F.trim("line"), r"\s+")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(name, r"(\d+)", 1).cast("int").alias("scan_id"), F.posexplode(F.split(_stripped("value"), "\r?\n")).alias("seq", "line"))
+    v = F.split(_stripped("line"), r"\s+")
     return files.select("scan_id", "seq", F.transform(F.slice(v, 1, 16), lambda x: x.cast("double")).alias("m"), F.element_at(v, 17).cast("int").alias("algo"))
 
 
@@ -259,7 +264,7 @@ _BACK: dict[Callable, Callable[[Column, Column, Column], tuple[Column, Column, C
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def _hex_text(x: pd.Series) -> pd.Series:
     return x.map(lambda v: float(v).hex())
 
