@@ -104,27 +104,29 @@ def _over(docs: DataFrame, segment: Segmenter, cast, wanted, row: Callable, sche
                 if more:
                     ok &= more.repeated(g.h)
                 at = np.flatnonzero(ok)
+                if more:  # a content that this task has handed on need not be cut out again
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    fresh = []
+                    for k, x in enumerate(zip(g.h[at].tolist(), g.same[at].tolist(), strict=True)):
+                        if x not in known:
+                            known.add(x)
+                            fresh.append(k)
+                    at = at[fresh]
                 if len(at):
                     bodies = g.body(at)
                     c = np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in bodies]), np.int64)
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    yield row(g.h[at].view(np.int64), c, bodies, number[i:j][doc[at]], g.s[at] - g.begin[doc[at]], known)
+                    yield row(g.h[at].view(np.int64), c, bodies, number[i:j][doc[at]], g.s[at] - g.begin[doc[at]])
 
     return docs.mapInArrow(run, schema)
 
 
-def _places(h, c, bodies, doc, s, known) -> pa.RecordBatch:
+def _places(h, c, bodies, doc, s) -> pa.RecordBatch:
     return pa.record_batch({"h": pa.array(h), "c": pa.array(c), "doc_id": pa.array(doc), "s": pa.array(s.astype(np.int32))})
 
 
-def _bodies(h, c, bodies, doc, s, known) -> pa.RecordBatch:
-    fresh = []
-    for k, x in enumerate(zip(h.tolist(), c.tolist(), strict=True)):
-        if x not in known:
-            known.add(x)
-            fresh.append(k)
-    return pa.record_batch({"h": pa.array(h[fresh]), "c": pa.array(c[fresh]), "body": pa.array([bodies[k] for k in fresh], pa.binary())})
+def _bodies(h, c, bodies, doc, s) -> pa.RecordBatch:
+    return pa.record_batch({"h": pa.array(h), "c": pa.array(c), "body": pa.array(bodies, pa.binary())})
 
 
 def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], segment: Segmenter, resolver: Resolver, batch_bytes: int):
@@ -192,6 +194,18 @@ def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, most)
 
 
+def _again(dup: np.ndarray, g: Segments, at: np.ndarray, where: np.ndarray, real: np.ndarray, inner: pa.ListArray) -> None:
+    """In dup, windows of leaders and of segments of the same document with the same content are as the leader's are."""
+    some = inner.is_valid().to_numpy(zero_copy_only=False)
+    for k in np.flatnonzero(real):
+        lo, hi = np.searchsorted(g.s, [g.begin[where[k]], g.begin[where[k] + 1]])
+        ranges = [(x["a"], x["b"]) for x in inner[int(k)].as_py()] if some[k] else []
+        for x in lo + np.flatnonzero(g.same[lo:hi] == g.same[at[k]]):
+            dup[g.s[x] : g.s[x] + g.n[x]] = False
+            for a, z in ranges:
+                dup[g.s[x] + a : g.s[x] + z + 1] = True
+
+
 def removed(docs: DataFrame, found: DataFrame, cast, segment: Segmenter, span: int, each: bool, row: Callable, schema: str) -> DataFrame:
     """docs through row(batch, raw, off, gone, begin): gone has a bit for each unit of a block of rows.
 
@@ -222,18 +236,21 @@ def removed(docs: DataFrame, found: DataFrame, cast, segment: Segmenter, span: i
                 s, h, inner = flat.field("s").to_numpy() + g.begin[:-1][where], flat.field("h").to_numpy().view(np.uint64), flat.field("inner")
                 at = np.minimum(np.searchsorted(g.s, s), max(0, len(g.s) - 1))
                 real = (g.s[at] == s) & (g.h[at] == h) if len(g.s) else np.zeros(len(s), bool)
-                some = inner.is_valid().to_numpy(zero_copy_only=False)
-                for k in np.flatnonzero(real):
-                    q = at[k]
-                    alike = [q]
-                    if each:
-                        lo, hi = np.searchsorted(g.s, [g.begin[where[k]], g.begin[where[k] + 1]])
-                        alike = lo + np.flatnonzero(g.same[lo:hi] == g.same[q])
-                    again = [(x["a"], x["b"]) for x in inner[int(k)].as_py()] if some[k] else []
-                    for x in alike:
-                        dup[g.s[x] : g.s[x] + g.n[x]] = False
-                        for a, z in again:
-                            dup[g.s[x] + a : g.s[x] + z + 1] = True
+                if each:
+                    _again(dup, g, at, where, real, inner)
+                else:
+                    q = at[real]
+                    stay = np.zeros(n_units + 1, np.int64)
+                    np.add.at(stay, g.s[q], 1)
+                    np.add.at(stay, g.s[q] + g.n[q], -1)
+                    dup &= np.cumsum(stay[:-1]) == 0
+                    ranges, many = inner.flatten(), np.where(inner.is_valid().to_numpy(zero_copy_only=False), np.diff(inner.offsets.to_numpy()), 0)
+                    ok = np.repeat(real, many)
+                    base = np.repeat(g.s[at] if len(g.s) else at, many)[ok]
+                    again = np.zeros(n_units + 1, np.int64)
+                    np.add.at(again, base + ranges.field("a").to_numpy()[ok], 1)
+                    np.add.at(again, base + ranges.field("b").to_numpy()[ok] + 1, -1)
+                    dup |= np.cumsum(again[:-1]) > 0
                 starts = np.flatnonzero(dup)
                 unit = np.zeros(n_units + span + 1, np.int64)
                 np.add.at(unit, starts, 1)
