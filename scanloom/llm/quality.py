@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.llm import staging
 from scanloom.llm import textkernel as tk
 
 #: At most so many labelled documents are fitted on, whole: those whose ids have the smallest hashes.
@@ -176,7 +177,8 @@ def posteriors(rows: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """doc_id, evidence, host_rate, path_rate, score, toxic_score and keep of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
-    rows = evidence(docs, train(docs, labels))
+    # ids and evidence, written once: sites, their strengths and the scores all read it
+    rows = staging.staged(evidence(docs, train(docs, labels)), "evidence")
     sites = posteriors(rows).toDF("h", "p", "site_n", "host_rate", "path_rate", "global_rate")
     both = rows.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
     odds = lambda c: F.log(c / (1 - c))
