@@ -88,7 +88,7 @@ def _hexadecimal(fields: pd.Series) -> pd.Series:
     return fields.map(lambda f: [float.fromhex(x) if "x" in x.lower() else float(x) for x in f])
 
 
-def read_text(spark: SparkSession, path: str, fmt: str, scan_id: int | None = None) -> DataFrame:
+def read_text(spark: SparkSession, path: str | list[str], fmt: str, scan_id: int | None = None) -> DataFrame:
     """Points of text files. point_id is the line number, which also decides what is a header: up to ten leading lines
     of a file may be no points; any later line that is none, and is not blank or a comment, fails the read.
 
