@@ -2,8 +2,7 @@
 
 Equal vectors are one point that knows its smallest ids, more than any answer can show. Centroids are fitted on a
 bounded sample by k-means with a penalty on size, so that lists come out balanced. A point near a boundary is replicated
-to several lists: those not much farther than its nearest, unless a list already chosen is nearer to the centroid than
-the point is. Centroids are found by best-first search in an in-memory neighbour graph of bounded size, for points and
+to several lists: those not much farther than its nearest, unless a list already chosen has nearly the same centroid. Centroids are found by best-first search in an in-memory neighbour graph of bounded size, for points and
 queries alike; a query visits the lists whose centroid is not farther than RATIO times its nearest. Every point is
 indexed. Lists longer than PART points are split, so that a task holds at most PART points while queries stream past.
 
@@ -28,9 +27,11 @@ from pyspark.sql import functions as F
 from scanloom.llm import staging
 
 #: The sample that centroids are fitted on, points a list should have, most centroids, and most numbers in all centroids.
-SAMPLE, LIST, CENTROIDS, NUMBERS = 20_000, 96, 8192, 4 << 20
+SAMPLE, LIST, CENTROIDS, NUMBERS = 20_000, 192, 8192, 4 << 20
 #: Most lists of a point, how much farther than the nearest they may be; most lists of a query, and its ratio.
-REPLICAS, CLOSURE, PROBES, RATIO = 6, 1.15, 40, 1.6
+REPLICAS, CLOSURE, PROBES, RATIO = 6, 1.4, 72, 1.5
+#: A list is as good as one already chosen if their centroids are nearer than this share of the point's distance.
+ALIKE = 0.2
 #: Points of a list that one task holds.
 PART = 2048
 
@@ -63,21 +64,44 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 8, weight: float = 0
 class Graph:
     """A neighbour graph of the centroids and best-first search in it, for many points at once."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = 24, entries: int = 48) -> None:
+    def __init__(self, centroids: np.ndarray, degree: int = 32, entries: int = 48) -> None:
         self.c = centroids
         k = len(centroids)
-        degree = min(degree, max(1, k - 1))
-        near = []
+        rng = np.random.default_rng(7)
+        links: list[list[int]] = [[] for _ in range(k)]
         for a in range(0, k, 1024):
             d = _distances(centroids[a : a + 1024], centroids)
-            d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-            near.append(np.argsort(d, axis=1)[:, :degree])
-        # half the links are the nearest ones; each centroid also links back to some that chose it and to a far one
-        self.near = np.concatenate(near).astype(np.int64) if k > 1 else np.zeros((1, 1), np.int64)
-        if k > degree + 1:
-            self.near[:, -1] = np.random.default_rng(7).integers(0, k, k)
+            for n, row in enumerate(d):
+                links[a + n] = self._pruned(a + n, row, rng, degree)
+        for n in range(k):  # links both ways keep every centroid within reach
+            for o in list(links[n]):
+                if n not in links[o] and len(links[o]) < 2 * degree:
+                    links[o].append(n)
+        width = max(map(len, links), default=1) or 1
+        self.near = np.array([(x + [n] * width)[:width] for n, x in enumerate(links)], np.int64)  # oneself fills up
         self.entries = np.unique(np.linspace(0, k - 1, min(k, entries)).astype(np.int64))
 
+    def _pruned(self, n: int, row: np.ndarray, rng: np.random.Generator, degree: int) -> list[int]:
+        """Near centroids in different directions, and some far ones: one is left out if a nearer one already chosen is
+        clearly nearer to it than n is."""
+        k = len(row)
+        some = np.argsort(row)[: min(k, 256)] if k <= 512 else np.unique(np.r_[np.argpartition(row, 256)[:256], rng.integers(0, k, 128)])
+        some = some[np.argsort(row[some], kind="stable")]
+        some = some[some != n]
+        out: list[int] = []
+        left = np.ones(len(some), bool)
+        while left.any() and len(out) < degree:
+            o = some[np.argmax(left)]
+            out.append(int(o))
+            left &= 1.44 * _distances(self.c[[o]], self.c[some])[0] > row[some]
+            left[some == o] = False
+        for o in some:  # fill up with the nearest
+            if len(out) >= degree // 2:
+                break
+            if int(o) not in out:
+                out.append(int(o))
+        return out
+
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and squared distances of the `width` nearest centroids found, nearest first; -1 where there are fewer."""
         n, width = len(x), min(width, len(self.c))
@@ -97,8 +121,11 @@ class Graph:
             done[rows, pick] = True
             dn = np.maximum(((x[:, None, :] - self.c[new]) ** 2).sum(2), 0)
             seen = (new[:, :, None] == ids[:, None, :]).any(2)
-            for j in range(1, new.shape[1]):
-                seen[:, j] |= new[:, j] == new[:, 0]
+            order = np.argsort(new, axis=1, kind="stable")
+            twice = np.zeros_like(seen)
+            ranked = np.take_along_axis(new, order, 1)
+            np.put_along_axis(twice, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
+            seen |= twice
             dn[seen] = np.inf
             every, dists, flags = np.concatenate([ids, new], 1), np.concatenate([dist, dn], 1), np.concatenate([done, seen], 1)
             order = np.argsort(dists, axis=1, kind="stable")[:, :width]
@@ -108,14 +135,14 @@ class Graph:
 
     def lists(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists that each point goes to."""
-        ids, d = self.search(x, max(REPLICAS, 12))
+        ids, d = self.search(x, 24)
         out = []
         for row, dist in zip(ids, d, strict=True):
             chosen: list[int] = []
             for k, c in enumerate(row.tolist()):
                 if c < 0 or dist[k] > dist[0] * CLOSURE**2 + 1e-12 or len(chosen) >= REPLICAS:
                     break
-                if all(((self.c[c] - self.c[o]) ** 2).sum() >= dist[k] for o in chosen):
+                if all(((self.c[c] - self.c[o]) ** 2).sum() >= ALIKE**2 * dist[k] for o in chosen):
                     chosen.append(c)
             out.append(np.array(chosen or [int(row[0])]))
         return out

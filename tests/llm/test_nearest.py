@@ -44,3 +44,15 @@ def test_edges(spark):
     assert got[-100] == [(x, 0.0) for x in (0, 1, *range(1001, 1009))]
     assert got[100] == [(x, round(math.sqrt(2), 9)) for x in (-100, 0, 1, *range(1001, 1008))]
     assert nearest.search(df.where("false")).count() == 0
+
+
+def test_recall_without_clusters(spark):
+    """Directions spread evenly are the hardest case: neighbours are in many lists."""
+    x = np.random.default_rng(6).normal(size=(6000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute([(k, v) for k, v in enumerate(x)])
+    got = {}
+    for r in nearest.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & {x for x, _ in v}) / 10 for q, v in want.items()]) >= 0.9
