@@ -444,12 +444,12 @@ def color_ranges(spark, d):
 
 @query()
 def normals_eigen(spark, d):
-    return rounded(features.normals(pts(spark, d), 10, 3.0), "e1", "e2", "e3", "nx", "ny", "nz").select("scan_id", "pid", "n", "e1", "e2", "e3", "nx", "ny", "nz")
+    return rounded(features.normals(pts(spark, d), 10, 2.0), "e1", "e2", "e3", "nx", "ny", "nz").select("scan_id", "pid", "n", "e1", "e2", "e3", "nx", "ny", "nz")
 
 
 @query()
 def shape_features(spark, d):
-    near = spatial.k_nearest_within(spatial.as_probe(pts(spark, d), "scan_id"), spatial.as_model(pts(spark, d), "scan_id"), 12, 3.0, by=("scan_id",))
+    near = spatial.k_nearest_within(spatial.as_probe(pts(spark, d), "scan_id"), spatial.as_model(pts(spark, d), "scan_id"), 12, 2.0, by=("scan_id",))
     return features.shape_features(features.eigen(features.moments(near, "scan_id"))).select("scan_id", "pid", "linearity", "planarity", "scattering", "eigenentropy", "curvature")
 
 
