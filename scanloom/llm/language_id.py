@@ -197,7 +197,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         return None
     names = sorted({r.lang for r in rows})
     y = np.array([names.index(r.lang) for r in rows])
-    return fit([(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32).astype(np.float64)) for r in rows], y, idf, names)
+    return fit([(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32)) for r in rows], y, idf, names)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

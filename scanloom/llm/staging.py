@@ -110,7 +110,7 @@ class Sketch:
     Both are plain functions of a hash and the same in every task, so that an order made of them is one global order.
     """
 
-    def __init__(self, bits: bytes, classes: bytes, log_bits: int) -> None:
+    def __init__(self, bits: bytearray, classes: bytearray, log_bits: int) -> None:
         self.bits, self.classes, self.log = np.frombuffer(bits, np.uint8), np.frombuffer(classes, np.uint8), log_bits
 
     def repeated(self, h: np.ndarray) -> np.ndarray:
@@ -149,7 +149,8 @@ def sketch(counted: DataFrame, parts: int, log: int):
     for r in got:
         for whole, x in ((bits, r.bits), (classes, r.classes)):
             whole[r.part * len(x) : (r.part + 1) * len(x)] = x
-    return counted.sparkSession.sparkContext.broadcast((bytes(bits), bytes(classes), log))
+    del got  # the driver holds the tables once
+    return counted.sparkSession.sparkContext.broadcast((bits, classes, log))
 
 
 def with_sketch(cast) -> Sketch:
