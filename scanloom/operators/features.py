@@ -55,6 +55,12 @@ def normals(points: DataFrame, k: int, radius: float, position: tuple[float, flo
     return away_from(eigen(moments(near, "scan_id")), position)
 
 
+def nearest_moments(points: DataFrame, k: int, radius: float) -> DataFrame:
+    """moments() of the k nearest of each point in its scan at any distance, itself among them; a scan with fewer points
+    gives all it has. The radius is where the search begins and changes no result."""
+    return spatial.k_nearest(spatial.as_probe(points, "scan_id"), spatial.as_model(points, "scan_id"), k, radius, by=("scan_id",), summary=lambda near: moments(near, "scan_id"))
+
+
 def adaptive_normals(points: DataFrame, k_min: int, k_max: int, radius: float) -> DataFrame:
     """The first k for which the smallest eigenvalue exceeds a quarter of the next and the other two are within a
     quarter of one another, else k_max; neighbours are k and the point itself."""

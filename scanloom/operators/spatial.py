@@ -10,7 +10,7 @@ that must be equal on both sides, such as the scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,19 +57,21 @@ def k_nearest_within(probe: DataFrame, model: DataFrame, k: int, radius: float,
     return pairs(probe, model, radius, by).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def k_nearest(probe: DataFrame, model: DataFrame, k: int, radius: float, by: Sequence[str] = (), rounds: int = 40) -> DataFrame:
+def k_nearest(probe: DataFrame, model: DataFrame, k: int, radius: float, by: Sequence[str] = (), rounds: int = 40, summary: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k nearest at any distance: probes with fewer than k neighbours below the radius try again with its double.
 
     A round is written to the checkpoint folder, so its plan does not grow; rounds end when every probe has its k or
-    the radius spans both clouds.
+    the radius spans both clouds. A summary makes one row of each probe's neighbours (pid, by, their number n, ...), so
+    that a round writes these rows alone.
     """
     box = probe.select(*[F.col(f"p{c}").alias(c) for c in "xyz"]).unionByName(model.select(*[F.col(f"m{c}").alias(c) for c in "xyz"])).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
     span = sum((box[c] or 0.0) ** 2 for c in "xyz") ** 0.5
     out, left = None, probe
     for _ in range(rounds):
         last = radius > span
-        found = k_nearest_within(left, model, k, radius, by).checkpoint()
-        full = found if last else found.join(found.groupBy("pid", *by).count().where(F.col("count") >= k).drop("count"), ["pid", *by], "left_semi")
+        near = k_nearest_within(left, model, k, radius, by)
+        found = (summary(near) if summary else near).checkpoint()
+        full = found if last else found.where(F.col("n") >= k) if summary else found.join(found.groupBy("pid", *by).count().where(F.col("count") >= k).drop("count"), ["pid", *by], "left_semi")
         out = full if out is None else out.unionByName(full)
         left = left.join(full.select("pid", *by).distinct(), ["pid", *by], "left_anti").checkpoint()
         if last or left.isEmpty():

@@ -444,13 +444,15 @@ def color_ranges(spark, d):
 
 @query()
 def normals_eigen(spark, d):
-    return rounded(features.normals(pts(spark, d), 10, 2.0), "e1", "e2", "e3", "nx", "ny", "nz").select("scan_id", "pid", "n", "e1", "e2", "e3", "nx", "ny", "nz")
+    """Normals from the 10 nearest of each point in its scan, at whatever distance they are."""
+    normals = features.away_from(features.eigen(features.nearest_moments(pts(spark, d), 10, 2.0)), (0.0, 0.0, 0.0))
+    return rounded(normals, "e1", "e2", "e3", "nx", "ny", "nz").select("scan_id", "pid", "n", "e1", "e2", "e3", "nx", "ny", "nz")
 
 
 @query()
 def shape_features(spark, d):
-    near = spatial.k_nearest_within(spatial.as_probe(pts(spark, d), "scan_id"), spatial.as_model(pts(spark, d), "scan_id"), 12, 2.0, by=("scan_id",))
-    return features.shape_features(features.eigen(features.moments(near, "scan_id"))).select("scan_id", "pid", "linearity", "planarity", "scattering", "eigenentropy", "curvature")
+    """Shapes of the 12 nearest of each point in its scan, at whatever distance they are."""
+    return features.shape_features(features.eigen(features.nearest_moments(pts(spark, d), 12, 2.0))).select("scan_id", "pid", "linearity", "planarity", "scattering", "eigenentropy", "curvature")
 
 
 # --- rasters
