@@ -595,9 +595,14 @@ def connected_components(spark, d):
 
 @query()
 def graph_segmentation(spark, d):
-    reduced = reduce.averages(pts(spark, d), 5.0).withColumn("point_id", F.xxhash64("scan_id", "ix", "iy", "iz"))
-    near = spatial.pairs(spatial.as_probe(reduced, "scan_id"), spatial.as_model(reduced, "scan_id"), 8.0, by=("scan_id",))
-    return segment.graph_segments(segment.distance_weights(near), 4.0)
+    """Every point, linked to its 10 nearest of its scan below 8.0; a point without a link is a segment of its own."""
+    points = pts(spark, d)
+    several = F.collect_list(F.struct("mid", "d2"))
+    near = spatial.k_nearest(spatial.as_probe(points, "scan_id"), spatial.as_model(points, "scan_id"), 11, 2.0, by=("scan_id",), summary=lambda n: n.groupBy("scan_id", "pid").agg(F.count("*").alias("n"), several.alias("near")))
+    links = near.select("scan_id", "pid", F.inline("near")).where("pid <> mid and d2 < 64")
+    links = links.select("scan_id", F.least("pid", "mid").alias("pid"), F.greatest("pid", "mid").alias("mid"), "d2").distinct()
+    segments = segment.graph_segments(segment.distance_weights(links), 4.0).withColumnRenamed("node", "point_id")
+    return points.select("scan_id", "point_id").join(segments, ["scan_id", "point_id"], "left").withColumn("segment", F.coalesce("segment", "point_id"))
 
 
 @query()
@@ -607,7 +612,8 @@ def polar_clusters(spark, d):
 
 @query()
 def dynamic_mask(spark, d):
-    p = reduce.averages(pts(spark, d), 5.0).withColumn("point_id", F.xxhash64("scan_id", "ix", "iy", "iz")).select("scan_id", "point_id", *XYZ)
+    """A decision for every point; a ray goes to each of them."""
+    p = pts(spark, d).select("scan_id", "point_id", *XYZ)
     origins = p.groupBy("scan_id").agg(F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("oz"))
     return dynamic.mask(p, origins, 5.0, window=0).select("scan_id", "point_id", "dynamic")
 
