@@ -326,9 +326,7 @@ def knn_within(spark, d):
 
 @query()
 def knn_points(spark, d):
-    p = pts(spark, d)
-    probe = spatial.as_probe(p.where("scan_id = 1"))
-    return spatial.k_nearest(probe, spatial.as_model(p.where("scan_id = 0")), 4, 1.0).select("pid", "mid", "rank", r("d2").alias("d2"))
+    return spatial.k_nearest(*_sides(spark, d), 4, 1.0).select("pid", "mid", "rank", r("d2").alias("d2"))
 
 
 @query("WITH l AS (SELECT *, (x-10)*(x-10) + (y-20)*(y-20) + (z-5)*(z-5) - pow((x-10)*0.6 + (y-20)*0.8, 2) AS d2 FROM pts) SELECT scan_id, point_id, round(greatest(d2, 0), 6) AS d2 FROM l WHERE greatest(d2, 0) < 9")
@@ -618,21 +616,38 @@ def dynamic_mask(spark, d):
     return dynamic.mask(p, origins, 5.0, window=0).select("scan_id", "point_id", "dynamic")
 
 
+def _reduced(points: DataFrame, voxel: float) -> DataFrame:
+    """Every scan as the means of its octree cells, as the reference registers scans (option -r)."""
+    return reduce.averages(points, voxel).select("scan_id", F.xxhash64("scan_id", "ix", "iy", "iz").alias("point_id"), *XYZ)
+
+
+def _scans(points: DataFrame) -> list[int]:
+    return sorted(r.scan_id for r in points.select("scan_id").distinct().collect())
+
+
 @query()
 def icp_pose(spark, d):
-    """Scan 0 moved by a small known pose and registered back onto itself; the pose and what is left of the error."""
-    model = reduce.averages(pts(spark, d).where("scan_id = 0"), 2.0).withColumn("point_id", F.xxhash64("ix", "iy", "iz")).select("point_id", *XYZ)
-    found, errors = registration.icp(model, registration.moved(model, linalg.matrix([0.3, -0.2, 0.1], [0.002, 0.003, -0.002])), 3.0, 30)
-    return spark.createDataFrame([(*[round(float(v), 4) for v in found[:3, 3]], round(errors[-1], 4), len(errors))], "tx double, ty double, tz double, rms double, iterations int")
+    """Every scan registered to its predecessor: its pose in the frame of the first, and what is left of the error."""
+    points = _reduced(pts(spark, d), 2.0).persist()
+    try:
+        errors: dict[int, list[float]] = {}
+        found = registration.register_sequence(points, _scans(points), 3.0, iterations=30, errors=errors)
+    finally:
+        points.unpersist()
+    rows = [(s, *[round(float(v), 4) for v in m[:3, 3]], round(errors[s][-1], 4) if errors.get(s) else None, len(errors.get(s, ()))) for s, m in sorted(found.items())]
+    return spark.createDataFrame(rows, "scan_id int, tx double, ty double, tz double, rms double, iterations int")
 
 
 @query()
 def relaxed_graph(spark, d):
-    """Three copies of a scan with disturbed poses, relaxed over the links of a triangle."""
-    base = reduce.averages(pts(spark, d).where("scan_id = 0"), 5.0).withColumn("point_id", F.xxhash64("ix", "iy", "iz")).select("point_id", *XYZ)
-    copies = base.withColumn("scan_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    poses = {0: np.eye(4), 1: linalg.matrix([0.2, 0.1, -0.1], [0, 0.001, 0]), 2: linalg.matrix([-0.2, 0.1, 0.1], [0.001, 0, 0])}
-    out, moves = registration.relax(copies, poses, [(0, 1), (1, 2), (0, 2)], 3.0, 6)
+    """All scans, relaxed over the links of those that overlap."""
+    points = pts(spark, d)
+    links = [(r.a, r.b) for r in registration.overlap_links(points, 1.0, 5).orderBy("a", "b").collect()]
+    reduced = _reduced(points, 5.0).persist()
+    try:
+        out, _ = registration.relax(reduced, {s: np.eye(4) for s in _scans(points)}, links, 3.0, 6)
+    finally:
+        reduced.unpersist()
     return spark.createDataFrame([(s, *[round(float(v), 4) for v in m[:3, 3]]) for s, m in sorted(out.items())], "scan_id int, tx double, ty double, tz double")
 
 

@@ -67,14 +67,17 @@ def icp(model: DataFrame, data: DataFrame, radius: float, iterations: int = 50,
     return pose, errors
 
 
-def register_sequence(points: DataFrame, scans: list[int], radius: float, metascan: bool = False, **options) -> dict[int, np.ndarray]:
-    """Each scan against its predecessor, or against all before it; poses in the frame of the first."""
+def register_sequence(points: DataFrame, scans: list[int], radius: float, metascan: bool = False, errors: dict[int, list[float]] | None = None, **options) -> dict[int, np.ndarray]:
+    """Each scan against its predecessor, or against all before it; poses in the frame of the first. errors receives
+    those of each scan's iterations."""
     poses = {scans[0]: np.eye(4)}
     done = points.where(F.col("scan_id") == scans[0])
     for s in scans[1:]:
         start = poses[max(poses)]
         data = points.where(F.col("scan_id") == s)
-        found, _ = icp(done, moved(data, start), radius, **options)
+        found, left = icp(done, moved(data, start), radius, **options)
+        if errors is not None:
+            errors[s] = left
         poses[s] = found @ start
         here = moved(data, poses[s])
         done = done.unionByName(here) if metascan else here
