@@ -4,14 +4,19 @@ A document is its set of distinct shingles, as 64-bit hashes. All hashes are cou
 counts puts every shingle into a class by how often it occurs, and (class, hash) is one global order, rarest first.
 With a threshold t, a set of n shingles that links to another misses at most e = n - ceil(t n) of its own in the other.
 Its prefix is extended in that order until it covers more than e: a rare shingle covers one; the frequent ones are
-dealt into GROUPS groups, and a group of f of them in the prefix covers f - 1, as it is indexed by pairs. Two linked sets
+dealt into groups, and a group of f of them in the prefix covers f - 1, as it is indexed by pairs. Two linked sets
 then share a single rare shingle or a pair of frequent ones of a group, in both prefixes. A set that cannot cover e is
 also indexed by its plain prefix. Shingles that occur once are covered but never indexed.
 
+The number of groups follows the size of the set, by powers of two, so that a group has a few members and the entries
+of a set are in proportion to its shingles however many are frequent. Linked sets of neighbouring powers meet because
+the larger one is indexed with the groups of both.
+
 Verification is staged: one representative for each distinct set; in each index list everything is first held against
 two hubs of the list; what is then in the same component needs no further comparison; all other pairs of a list are
-compared inside the join that finds them. A parity bitmap of 1,024 bits bounds the symmetric difference from below and drops most false candidates
-before full sets are read. No link between different sets is lost, and no list is expanded into all its pairs unless its
+compared inside the join that finds them. A parity bitmap of 1,024 bits bounds the symmetric difference from below and
+drops most false candidates before full sets are read. Links that the second step finds join components of the first,
+so only the components they touch are gone through again. No link between different sets is lost, and no list is expanded into all its pairs unless its
 members are in different components.
 
 Defined results: null and empty texts have empty sets and link with nothing; a row with a null doc_id is a component
@@ -31,11 +36,14 @@ from pyspark.sql import functions as F
 from scanloom.llm import staging
 from scanloom.llm import textkernel as tk
 
-#: Logarithm of the count from which a shingle is frequent, and the number of groups of frequent shingles.
-FREQUENT, GROUPS = 4, 64
+#: Logarithm of the count from which a shingle is frequent, and shingles of a set for each group of frequent ones.
+FREQUENT, GROUP = 4, 20
 BITS = 1024
 B = [f"b{i}" for i in range(BITS // 64)]
 
+#: Bytes of text for each file of sets, and distinct sets for each file of the tables that follow.
+FILE_BYTES, FILE_SETS = 4 << 20, 4_000
+
 #: own: shingles of the set that no other document has.
 SETS = "doc_id long, n long, own long, key binary, sigs array<long>, tokens binary, " + ", ".join(f"{b} long" for b in B)
 
@@ -63,19 +71,25 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
 def signatures(x: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     """The index entries of one set (sorted hashes and their classes)."""
     n = len(x)
-    misses = n - -(-percent * n // 100)
+    least = -(-percent * n // 100)
     order = np.argsort(classes, kind="stable")
     x, classes = x[order], classes[order]
     rare = classes < FREQUENT
-    if rare[: misses + 1].all():
-        part = x[: misses + 1][classes[: misses + 1] > 0]
-        return tk.mix(part ^ np.uint64(0x51))
-    group = x % np.uint64(GROUPS)
+    plain = slice(0, n - least + 1)
+    if rare[plain].all():
+        return tk.mix(x[plain][classes[plain] > 0] ^ np.uint64(0x51))
+    power = n.bit_length() - 1
+    powers = [power, power - 1] if least < 1 << power else [power]  # a linked set may be of the power below
+    return np.unique(np.concatenate([y for p in powers for y in _entries(x, classes, rare, n - least, np.uint64(max(1, (1 << p) // GROUP)))]))
+
+
+def _entries(x: np.ndarray, classes: np.ndarray, rare: np.ndarray, misses: int, groups: np.uint64) -> list[np.ndarray]:
+    n = len(x)
+    group = x % groups
     covers = np.ones(n, np.int64)
     at = np.flatnonzero(~rare)
     covers[at[np.unique(group[at], return_index=True)[1]]] = 0
-    total = np.cumsum(covers)
-    stop = int(np.searchsorted(total, misses + 1)) + 1
+    stop = int(np.searchsorted(np.cumsum(covers), misses + 1)) + 1
     out = [tk.mix(x[:stop][rare[:stop] & (classes[:stop] > 0)] ^ np.uint64(0x51))]
     often, of = x[:stop][~rare[:stop]], group[:stop][~rare[:stop]]
     by = np.lexsort((often, of))
@@ -87,12 +101,7 @@ def signatures(x: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
         out.append(tk.mix(often[same] * np.uint64(0xD1342543DE82EF95) + tk.mix(often[same + gap])))
     if stop > n:
         out.append(tk.mix(x[: misses + 1][classes[: misses + 1] > 0] ^ np.uint64(0x53)))
-    return np.unique(np.concatenate(out))
-
-
-def _least_common(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """The smallest intersection with which sets of a and b shingles link."""
-    return -(-percent * (a + b) // (100 + percent))
+    return out
 
 
 def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -133,7 +142,7 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
                             column.append(None)
                 yield pa.record_batch({"doc_id": ids.slice(i, j - i), "n": pa.array(n), "own": pa.array(own, pa.int64()), "key": pa.array(key, pa.binary()), "sigs": pa.array(sigs, pa.list_(pa.int64())), "tokens": pa.array(tokens, pa.binary()), **dict(zip(B, map(pa.array, np.stack(bits, 1)), strict=True))})
 
-    return staging.staged(docs.mapInArrow(rows, SETS), "sets")
+    return staging.staged(docs.mapInArrow(rows, SETS), "sets", max(24, staging.files_for(staging.input_bytes(docs), FILE_BYTES)))
 
 
 def _plausible(percent: int) -> Column:
@@ -147,7 +156,7 @@ def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
     return rows.select(*more, F.col("key").alias(s), F.col("n").alias(f"n{s}"), *[F.col(b).alias(f"{s}{b}") for b in B])
 
 
-def _links(left: DataFrame, nodes: DataFrame, indexed: DataFrame, percent: int) -> DataFrame:
+def _links(left: DataFrame, nodes: DataFrame, indexed: DataFrame, percent: int, files: int) -> DataFrame:
     """(a, b): leaders of those plausible pairs (x, y) of set keys that link."""
     full = indexed.join(nodes.select("key", "lead"), "key").where("doc_id = lead").select("key", "lead", "tokens").dropDuplicates(["key"])
     both = left.join(full.toDF("x", "a", "tx"), "x").join(full.toDF("y", "b", "ty"), "y").select("a", "b", "tx", "ty")
@@ -164,7 +173,7 @@ def _links(left: DataFrame, nodes: DataFrame, indexed: DataFrame, percent: int)
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return staging.staged(both.mapInArrow(exact, "a long, b long"), "links")
+    return staging.staged(both.mapInArrow(exact, "a long, b long"), "links", files)
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -173,7 +182,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = index(docs, k, percent)
     indexed = rows.where("key is not null")
     lead = indexed.groupBy("key").agg(F.min("doc_id").alias("lead"))
-    nodes = staging.staged(indexed.join(lead, "key").where("doc_id = lead").select("key", "lead", "n", "own", "sigs", *B).dropDuplicates(["key"]), "nodes")
+    files = staging.files_for(rows.count(), FILE_SETS)
+    nodes = staging.staged(indexed.join(lead, "key").where("doc_id = lead").select("key", "lead", "n", "own", "sigs", *B).dropDuplicates(["key"]), "nodes", files)
+    files = staging.files_for(nodes.count(), FILE_SETS)
     lists = nodes.select("key", "lead", "n", "own", F.explode("sigs").alias("sig"))
 
     # two hubs for each list: the member with the fewest shingles of its own, which edited copies are nearest to, and a
@@ -184,19 +195,23 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     star = lists.join(hub, "sig").where((F.col("key") != F.col("hub.key")) & near)
     pairs = star.select(F.least("key", "hub.key").alias("x"), F.greatest("key", "hub.key").alias("y")).distinct()
     sides = pairs.join(_side(nodes, "x"), "x").join(_side(nodes, "y"), "y").where(_plausible(percent)).select("x", "y")
-    first = _links(sides, nodes, indexed, percent)
+    label = staging.components(_links(sides, nodes, indexed, percent, files))
 
-    label = staging.components(first)
-    member = lists.join(label, lists["lead"] == label["node"], "left").select("sig", "key", F.coalesce("component", "lead").alias("c"))
+    named = nodes.join(label, nodes["lead"] == label["node"], "left").select("key", "lead", "n", *B, "sigs", F.coalesce("component", "lead").alias("c"))
+    named = staging.staged(named, "named", files)
+    member = named.select("key", "c", F.explode("sigs").alias("sig"))
     mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    member = staging.staged(member.join(mixed, "sig", "left_semi").join(nodes.select("key", "n", *B), "key"), "members")
+    member = staging.staged(member.join(mixed, "sig", "left_semi").join(named.select("key", "n", *B), "key"), "members", files)
     x, y = _side(member, "x", "sig", F.col("c").alias("cx")), _side(member, "y", F.col("sig").alias("sig_y"), F.col("c").alias("cy"))
     cross = x.join(y, (F.col("sig") == F.col("sig_y")) & (F.col("cx") < F.col("cy")) & _plausible(percent)).select("x", "y").distinct()
-    second = _links(cross, nodes, indexed, percent)
-
-    label = staging.components(first.unionByName(second))
-    of = lead.join(label, lead["lead"] == label["node"], "left").select("key", F.coalesce("component", "lead").alias("c"))
-    linked = indexed.select("doc_id", "n", "key").join(of, "key").select("doc_id", "n", "c")
+    second = _links(cross, nodes, indexed, percent, files)
+
+    # the second step links components: theirs are the smallest of the components that a component reaches
+    of = named.select("lead", "c")
+    ends = second.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    whole = staging.components(staging.staged(ends, "ends", files)).toDF("c", "whole")
+    found = named.select("key", "c").join(whole, "c", "left").select("key", F.coalesce("whole", "c").alias("c"))
+    linked = indexed.select("doc_id", "n", "key").join(found, "key").select("doc_id", "n", "c")
     alone = rows.where("key is null").select("doc_id", "n", F.col("doc_id").alias("c"))
     return linked.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("component_id"))
 

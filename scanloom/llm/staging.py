@@ -14,26 +14,52 @@ from pyspark.sql import functions as F
 #: A sketch of repeated hashes has at most 2**LOG_BITS bits, and so at most 16 MB; its classes take a quarter of that.
 LOG_BITS = 27
 #: Hashes that a task gathers before it hands them on.
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none, as in tests."""
+    """The folder that driver and executors share. Where none is set, one of our own if Spark is a single process, as in
+    tests; on a cluster that would be a different folder on each machine, so it is an error there."""
     try:
         folder = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # the key has no default in this Spark
         folder = None
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "/tmp/scanloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: its lineage ends there and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/scanloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df, written once to the shared folder and read back: its lineage ends there and a lost executor costs nothing.
+
+    files: most files to write, for tables that are known to be small. The table is deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/scanloom/{name}-{uuid.uuid4().hex}"
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
+    fs, at = _hadoop_path(spark, path)
+    fs.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def released(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        fs, at = _hadoop_path(df.sparkSession, folder)
+        fs.delete(at, True)
+
+
+def files_for(rows: int, each: int) -> int:
+    return max(1, -(-rows // each))
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -157,21 +183,28 @@ def with_sketch(cast) -> Sketch:
     return Sketch(*cast.value)
 
 
+#: Edges in a file of a table of edges.
+EDGES = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of the edges (a, b): the smallest node that links reach.
+    """(node, component) of every node of the edges (a, b), a staged table: the smallest node that links reach.
 
-    Alternating large-star and small-star steps; each is two shuffles of the edges that are left, and each result is
-    a table in the shared folder. A hub is spread by map-side minima and by joins that adaptive execution can split.
+    Alternating large-star and small-star steps until one changes nothing; each is two shuffles of the edges that are
+    left, and each result is a table in the shared folder, with as many files as its edges need. A hub is spread by
+    map-side minima and by joins that adaptive execution can split.
     """
-    e = staged(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = staged(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", files_for(edges.count(), EDGES))
     before = None
-    for _ in range(60):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = staged(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        new = staged(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges", files_for(before[0] if before else e.count(), EDGES))
+        released(e)
+        e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

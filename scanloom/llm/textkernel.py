@@ -21,7 +21,8 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _LUT = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LUT_LOWER = _LUT[_LOWER]
+#: Masks of the first 0 to 8 bytes of a number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 _ALNUM = np.zeros(256, bool)
@@ -102,18 +103,25 @@ def word_bounds(raw: np.ndarray, off: np.ndarray, kind: str) -> tuple[np.ndarray
     return starts, ends, np.searchsorted(starts, off)
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; those after the end are 0."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    n = len(raw)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    values = (_LUT_LOWER if lower else _LUT)[raw]
-    values *= powers(_BASE, n)
-    np.cumsum(values, out=total[1:])
-    h = total[ends]
-    h -= total[starts]
-    h *= powers(_BASE_INV, n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of the bytes of each span: eight bytes at a time go through a mixer, so that no two spans are equal
+    by an identity of polynomials; spans of up to eight bytes never share a hash with another of their length."""
+    at_place = _eights(_LOWER[raw] if lower else raw)
+    n = ends - starts
+    h = mix(mix(at_place[starts] & _FIRST[np.minimum(n, 8)]) + n.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    more, k = np.flatnonzero(n > 8), 8
+    while len(more):
+        x = at_place[starts[more] + k] & _FIRST[np.minimum(n[more] - k, 8)]
+        h[more] = mix(mix(h[more] + _U(0x9FB21C651E98DF25)) ^ mix(x + _U(k)) * _U(0xC2B2AE3D27D4EB4F))
+        k += 8
+        more = more[n[more] > k]
+    return h
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

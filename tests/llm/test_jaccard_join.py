@@ -70,6 +70,36 @@ def test_signatures_meet():
         assert len(np.intersect1d(jaccard_join.signatures(x, of(x), 80), jaccard_join.signatures(y, of(y), 80)))
 
 
+def test_entries_follow_the_set():
+    """A long text of frequent shingles has entries in proportion to its shingles, as one of rare ones has."""
+    x = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    often, rare = (jaccard_join.signatures(x, np.full(len(x), c, np.uint8), 80) for c in (9, 1))
+    assert len(rare) <= len(x) and len(often) <= 6 * len(x)
+
+
+def test_words_that_share_a_polynomial_hash(spark):
+    """A Thue-Morse word and its complement are equal under any polynomial modulo 2**64, but are not the same word."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    b = "".join("ba"[bin(k).count("1") % 2] for k in range(2048))
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.classes(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_long_boilerplate(spark):
+    """Very long texts of frequent shingles, with edits: links as in all pairs."""
+    r = Random(4)
+    base = [f"w{r.randrange(4000)}" for _ in range(20_000)]
+    rows = []
+    for d in range(24):
+        w = list(base)
+        for _ in range(r.choice([0, 50, 300, 900])):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        rows.append((d, " ".join(w)))
+    rows += [(d, " ".join(base[:40])) for d in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(x) for x in jaccard_join.classes(df).collect()) == brute(rows)
+
+
 def test_empty(spark):
     assert jaccard_join.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
