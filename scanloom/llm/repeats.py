@@ -1,13 +1,17 @@
 """What the two substring operators share: segments of windows, their classes, and what later occurrences lose.
 
-A window is `span` consecutive units (bytes or words) of one document. Neighbouring windows whose smallest inner k-gram
-hash is the same occurrence form a segment; the hash is the segment's bucket. The bucket and a window's offset to it
-depend on the window's content alone, so equal windows are in segments of one bucket wherever they stand. Segments with
-the same content form a class, whose leader is its first occurrence: copies, however many, meet as one partial minimum
-for each map task. Only buckets with several classes need their windows compared, class by class and not copy by copy.
+A window is `span` consecutive units (bytes or words) of one document. A segment is a run of windows around an anchor;
+the anchor's hash is its bucket. An operator chooses anchors so that equal windows, wherever they stand, are at the same
+offset to an equal anchor in at least one segment each. Segments with the same content form a class, whose leader is its
+first occurrence: copies, however many, meet as one partial minimum for each map task. Only buckets with several classes
+need their windows compared, class by class and not copy by copy.
 
 A document then only needs to know its leaders: every other candidate segment of it occurs earlier as a whole, and
 of a leader those windows that the comparison found in an earlier class. So no row is ever sent for a copy.
+
+A bucket is one task's work unless it has HOT classes or more, as the surroundings of a passage have that very many
+documents share. Such buckets are compared by rows instead, one for each window of a class, which meet as partial
+minima, so no task holds the bucket.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm import staging
@@ -26,23 +30,30 @@ from scanloom.llm import textkernel as tk
 
 #: Classes whose content a map task remembers to have handed on; forgetting them costs a repeated row, no result.
 REMEMBERED = 200_000
+#: Logarithm of the number of classes from which a bucket is compared by rows.
+HOT = 12
+#: Bytes of text for each file of classes.
+FILE_BYTES = 4 << 20
 
 
 @dataclass
 class Segments:
-    """Candidate segments of a block of documents. s: first window, as a unit of the block; n: windows; h: bucket;
-    begin: first unit of each document, and the number of units; same: equal for equal contents; body: contents."""
+    """Candidate segments of a block of documents, in the order of their anchors. at: place of the anchor, as a unit of
+    the block; s: first window; n: windows; h: bucket; begin: first unit of each document, and the number of units.
+
+    body: contents, equal for segments of a class and for no others; windows: the contents of one segment's windows."""
 
+    at: np.ndarray
     s: np.ndarray
     n: np.ndarray
     h: np.ndarray
     begin: np.ndarray
-    same: np.ndarray
     body: Callable[[np.ndarray], list[bytes]]
+    windows: Callable[[int], list[bytes]]
 
     @property
     def doc(self) -> np.ndarray:
-        return np.searchsorted(self.begin, self.s, "right") - 1
+        return np.searchsorted(self.begin, self.at, "right") - 1
 
 
 Segmenter = Callable[[np.ndarray, np.ndarray, staging.Sketch], Segments]
@@ -53,44 +64,29 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def smallest(grams: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` consecutive k-gram hashes: the place of its smallest one, the leftmost of equals."""
-    x = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-    done = 1
-    while 2 * done <= width:
-        x = np.minimum(x[:-done], x[done:])
-        done *= 2
-    if done < width:
-        x = np.minimum(x[: len(x) - (width - done)], x[width - done :])
-    return (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def inside(off: np.ndarray, n: int, span: int) -> np.ndarray:
+    """True for starts of windows that lie in one document; off: the documents' first units, and the number of all."""
+    size = np.maximum(np.diff(off) - span + 1, 0)
+    return _covered(off[:-1], off[:-1] + size, n) > 0
 
 
-def runs(ok: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First windows and numbers of windows of the segments: neighbours that are ok and have the same place."""
-    if not len(ok):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    new = ok & np.r_[True, ~ok[:-1] | (place[1:] != place[:-1])]
-    first = np.flatnonzero(new)
-    total = np.r_[0, np.cumsum(ok)]
-    stop = np.r_[first[1:], len(ok)]
-    return first, total[stop] - total[first]
+def _covered(first: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
+    """How many of the ranges each of n places is in."""
+    return np.cumsum(np.bincount(first, minlength=n + 1)[: n + 1] - np.bincount(stop, minlength=n + 1)[: n + 1])[:n]
 
 
-def inside(off: np.ndarray, n: int, span: int) -> np.ndarray:
-    """True for starts of windows that lie in one document; off: the documents' first units, and the number of all."""
-    edge = np.zeros(n + 1, np.int64)
-    size = np.maximum(np.diff(off) - span + 1, 0)
-    np.add.at(edge, off[:-1], 1)
-    np.add.at(edge, off[:-1] + size, -1)
-    return np.cumsum(edge[:-1]) > 0
+def digests(bodies: list[bytes]) -> np.ndarray:
+    """128 bits of each content, as two numbers."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in bodies]), np.int64).reshape(-1, 2)
 
 
-def _over(docs: DataFrame, segment: Segmenter, cast, wanted, row: Callable, schema: str) -> DataFrame:
-    """mapInArrow over the candidate segments of documents with an id, without those that repeat the one before."""
+def _over(docs: DataFrame, segment: Segmenter, cast, wanted: Callable[[np.ndarray], np.ndarray] | None, row: Callable, schema: str) -> DataFrame:
+    """mapInArrow over the candidate segments of documents with an id. wanted: of those buckets only, and of each class
+    only the first segment that a task sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, more = staging.with_sketch(cast), staging.with_sketch(wanted) if wanted else None
-        known: set[tuple[int, int]] = set()
+        seen = staging.with_sketch(cast)
+        known: set[bytes] = set()
         for b in batches:
             raw, off = tk.utf8(b.column("text"))
             ids = b.column("doc_id")
@@ -99,94 +95,125 @@ def _over(docs: DataFrame, segment: Segmenter, cast, wanted, row: Callable, sche
                 g = segment(raw[off[i] : off[j]], off[i : j + 1] - off[i], seen)
                 doc = g.doc
                 ok = named[i:j][doc]
-                if len(g.s) > 1:
-                    ok[1:] &= ~((g.same[1:] == g.same[:-1]) & (doc[1:] == doc[:-1]) & (g.s[1:] == g.s[:-1] + g.n[:-1]))
-                if more:
-                    ok &= more.repeated(g.h)
+                if wanted:
+                    ok &= wanted(g.h)
                 at = np.flatnonzero(ok)
-                if more:  # a content that this task has handed on need not be cut out again
+                if not len(at):
+                    continue
+                bodies = g.body(at)
+                c = digests(bodies)
+                if wanted:  # a content that this task has handed on need not be sent again
                     if len(known) > REMEMBERED:
                         known.clear()
                     fresh = []
-                    for k, x in enumerate(zip(g.h[at].tolist(), g.same[at].tolist(), strict=True)):
+                    for k, x in enumerate(c.view("V16").reshape(-1).tolist()):
                         if x not in known:
                             known.add(x)
                             fresh.append(k)
-                    at = at[fresh]
+                    at, c, bodies = at[fresh], c[fresh], [bodies[k] for k in fresh]
                 if len(at):
-                    bodies = g.body(at)
-                    c = np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in bodies]), np.int64)
-                    yield row(g.h[at].view(np.int64), c, bodies, number[i:j][doc[at]], g.s[at] - g.begin[doc[at]])
+                    yield row(g, at, c, bodies, number[i:j][doc[at]], (g.at - g.begin[doc])[at], (g.s - g.begin[doc])[at])
 
     return docs.mapInArrow(run, schema)
 
 
-def _places(h, c, bodies, doc, s) -> pa.RecordBatch:
-    return pa.record_batch({"h": pa.array(h), "c": pa.array(c), "doc_id": pa.array(doc), "s": pa.array(s.astype(np.int32))})
+def _places(g, at, c, bodies, doc, p, s) -> pa.RecordBatch:
+    return pa.record_batch({"h": pa.array(g.h[at].view(np.int64)), "c1": pa.array(c[:, 0]), "c2": pa.array(c[:, 1]), "doc_id": pa.array(doc), "p": pa.array(p.astype(np.int32)), "s": pa.array(s.astype(np.int32))})
+
 
+def _bodies(g, at, c, bodies, doc, p, s) -> pa.RecordBatch:
+    return pa.record_batch({"h": pa.array(g.h[at].view(np.int64)), "c1": pa.array(c[:, 0]), "c2": pa.array(c[:, 1]), "body": pa.array(bodies, pa.binary())})
 
-def _bodies(h, c, bodies, doc, s) -> pa.RecordBatch:
-    return pa.record_batch({"h": pa.array(h), "c": pa.array(c), "body": pa.array(bodies, pa.binary())})
 
+def _window_rows(g, at, c, bodies, doc, p, s) -> pa.RecordBatch:
+    each = [g.windows(k) for k in at.tolist()]
+    n = np.array([len(x) for x in each])
+    row = np.repeat(np.arange(len(at)), n)
+    w = digests([x for y in each for x in y])
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return pa.record_batch({"h": pa.array(g.h[at][row].view(np.int64)), "c1": pa.array(c[row, 0]), "c2": pa.array(c[row, 1]), "k": pa.array(k.astype(np.int32)), "w1": pa.array(w[:, 0]), "w2": pa.array(w[:, 1])})
 
-def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], segment: Segmenter, resolver: Resolver, batch_bytes: int):
-    """(table of the leaders, broadcast sketch of the buckets). A row: doc_id, s, h and inner, windows (a to b) of the
+
+#: A leader's name inside its document: the place of its anchor, and half of the bucket's hash, which tells texts apart
+#: that share a doc_id.
+KEY = "shiftleft(cast(p as long), 32) | (h & 4294967295)"
+INNER = "array<struct<a:int,b:int>>"
+
+
+def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], segment: Segmenter, resolver: Resolver, batch_bytes: int, inside_document: bool):
+    """(table of the leaders, broadcast sketch of the buckets). A row: doc_id, key and inner, windows (a to b) of the
     segment that occur in an earlier class.
 
     hashes: what to count to find candidates. resolver: gets classes (content, doc_id and start of the leader) of whole
-    buckets and gives (number of the class, windows that have an earlier equal); it sees at most batch_bytes, or one bucket.
+    buckets and gives (number of the class, windows that have an earlier equal); it sees about batch_bytes, or one
+    bucket. inside_document: an earlier start in the same document is earlier.
     """
     parts, log = staging.slices(docs), staging.log_bits(docs)
     cast = staging.sketch(docs.mapInArrow(lambda it: staging.packed(hashes(it), parts), staging.PACKED), parts, log)
-    # a class goes by its bucket and a digest of its content, 128 bits together
-    places = _over(docs, segment, cast, None, _places, "h long, c long, doc_id long, s int")
-    classes = places.groupBy("h", "c").agg(F.min(F.struct("doc_id", "s")).alias("lead"))
-    classes = staging.staged(classes.select("h", "c", F.col("lead.doc_id").alias("doc_id"), F.col("lead.s").alias("s")), "classes")
+    places = _over(docs, segment, cast, None, _places, "h long, c1 long, c2 long, doc_id long, p int, s int")
+    classes = places.groupBy("h", "c1", "c2").agg(F.min(F.struct("doc_id", "p", "s")).alias("lead")).select("h", "c1", "c2", "lead.*")
+    classes = staging.staged(classes, "classes", max(24, staging.files_for(staging.input_bytes(docs), FILE_BYTES)))
     # classes are distinct, so a bucket that is counted twice has several
-    several = staging.sketch(classes.select("h").mapInArrow(lambda it: staging.packed((x.column("h").to_numpy().view(np.uint64) for x in it), parts), staging.PACKED), parts, log)
+    counted = staging.sketch(classes.select("h").mapInArrow(lambda it: staging.packed((x.column("h").to_numpy().view(np.uint64) for x in it), parts), staging.PACKED), parts, log)
 
-    def buckets(shared: bool):
+    def kind(h: np.ndarray) -> np.ndarray:
+        """0 for buckets of one class, 1 for those of several, 2 for those of very many."""
+        order = staging.with_sketch(counted).order(h)
+        return (order > 0).astype(np.int8) + (order >= HOT)
+
+    def buckets(which: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = staging.with_sketch(several)
             for x in batches:
-                yield x.filter(pa.array(seen.repeated(x.column("h").to_numpy().view(np.uint64)) == shared))
+                yield x.filter(pa.array(kind(x.column("h").to_numpy().view(np.uint64)) == which))
 
         return classes.mapInArrow(run, classes.schema)
 
-    bodies = _over(docs, segment, cast, several, _bodies, "h long, c long, body binary")
-    mixed = buckets(True).withColumn("body", F.lit(None).cast("binary")).unionByName(bodies, allowMissingColumns=True)
-    rows = mixed.repartition(4 * parts, "h").sortWithinPartitions("h", "c", F.col("doc_id").asc_nulls_last())
+    bodies = _over(docs, segment, cast, lambda h: kind(h) == 1, _bodies, "h long, c1 long, c2 long, body binary")
+    mixed = buckets(1).withColumn("body", F.lit(None).cast("binary")).unionByName(bodies, allowMissingColumns=True)
+    rows = mixed.repartition(4 * parts, "h").sortWithinPartitions("h", "c1", "c2", F.col("doc_id").asc_nulls_last())
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int, int]] = []
         names: list[int] = []
-        size, last_h, last_c = 0, None, None
+        size, last, new, lead = 0, None, False, None
 
         def flush() -> Iterator[pa.RecordBatch]:
             inner: list[list[dict]] = [[] for _ in held]
             for k, windows in resolver(held):
                 cut = np.flatnonzero(np.diff(windows) > 1)
                 inner[k] = [{"a": a, "b": b} for a, b in zip(windows[np.r_[0, cut + 1]].tolist(), windows[np.r_[cut, len(windows) - 1]].tolist(), strict=True)]
-            yield pa.record_batch({"doc_id": pa.array([x[1] for x in held], pa.int64()), "s": pa.array([x[2] for x in held], pa.int32()), "h": pa.array(names, pa.int64()), "inner": pa.array(inner, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
+            yield pa.record_batch({"doc_id": pa.array([x[1] for x in held], pa.int64()), "key": pa.array(names, pa.int64()), "inner": pa.array(inner, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
 
         for batch in (p for x in batches for p in pieces(x, 4096)):
-            for h, c, doc, s, body in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "doc_id", "s", "body")), strict=True):
+            for h, c1, c2, doc, key, s, body in zip(*(batch.column(x).to_pylist() for x in ("h", "c1", "c2", "doc_id", "key", "s", "body")), strict=True):
                 if body is None:  # the class's own row comes first, then its content from one task or several
-                    if h != last_h and size >= batch_bytes:
+                    if size >= batch_bytes and (last is None or h != last[0]):
                         yield from flush()
                         held, names, size = [], [], 0
-                    lead, last_h, last_c, new = (doc, s), h, c, True
-                elif new and (h, c) == (last_h, last_c):
-                    held.append((body, *lead))
-                    names.append(h)
+                    lead, last, new = (doc, s, key), (h, c1, c2), True
+                elif new and (h, c1, c2) == last:
+                    held.append((body, lead[0], lead[1]))
+                    names.append(lead[2])
                     size += len(body)
                     new = False
         if held:
             yield from flush()
 
-    inner = rows.select("h", "c", "doc_id", "s", "body").mapInArrow(resolve, "doc_id long, s int, h long, inner array<struct<a:int,b:int>>")
-    alone = buckets(False).select("doc_id", "s", "h", F.lit(None).cast("array<struct<a:int,b:int>>").alias("inner"))
-    return inner.unionByName(alone), cast
+    inner = rows.select("h", "c1", "c2", "doc_id", F.expr(KEY).alias("key"), "s", "body").mapInArrow(resolve, f"doc_id long, key long, inner {INNER}")
+    alone = buckets(0).select("doc_id", F.expr(KEY).alias("key"), F.lit(None).cast(INNER).alias("inner"))
+    hot = _by_rows(buckets(2), _over(docs, segment, cast, lambda h: kind(h) == 2, _window_rows, "h long, c1 long, c2 long, k int, w1 long, w2 long"), inside_document)
+    return inner.unionByName(alone).unionByName(hot), cast
+
+
+def _by_rows(classes: DataFrame, windows: DataFrame, inside_document: bool) -> DataFrame:
+    """The leaders of very large buckets, from a row for each window of a class."""
+    name = ["h", "c1", "c2"]
+    where: Column = F.struct("doc_id", (F.col("s") + F.col("k")) if inside_document else F.lit(0).alias("o"))
+    each = windows.distinct().join(classes, name).withColumn("place", where)
+    first = each.groupBy("w1", "w2").agg(F.min("place").alias("first"))
+    later = each.join(first, ["w1", "w2"]).where(F.col("place") > F.col("first")).groupBy(*name).agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    inner = F.transform("ks", lambda k: F.struct(k.alias("a"), k.alias("b")))
+    return classes.join(later, name, "left").select("doc_id", F.expr(KEY).alias("key"), inner.cast(INNER).alias("inner"))
 
 
 def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -194,16 +221,29 @@ def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, most)
 
 
-def _again(dup: np.ndarray, g: Segments, at: np.ndarray, where: np.ndarray, real: np.ndarray, inner: pa.ListArray) -> None:
-    """In dup, windows of leaders and of segments of the same document with the same content are as the leader's are."""
-    some = inner.is_valid().to_numpy(zero_copy_only=False)
-    for k in np.flatnonzero(real):
-        lo, hi = np.searchsorted(g.s, [g.begin[where[k]], g.begin[where[k] + 1]])
-        ranges = [(x["a"], x["b"]) for x in inner[int(k)].as_py()] if some[k] else []
-        for x in lo + np.flatnonzero(g.same[lo:hi] == g.same[at[k]]):
-            dup[g.s[x] : g.s[x] + g.n[x]] = False
-            for a, z in ranges:
-                dup[g.s[x] + a : g.s[x] + z + 1] = True
+def _again(g: Segments, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(leader, segment) of other segments of a leader's document with the leader's content; at: the leaders' segments."""
+    of: dict[tuple[int, int], list[int]] = {}
+    many = np.flatnonzero(np.bincount(doc, minlength=1)[doc] > 1)
+    for k, x, d in zip(many.tolist(), g.h[many].tolist(), doc[many].tolist(), strict=True):
+        of.setdefault((d, x), []).append(k)
+    out = []
+    for n, q in enumerate(at.tolist()):
+        others = of.get((int(doc[q]), int(g.h[q])), ())
+        if len(others) > 1:
+            bodies = g.body(np.array([q, *others]))
+            out += [(n, k) for k, body in zip(others, bodies[1:], strict=True) if k != q and body == bodies[0]]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _named(g: Segments, begin: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the segment, whether it is there) for names of leaders in the documents that begin there."""
+    if not len(g.at):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    place = begin + (key >> 32)
+    at = np.minimum(np.searchsorted(g.at, place), len(g.at) - 1)
+    return at, (g.at[at] == place) & ((g.h[at] & np.uint64(0xFFFFFFFF)) == (key & 0xFFFFFFFF).astype(np.uint64))
 
 
 def removed(docs: DataFrame, found: DataFrame, cast, segment: Segmenter, span: int, each: bool, row: Callable, schema: str) -> DataFrame:
@@ -211,8 +251,9 @@ def removed(docs: DataFrame, found: DataFrame, cast, segment: Segmenter, span: i
 
     each: all of a document's segments with a leader's content stay, not only the first.
     """
-    of = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("s", "h", "inner")).alias("own"))
-    both = docs.join(of, docs["doc_id"] == of["d"], "left").select("doc_id", "text", "own")
+    some = F.size("inner") > 0
+    of = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.when(~F.coalesce(some, F.lit(False)), F.col("key"))).alias("whole"), F.collect_list(F.when(some, F.struct("key", "inner"))).alias("part"))
+    both = docs.join(of, docs["doc_id"] == of["d"], "left").select("doc_id", "text", "whole", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = staging.with_sketch(cast)
@@ -223,38 +264,33 @@ def removed(docs: DataFrame, found: DataFrame, cast, segment: Segmenter, span: i
                 part = b.slice(i, j - i)
                 text, begin = raw[off[i] : off[j]], off[i : j + 1] - off[i]
                 g = segment(text, begin, seen)
-                doc = g.doc
-                n_units = int(g.begin[-1])
-                window = np.zeros(n_units + 1, np.int64)
+                doc, n_units = g.doc, int(g.begin[-1])
                 ok = named[i:j][doc]
-                np.add.at(window, g.s[ok], 1)
-                np.add.at(window, g.s[ok] + g.n[ok], -1)
-                dup = np.cumsum(window[:-1]) > 0
-                lists = part.column("own")
-                flat, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
-                where = np.repeat(np.arange(j - i), counts)
-                s, h, inner = flat.field("s").to_numpy() + g.begin[:-1][where], flat.field("h").to_numpy().view(np.uint64), flat.field("inner")
-                at = np.minimum(np.searchsorted(g.s, s), max(0, len(g.s) - 1))
-                real = (g.s[at] == s) & (g.h[at] == h) if len(g.s) else np.zeros(len(s), bool)
+                # windows of candidate segments, less those of leaders, and again what an earlier class has of leaders
+                often = _covered(g.s[ok], g.s[ok] + g.n[ok], n_units)
+                whole, parted = part.column("whole"), part.column("part")
+                n_whole, n_part = (np.diff(x.offsets.to_numpy()) if len(x) else np.empty(0, np.int64) for x in (whole, parted))
+                inner = parted.flatten()
+                key = np.r_[whole.flatten().to_numpy(), inner.field("key").to_numpy()]
+                owner = np.r_[np.repeat(np.arange(j - i), n_whole), np.repeat(np.arange(j - i), n_part)]
+                at, real = _named(g, g.begin[:-1][owner], key)
+                lists = inner.field("inner")
+                n_ranges = np.r_[np.zeros(int(n_whole.sum()), np.int64), np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)]
+                ranges = lists.flatten()
+                a, z = ranges.field("a").to_numpy(), ranges.field("b").to_numpy()
+                from_range = np.cumsum(n_ranges) - n_ranges
+                lead = np.flatnonzero(real)
                 if each:
-                    _again(dup, g, at, where, real, inner)
+                    n, k = _again(g, at[lead], doc)
+                    lead, at = np.r_[lead, lead[n]], np.r_[at[lead], k]
                 else:
-                    q = at[real]
-                    stay = np.zeros(n_units + 1, np.int64)
-                    np.add.at(stay, g.s[q], 1)
-                    np.add.at(stay, g.s[q] + g.n[q], -1)
-                    dup &= np.cumsum(stay[:-1]) == 0
-                    ranges, many = inner.flatten(), np.where(inner.is_valid().to_numpy(zero_copy_only=False), np.diff(inner.offsets.to_numpy()), 0)
-                    ok = np.repeat(real, many)
-                    base = np.repeat(g.s[at] if len(g.s) else at, many)[ok]
-                    again = np.zeros(n_units + 1, np.int64)
-                    np.add.at(again, base + ranges.field("a").to_numpy()[ok], 1)
-                    np.add.at(again, base + ranges.field("b").to_numpy()[ok] + 1, -1)
-                    dup |= np.cumsum(again[:-1]) > 0
-                starts = np.flatnonzero(dup)
-                unit = np.zeros(n_units + span + 1, np.int64)
-                np.add.at(unit, starts, 1)
-                np.add.at(unit, starts + span, -1)
-                yield row(part, text, begin, np.cumsum(unit[:n_units]) > 0, g.begin)
+                    at = at[lead]
+                often -= _covered(g.s[at], g.s[at] + g.n[at], n_units)
+                count = n_ranges[lead]
+                r = np.repeat(from_range[lead], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                base = np.repeat(g.s[at], count)
+                often += _covered(base + a[r], base + z[r] + 1, n_units)
+                starts = np.flatnonzero(often > 0)
+                yield row(part, text, begin, _covered(starts, starts + span, n_units) > 0, g.begin)
 
     return both.mapInArrow(run, schema)

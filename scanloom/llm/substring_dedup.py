@@ -2,9 +2,13 @@
 
 D is a difference cover modulo P: for any two places i and j there is a shift below P that brings both onto D. Hashes of
 anchor windows are therefore taken at places on D only, |D| of every P, and two equal stretches of SPAN words always
-share an anchor of SPAN - P + 1 words at aligned places. A bounded sketch says which anchors occur again; around those
-the match is extended: every SPAN-word window that holds one is a candidate and is compared word by word, through the
-segments of repeats.py.
+share an anchor of SPAN - P + 1 words at aligned places on D. A bounded sketch says which anchors occur again.
+
+Anchors that occur again meet by their hash, each with the words around it that a match of SPAN words can reach, P - 1 to
+either side; occurrences with the same surroundings are one class (see repeats.py). From the anchor the match is extended
+word by word, to the right and to the left, and a class stays with those that still agree with it: groups of equal
+extensions split until a class is alone. A window of SPAN words has an earlier equal if the extensions on both its sides
+reach a class of an earlier document. Words are compared, not hashes.
 
 Defined results: a null text has no words; a row with a null doc_id is neither earlier nor later than others and stays
 whole; repeated rows are the same document; a document shorter than SPAN words stays whole.
@@ -24,13 +28,8 @@ from scanloom.llm import textkernel as tk
 
 #: A perfect difference set, in which each difference modulo 31 occurs once.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-#: Words in a k-gram of the segmentation.
-GRAM = 8
-
-
-def _block(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, first = tk.word_bounds(raw, off, "space")
-    return starts, ends, first, tk.span_hashes(raw, starts, ends, lower=False)
+#: Bytes of classes that are extended together, unless one bucket has more.
+BATCH_BYTES = 2 << 20
 
 
 def _anchors(words: np.ndarray, first: np.ndarray, anchor: int, period: int, cover: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,58 +46,90 @@ class _Cover:
     """The two passes over blocks that a cover asks for."""
 
     def __init__(self, span: int, period: int, cover: tuple[int, ...]) -> None:
-        if span < period:
-            raise ValueError("a window must be at least as long as the cover's period")
-        self.span, self.period, self.cover, self.anchor, self.gram = span, period, cover, span - period + 1, min(GRAM, span)
+        if not period <= min(span, 256):
+            raise ValueError("a cover's period is at most the window's length and 256")
+        self.span, self.period, self.cover, self.anchor = span, period, cover, span - period + 1
 
     def hashes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             raw, off = tk.utf8(b.column("text"))
             for i, j in tk.blocks(off):
-                _, _, first, words = _block(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield _anchors(words, first, self.anchor, self.period, self.cover)[1]
+                text, begin = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+                starts, ends, first = tk.word_bounds(text, begin, "space")
+                yield _anchors(tk.span_hashes(text, starts, ends, lower=False), first, self.anchor, self.period, self.cover)[1]
 
     def segment(self, raw: np.ndarray, off: np.ndarray, seen: staging.Sketch) -> repeats.Segments:
-        """Segments of the windows that hold an anchor which occurs again."""
-        starts, ends, first, words = _block(raw, off)
-        at, h = _anchors(words, first, self.anchor, self.period, self.cover)
-        at = at[seen.repeated(h)]
-        n, span = len(words) - self.span + 1, self.span
-        if not len(at) or n <= 0:
-            none = np.empty(0, np.int64)
-            return repeats.Segments(none, none, none.view(np.uint64), first, none, lambda ks: [])
-        edge = np.zeros(len(words) + 1, np.int64)
-        np.add.at(edge, np.maximum(at - (span - self.anchor), 0), 1)
-        np.add.at(edge, at + 1, -1)
-        ok = (np.cumsum(edge[:-1]) > 0) & repeats.inside(first, len(words), span)
-        grams = tk.window_hashes(words, self.gram)
-        place = repeats.smallest(grams, span - self.gram + 1)
-        s, size = repeats.runs(ok[:n], place[:n])
+        """For each anchor that occurs again, the windows of its document that hold it."""
+        starts, ends, first = tk.word_bounds(raw, off, "space")
+        at, h = _anchors(tk.span_hashes(raw, starts, ends, lower=False), first, self.anchor, self.period, self.cover)
+        again = seen.repeated(h)
+        at, h = at[again], h[again]
+        doc = np.searchsorted(first, at, "right") - 1
+        s = np.maximum(at - self.period + 1, first[doc])
+        n = np.minimum(at, first[doc + 1] - self.span) - s + 1
+        ok = n > 0
+        at, h, s, n = at[ok], h[ok], s[ok], n[ok]
+        # the words of the block, one space after each: contents are slices of this
+        size = ends - starts + 1
+        to = np.cumsum(size) - size
+        letters = np.zeros(len(raw) + 1, np.int8)
+        letters[starts] += 1
+        letters[ends] -= 1
+        letter = np.flatnonzero(np.cumsum(letters[:-1]))
+        flat = np.full(int(size.sum()), 32, np.uint8)
+        flat[np.repeat(to - starts, ends - starts) + letter] = raw[letter]
+        text = flat.tobytes()
+        stop = to + size - 1
 
         def body(ks: np.ndarray) -> list[bytes]:
-            text = raw.tobytes()
-            return [b" ".join(text[x:y].split()) for x, y in zip(starts[s[ks]].tolist(), ends[s[ks] + size[ks] + span - 2].tolist(), strict=True)]
-
-        return repeats.Segments(s, size, grams[place[s]], first, tk.run_hashes(words, s, s + size + span - 1), body)
-
-
-def _compare(span: int):
-    def compare(classes: list[tuple[bytes, int, int]]) -> Iterator[tuple[int, np.ndarray]]:
-        least: dict[bytes, int] = {}
-        windows = []
-        for body, lead, _ in classes:
-            space = [-1, *(k for k, x in enumerate(body) if x == 32), len(body)]
-            keys = [body[space[k] + 1 : space[k + span]] for k in range(len(space) - span)]
-            windows.append(keys)
-            for key in keys:
-                if least.get(key, lead) >= lead:
-                    least[key] = lead
-        for k, (_, lead, _) in enumerate(classes):
-            found = [x for x, key in enumerate(windows[k]) if least[key] < lead]
-            if found:
-                yield k, np.array(found)
-
-    return compare
+            """The place of the anchor in the content, then its words: the same words around another place are another class."""
+            return [bytes((a,)) + text[x:y] for a, x, y in zip((at[ks] - s[ks]).tolist(), to[s[ks]].tolist(), stop[s[ks] + n[ks] + self.span - 2].tolist(), strict=True)]
+
+        def windows(k: int) -> list[bytes]:
+            w = np.arange(s[k], s[k] + n[k])
+            return [text[x:y] for x, y in zip(to[w].tolist(), stop[w + self.span - 1].tolist(), strict=True)]
+
+        return repeats.Segments(at, s, n, h, first, body, windows)
+
+
+def _split(group: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Groups after one more word: classes of a group with the same word stay together; -1 for a class that is alone or
+    at its end."""
+    out = np.full(len(group), -1, np.int64)
+    live = np.flatnonzero((group >= 0) & (word > 0))
+    _, name, count = np.unique(group[live] << 32 | word[live], return_inverse=True, return_counts=True)
+    out[live] = np.where(count[name] > 1, name, -1)
+    return out
+
+
+def extended(classes: list[tuple[bytes, int, int]], span: int, anchor: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each class: its windows whose words are also around the anchor of a class of an earlier document."""
+    reach = span - anchor
+    table = np.zeros((len(classes), reach + span), np.int64)  # a class in each row, the anchor's first word in column reach
+    number: dict[bytes, int] = {}
+    before = np.array([x[0][0] for x in classes], np.int64)
+    for k, (body, _, _) in enumerate(classes):
+        words = [number.setdefault(w, len(number) + 1) for w in body[1:].split(b" ")]
+        table[k, reach - before[k] : reach - before[k] + len(words)] = words
+    lead = np.array([x[1] for x in classes], np.int64)
+    group = np.zeros(len(classes), np.int64)
+    for k in range(anchor):
+        group = _split(group, table[:, reach + k])
+    left, right = [group], [group]
+    for k in range(reach):
+        left.append(_split(left[-1], table[:, reach - 1 - k]))
+        right.append(_split(right[-1], table[:, reach + anchor + k]))
+    found = np.zeros((len(classes), reach + 1), bool)
+    for ahead in range(reach + 1):  # a window that starts so many words before the anchor
+        a, b = left[ahead], right[reach - ahead]
+        live = np.flatnonzero((a >= 0) & (b >= 0))
+        if len(live):
+            _, name = np.unique(a[live] << 32 | b[live], return_inverse=True)
+            least = np.full(name.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, name, lead[live])
+            found[live, ahead] = least[name] < lead[live]
+    for k in np.flatnonzero(found.any(axis=1)).tolist():
+        yield k, before[k] - np.flatnonzero(found[k])[::-1]
 
 
 def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
@@ -115,5 +146,5 @@ def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray,
 def dedup(docs: DataFrame, span: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """doc_id, n_words, n_removed, text (the kept words, joined by one space) and kept_sha256 of each document."""
     docs, passes = repeats.prepared(docs), _Cover(span, period, cover)
-    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, _compare(span), 1 << 20)
+    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: extended(classes, span, passes.anchor), BATCH_BYTES, False)
     return repeats.removed(docs, found, cast, passes.segment, span, True, _row, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")

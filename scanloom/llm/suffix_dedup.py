@@ -163,8 +163,34 @@ def earlier(classes: list[tuple[bytes, int, int]], span: int) -> Iterator[tuple[
         yield int(string[a]), offset[a:b]
 
 
+def smallest(grams: np.ndarray, width: int) -> np.ndarray:
+    """For each window of `width` consecutive k-gram hashes: the place of its smallest one, the leftmost of equals."""
+    x = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    done = 1
+    while 2 * done <= width:
+        x = np.minimum(x[:-done], x[done:])
+        done *= 2
+    if done < width:
+        x = np.minimum(x[: len(x) - (width - done)], x[width - done :])
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def runs(ok: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First windows and numbers of windows of the segments: neighbours that are ok and have the same place."""
+    if not len(ok):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = ok & np.r_[True, ~ok[:-1] | (place[1:] != place[:-1])]
+    first = np.flatnonzero(new)
+    total = np.r_[0, np.cumsum(ok)]
+    stop = np.r_[first[1:], len(ok)]
+    return first, total[stop] - total[first]
+
+
 class _Bytes:
-    """The two passes over blocks: buckets of all segments, and segments of buckets that occur again."""
+    """The two passes over blocks: buckets of all segments, and segments of buckets that occur again.
+
+    Neighbouring windows whose smallest inner k-gram hash is the same occurrence form a segment, so every window is in
+    one segment, and the bucket and a window's offset to it depend on the window's content alone."""
 
     def __init__(self, span: int) -> None:
         self.span, self.gram = span, min(GRAM, span)
@@ -174,8 +200,8 @@ class _Bytes:
         if n <= 0:
             return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
         grams = tk.byte_grams(raw, self.gram)
-        place = repeats.smallest(grams, self.span - self.gram + 1)
-        s, size = repeats.runs(repeats.inside(off, len(raw), self.span)[:n], place[:n])
+        place = smallest(grams, self.span - self.gram + 1)
+        s, size = runs(repeats.inside(off, len(raw), self.span)[:n], place[:n])
         return s, size, grams[place[s]]
 
     def hashes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -189,12 +215,15 @@ class _Bytes:
         again = seen.repeated(h)
         s, size, h = s[again], size[again], h[again]
         stop = s + size + self.span - 1
+        text = raw.tobytes()
 
         def body(ks: np.ndarray) -> list[bytes]:
-            text = raw.tobytes()
             return [text[x:y] for x, y in zip(s[ks].tolist(), stop[ks].tolist(), strict=True)]
 
-        return repeats.Segments(s, size, h, off, tk.span_hashes(raw, s, stop, lower=False) if len(s) else h, body)
+        def windows(k: int) -> list[bytes]:
+            return [text[x : x + self.span] for x in range(int(s[k]), int(s[k] + size[k]))]
+
+        return repeats.Segments(s, s, size, h, off, body, windows)
 
 
 def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
@@ -210,5 +239,5 @@ def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray,
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of each document."""
     docs, passes = repeats.prepared(docs), _Bytes(span)
-    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: earlier(classes, span), BATCH_BYTES)
+    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: earlier(classes, span), BATCH_BYTES, True)
     return repeats.removed(docs, found, cast, passes.segment, span, False, _row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -150,11 +150,3 @@ def byte_grams(raw: np.ndarray, k: int) -> np.ndarray:
     values *= powers(_BASE, n)
     np.cumsum(values, out=total[1:])
     return mix((total[k:] - total[:-k]) * powers(_BASE_INV, n)[: n - k + 1])
-
-
-def run_hashes(words: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A hash of the word hashes from first to stop, for each pair."""
-    total = np.empty(len(words) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(words * powers(_BASE, len(words)), out=total[1:])
-    return mix((total[stop] - total[first]) * powers(_BASE_INV, len(words) + 1)[first] + (stop - first).astype(np.uint64))

@@ -6,7 +6,7 @@ from random import Random
 import numpy as np
 import pytest
 
-from scanloom.llm import substring_dedup, suffix_dedup
+from scanloom.llm import repeats, substring_dedup, suffix_dedup
 
 
 def texts(seed: int) -> list[tuple[int, str | None]]:
@@ -77,6 +77,33 @@ def test_words(spark, seed):
     assert sum(x[1] for x in got.values())
 
 
+def thue_morse(letters: str) -> str:
+    return "".join(letters[bin(k).count("1") % 2] for k in range(2048))
+
+
+@pytest.mark.parametrize("by_rows", [False, True])
+def test_long_words_and_buckets(spark, monkeypatch, by_rows):
+    """Very long texts and words, words that a polynomial hash confuses, and buckets of many classes, in both ways."""
+    monkeypatch.setattr(repeats, "HOT", 1 if by_rows else 40)
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 1000)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 1000)
+    r = Random(8)
+    base = " ".join(f"w{k}" for k in range(49))
+    rows = [(1, f"{base} {thue_morse('ab')}"), (2, f"{base} {thue_morse('ba')}"), (3, f"{base} {thue_morse('ab')} x")]
+    passage = " ".join(f"p{k}" for k in range(70))
+    for d in range(10, 70):
+        own = [" ".join(f"{r.choice('abc')}{r.randrange(3)}" for _ in range(r.randrange(60))) for _ in range(2)]
+        rows.append((d, f"{own[0]} {passage} {own[1]}"))
+    long = " ".join(f"l{r.randrange(50)}" for _ in range(20_000))
+    rows += [(80, long), (81, f"{long[:40_000]} cut {long[40_001:]}"), (82, "y" * 60_000), (83, "y" * 50_000 + "z" + "y" * 300), (84, "ab " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup(df).collect()}
+    assert got == brute_words(rows, 50)
+    assert got[2][1] == 0 and got[3][1] == 50
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup(df).collect()}
+    assert got == brute_bytes(rows, 100)
+
+
 def test_cover_is_a_difference_cover():
     p, d = substring_dedup.PERIOD, substring_dedup.COVER
     assert {(a - b) % p for a in d for b in d} == set(range(p))
