@@ -45,7 +45,7 @@ B = [f"b{i}" for i in range(BITS // 64)]
 FILE_BYTES, FILE_SETS = 4 << 20, 4_000
 
 #: own: shingles of the set that no other document has.
-SETS = "doc_id long, n long, own long, key binary, sigs array<long>, tokens binary, " + ", ".join(f"{b} long" for b in B)
+SETS = "doc_id long, n long, own long, key binary, sigs array<long>, " + ", ".join(f"{b} long" for b in B)
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -126,21 +126,19 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 every = seen.order(np.concatenate(sets))
                 n = np.array([len(x) for x in sets], np.int64)
                 begin = np.r_[0, np.cumsum(n)]
-                key, sigs, bits, tokens, own = [], [], [], [], []
+                key, sigs, bits, own = [], [], [], []
                 for d, x in enumerate(sets):
                     s = signatures(x, every[begin[d] : begin[d + 1]], percent) if len(x) and ids[i + d].is_valid else x[:0]
                     if len(s):
-                        blob = x.tobytes()
-                        key.append(blake2b(blob, digest_size=16).digest())
+                        key.append(blake2b(x.tobytes(), digest_size=16).digest())
                         sigs.append(s.view(np.int64))
                         bits.append(np.packbits((np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).astype(bool)).view(np.int64))
-                        tokens.append(blob)
                         own.append(int(np.count_nonzero(every[begin[d] : begin[d + 1]] == 0)))
                     else:
                         bits.append(np.zeros(len(B), np.int64))
-                        for column in (key, sigs, tokens, own):
+                        for column in (key, sigs, own):
                             column.append(None)
-                yield pa.record_batch({"doc_id": ids.slice(i, j - i), "n": pa.array(n), "own": pa.array(own, pa.int64()), "key": pa.array(key, pa.binary()), "sigs": pa.array(sigs, pa.list_(pa.int64())), "tokens": pa.array(tokens, pa.binary()), **dict(zip(B, map(pa.array, np.stack(bits, 1)), strict=True))})
+                yield pa.record_batch({"doc_id": ids.slice(i, j - i), "n": pa.array(n), "own": pa.array(own, pa.int64()), "key": pa.array(key, pa.binary()), "sigs": pa.array(sigs, pa.list_(pa.int64())), **dict(zip(B, map(pa.array, np.stack(bits, 1)), strict=True))})
 
     return staging.staged(docs.mapInArrow(rows, SETS), "sets", max(24, staging.files_for(staging.input_bytes(docs), FILE_BYTES)))
 
@@ -156,10 +154,23 @@ def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
     return rows.select(*more, F.col("key").alias(s), F.col("n").alias(f"n{s}"), *[F.col(b).alias(f"{s}{b}") for b in B])
 
 
-def _links(left: DataFrame, nodes: DataFrame, indexed: DataFrame, percent: int, files: int) -> DataFrame:
-    """(a, b): leaders of those plausible pairs (x, y) of set keys that link."""
-    full = indexed.join(nodes.select("key", "lead"), "key").where("doc_id = lead").select("key", "lead", "tokens").dropDuplicates(["key"])
-    both = left.join(full.toDF("x", "a", "tx"), "x").join(full.toDF("y", "b", "ty"), "y").select("a", "b", "tx", "ty")
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, files: int) -> DataFrame:
+    """(a, b): leaders of those plausible pairs (x, y) of set keys that link. Only the sets that are in a pair are read
+    from their texts again."""
+    pairs = staging.staged(pairs, "pairs", files)
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct().join(nodes.select("key", "lead"), "key")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off = tk.utf8(b.column("text"))
+            for i, j in tk.blocks(off):
+                blobs = [x.tobytes() for x in shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)]
+                part = b.slice(i, j - i)
+                same = [blake2b(x, digest_size=16).digest() == y.as_py() for x, y in zip(blobs, part.column("key"), strict=True)]  # rows may share a doc_id
+                yield pa.record_batch({"key": part.column("key"), "lead": part.column("lead"), "tokens": pa.array(blobs, pa.binary())}).filter(pa.array(same, pa.bool_()))
+
+    full = docs.join(needed, docs["doc_id"] == needed["lead"]).select("key", "lead", "text").mapInArrow(sets, "key binary, lead long, tokens binary").dropDuplicates(["key"])
+    both = pairs.join(full.toDF("x", "a", "tx"), "x").join(full.toDF("y", "b", "ty"), "y").select("a", "b", "tx", "ty")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,7 +206,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     star = lists.join(hub, "sig").where((F.col("key") != F.col("hub.key")) & near)
     pairs = star.select(F.least("key", "hub.key").alias("x"), F.greatest("key", "hub.key").alias("y")).distinct()
     sides = pairs.join(_side(nodes, "x"), "x").join(_side(nodes, "y"), "y").where(_plausible(percent)).select("x", "y")
-    label = staging.components(_links(sides, nodes, indexed, percent, files))
+    label = staging.components(_links(sides, docs, nodes, k, percent, files))
 
     named = nodes.join(label, nodes["lead"] == label["node"], "left").select("key", "lead", "n", *B, "sigs", F.coalesce("component", "lead").alias("c"))
     named = staging.staged(named, "named", files)
@@ -204,7 +215,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     member = staging.staged(member.join(mixed, "sig", "left_semi").join(named.select("key", "n", *B), "key"), "members", files)
     x, y = _side(member, "x", "sig", F.col("c").alias("cx")), _side(member, "y", F.col("sig").alias("sig_y"), F.col("c").alias("cy"))
     cross = x.join(y, (F.col("sig") == F.col("sig_y")) & (F.col("cx") < F.col("cy")) & _plausible(percent)).select("x", "y").distinct()
-    second = _links(cross, nodes, indexed, percent, files)
+    second = _links(cross, docs, nodes, k, percent, files)
 
     # the second step links components: theirs are the smallest of the components that a component reaches
     of = named.select("lead", "c")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 LOG_BITS = 27
 #: Hashes that a task gathers before it hands them on.
 FLUSH = 2 << 20
+#: Bytes of a staged table that a task gathers before it writes them.
+ROW_GROUP = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +47,7 @@ def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scanloom/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.options(**{"compression": "zstd", "parquet.block.size": ROW_GROUP}).parquet(path)
     fs, at = _hadoop_path(spark, path)
     fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

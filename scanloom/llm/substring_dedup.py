@@ -70,16 +70,8 @@ class _Cover:
         ok = n > 0
         at, h, s, n = at[ok], h[ok], s[ok], n[ok]
         # the words of the block, one space after each: contents are slices of this
-        size = ends - starts + 1
-        to = np.cumsum(size) - size
-        letters = np.zeros(len(raw) + 1, np.int8)
-        letters[starts] += 1
-        letters[ends] -= 1
-        letter = np.flatnonzero(np.cumsum(letters[:-1]))
-        flat = np.full(int(size.sum()), 32, np.uint8)
-        flat[np.repeat(to - starts, ends - starts) + letter] = raw[letter]
-        text = flat.tobytes()
-        stop = to + size - 1
+        flat, to = tk.joined(raw, starts, ends, 1)
+        text, stop = flat.tobytes(), to + ends - starts
 
         def body(ks: np.ndarray) -> list[bytes]:
             """The place of the anchor in the content, then its words: the same words around another place are another class."""

@@ -124,6 +124,35 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return h
 
 
+def same_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """For each span of raw, whether its bytes are those of the span of other beside it."""
+    x, y, n = _eights(raw), _eights(other), ends - starts
+    out = n == to - from_
+    left, k = np.flatnonzero(out), 0
+    while len(left):
+        mask = _FIRST[np.minimum(n[left] - k, 8)]
+        equal = (x[starts[left] + k] & mask) == (y[from_[left] + k] & mask)
+        out[left[~equal]] = False
+        k += 8
+        left = left[equal & (n[left] > k)]
+    return out
+
+
+def joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans one after another, with `gap` spaces after each, and where each begins."""
+    size = ends - starts
+    to = np.cumsum(size + gap) - size - gap
+    out = np.full(int((size + gap).sum()), 32, np.uint8)
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(to, size) + step] = raw[np.repeat(starts, size) + step]
+    return out, to
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """raw with A-Z as a-z."""
+    return _LOWER[raw]
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive word hashes; windows that cross documents are for the caller to leave out."""
     n = len(words)

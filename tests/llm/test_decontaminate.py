@@ -2,6 +2,9 @@ import re
 from hashlib import sha256
 from random import Random
 
+import numpy as np
+import pyarrow as pa
+
 from scanloom.llm import decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -59,6 +62,29 @@ def test_against_brute_force(spark, monkeypatch):
         assert {r.doc_id if r.doc_id is not None else -1 for r in kept.collect()} == {x[0] for x in got} - bad
 
 
+def test_rows_stay_or_go_by_their_own_text(spark):
+    b = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
+    rows = [(None, "red green blue"), (None, "a clean text"), (None, None), (7, "so red green blue"), (7, "clean as well"), (7, "clean as well")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [r for r in rows if not (r[1] or "").endswith("blue")]
+    assert sorted(map(str, (tuple(r) for r in decontaminate.clean(d, b).collect()))) == sorted(map(str, want))
+
+
+def test_words_that_share_a_hash(spark, monkeypatch):
+    """Terms are told by their letters: long words that a polynomial confuses, and all words if all hashes are equal."""
+    a, z = ("".join(x[bin(k).count("1") % 2] for k in range(2048)) for x in ("ab", "ba"))
+    d = spark.createDataFrame([(1, a), (2, z), (3, f"{z} {a}"), (4, "red blue green")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, a), (2, "blue green")], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(d, b).collect()} == {1: 1, 2: 0, 3: 1, 4: 2}
+    monkeypatch.setattr(decontaminate.tk, "span_hashes", lambda raw, starts, ends, lower: np.zeros(len(starts), np.uint64))
+    texts = ["red blue green", "blue", "green blue green blue green", ""]
+    raw, off = decontaminate.tk.utf8(pa.array(texts))
+    q = decontaminate.Queries([1, 2], ["blue green", "red"], 10)
+    shard = decontaminate.Shard(decontaminate.posted(raw, off), q)
+    window, start = shard.phrases(q)
+    assert sorted(zip(window.tolist(), start.tolist(), strict=True)) == [(0, 1), (0, 7), (0, 9), (1, 0)]
+
+
 def test_proximity(spark):
     b = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     d = spark.createDataFrame([(1, "blue x red y green"), (2, "red x x x x x x x x green blue"), (3, "red green")], "doc_id long, text string")
