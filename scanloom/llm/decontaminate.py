@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is stored: a table in the shared folder with a row for each shard, a block of training documents. It has all
-terms of the shard in the order of their hashes, spelled out, and for each term the ascending positions at which it
+terms of the shard, spelled out in the order of their hashes, and for each term the ascending positions at which it
 occurs, as differences. A query, a window of consecutive test words, takes the posting list of its rarest term in the
 shard, shifts it by the term's place in the window and intersects it with the equally shifted lists of the other terms,
 rarest first. A term is looked up by its hash and then compared by its letters. Lists are intersected where they are
@@ -29,10 +29,18 @@ from scanloom.llm import staging
 from scanloom.llm import textkernel as tk
 
 #: Text of the test set that is broadcast at once; text of a shard; text for each file of the index.
-BLOCK_BYTES, SHARD_BYTES, FILE_BYTES = 16 << 20, 1 << 20, 8 << 20
-#: doc_ids and first (number of each document's first word, and of all words); terms (hashes), spelled and ends (of
-#: their letters); begin (of each list) and steps (of positions).
-INDEX = "doc_ids array<{id}>, first binary, terms binary, spelled binary, ends binary, begin binary, steps binary"
+BLOCK_BYTES, SHARD_BYTES, FILE_BYTES = 16 << 20, 256 << 10, 8 << 20
+#: doc_ids; first (number of each document's first word, and of all words); terms (their letters) and sizes (in bytes);
+#: counts (of each term) and steps (of positions, list by list). Numbers have 32 bits.
+INDEX = "doc_ids array<{id}>, first binary, terms binary, sizes binary, counts binary, steps binary"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return values.astype("<u4").tobytes()
+
+
+def _numbers(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u4").astype(np.int64)
 
 
 def posted(raw: np.ndarray, off: np.ndarray) -> dict[str, bytes]:
@@ -55,8 +63,8 @@ def posted(raw: np.ndarray, off: np.ndarray) -> dict[str, bytes]:
     step[new] = place[order][new]
     some = order[new]
     text, _ = tk.joined(raw, starts[some], ends[some], 0)
-    begin = np.r_[np.flatnonzero(new), len(h)]
-    return {"first": first.tobytes(), "terms": h[some].tobytes(), "spelled": text.tobytes(), "ends": np.cumsum(ends[some] - starts[some]).tobytes(), "begin": begin.tobytes(), "steps": step.astype(np.uint32).tobytes()}
+    counts = np.diff(np.r_[np.flatnonzero(new), len(h)])
+    return {"first": _packed(first), "terms": text.tobytes(), "sizes": _packed(ends[some] - starts[some]), "counts": _packed(counts), "steps": _packed(step)}
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -105,9 +113,10 @@ class Shard:
     """The posting lists of a stored shard that the terms of a test set ask for."""
 
     def __init__(self, row: dict[str, bytes], q: Queries) -> None:
-        self.first, begin, ends = (np.frombuffer(row[c], np.int64) for c in ("first", "begin", "ends"))
-        terms, text, step = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["spelled"], np.uint8), np.frombuffer(row["steps"], np.uint32).astype(np.int64)
-        starts = np.r_[0, ends[:-1]]
+        self.first, sizes, counts, step = (_numbers(row[c]) for c in ("first", "sizes", "counts", "steps"))
+        begin, ends, text = np.r_[0, np.cumsum(counts)], np.cumsum(sizes), np.frombuffer(row["terms"], np.uint8)
+        starts = ends - sizes
+        terms = tk.span_hashes(text, starts, ends, lower=False)
         self.span = len(step) + len(self.first) + 1
         want = np.arange(q.n_terms)
         at = np.searchsorted(terms, q.hashes)
@@ -122,7 +131,7 @@ class Shard:
             want, at = want[~same], at[~same] + 1
         there = np.flatnonzero(lists >= 0)
         self.count = np.zeros(q.n_terms, np.int64)
-        self.count[there] = np.diff(begin)[lists[there]]
+        self.count[there] = counts[lists[there]]
         self.begin = np.r_[0, np.cumsum(self.count)]
         n = self.count[there]
         from_ = np.repeat(begin[lists[there]], n)

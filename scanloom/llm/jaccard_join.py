@@ -59,10 +59,11 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
             x = np.sort(h[a : b - k + 1])
             out.append(x[np.r_[True, x[1:] != x[:-1]]])
         elif b > a:
-            short = words[a:b].copy()
-            for j in range(1, b - a):
-                short[0] = short[0] * np.uint64(0x9FB21C651E98DF25) + short[j]
-            out.append(tk.mix(short[:1] + np.uint64(b - a)))
+            short = words[a : a + 1].copy()
+            for j in range(a + 1, b):
+                short *= np.uint64(0x9FB21C651E98DF25)
+                short += words[j]
+            out.append(tk.mix(short + np.uint64(b - a)))
         else:
             out.append(h[:0])
     return out

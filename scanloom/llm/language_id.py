@@ -39,7 +39,7 @@ def folded() -> np.ndarray:
     """For each code point: its lower case if it is a letter, else a space."""
     if not _fold:
         table = np.full(0x110000, 32, np.uint32)
-        for block in (range(0xD800), range(0xE000, 0x32000)):
+        for block in (range(0xD800), range(0xE000, 0x110000)):
             for c in block:
                 x = chr(c)
                 if x.isalpha():
@@ -182,7 +182,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     last = learnable.select(rank.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
         return None
-    chosen = learnable.where(rank <= last).orderBy(rank, "doc_id", "text", "lang").limit(sample)
+    # equal rows teach once; the chosen are dealt out again, as a task alone would read them all
+    chosen = learnable.where(rank <= last).distinct().orderBy(rank, "doc_id", "text", "lang").limit(sample).repartition(16)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,6 +196,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     rows = chosen.mapInArrow(sparse, "lang string, at binary, value binary, has boolean").where("has").collect()
     if not rows:
         return None
+    rows.sort(key=lambda r: (r.at, r.value, r.lang))  # the same model whatever order rows come in
     names = sorted({r.lang for r in rows})
     y = np.array([names.index(r.lang) for r in rows])
     return fit([(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32)) for r in rows], y, idf, names)

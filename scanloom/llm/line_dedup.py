@@ -1,11 +1,12 @@
 """Line deduplication on content-defined chunks of lines, in DataFrame functions only.
 
-A line ends a chunk when a rolling hash over its own hash and those of the two lines before it in the document falls
+A line ends a chunk when a rolling hash over its own hash and that of the line before it in the document falls
 into one of EVERY residues. Boundaries depend on near lines only, so that lines put in or left out somewhere shift no
-boundary further down. Chunks of several lines are grouped by their hash and their bytes; a hash that stands for more
-than one content removes nothing, which makes the comparison exact. Of each repeated chunk the first occurrence (the
-smallest doc_id, then the first in the document) stays; all later ones are removed. Chunks of one line, and chunks
-without a visible character, are never removed.
+boundary further down; with the short window, a passage of a few lines has boundaries of its own. Chunks of several
+lines are grouped by their hash and their bytes. A hash that stands for one content is a name for it; chunks whose hash
+stands for more are named by hash and bytes. Of each repeated chunk the first occurrence (the smallest doc_id, then the
+first in the document) stays; all later ones are removed. Chunks of one line, and chunks without a visible character,
+are never removed.
 
 A chunk that very many documents share meets as partial aggregates; its occurrences are joined to one row by its hash,
 a join that adaptive execution can split. Text is shuffled twice: once as chunks, once as documents.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from scanloom.llm import staging
 
 #: One line in so many ends a chunk.
-EVERY = 4
+EVERY = 2
 #: The rolling hash's factor, and the prime before the residue.
 FACTOR, PRIME = 1009, 8191
 
@@ -39,7 +40,7 @@ def chunks(text: Column) -> Column:
         lines, h = pair["lines"], pair["h"]
         last = F.size(lines) - 1
         before = lambda i, k: F.when(i >= k, F.get(h, i - k)).otherwise(F.lit(0).cast("long"))
-        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.pmod(before(i, 2) * (FACTOR * FACTOR) + before(i, 1) * FACTOR + F.get(h, i), F.lit(PRIME)), F.lit(EVERY)) == 0))
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.pmod(before(i, 1) * FACTOR + F.get(h, i), F.lit(PRIME)), F.lit(EVERY)) == 0))
         return F.transform(F.array(F.struct(lines.alias("lines"), ends.alias("ends"))), lambda x: F.transform(x["ends"], lambda e, k: F.array_join(F.slice(x["lines"], F.when(k == 0, F.lit(0)).otherwise(F.get(x["ends"], k - 1) + 1) + 1, e - F.when(k == 0, F.lit(-1)).otherwise(F.get(x["ends"], k - 1))), "\n")))[0]
 
     hashed = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.transform(x, _hash).alias("h")))
@@ -54,23 +55,31 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, text replaced by what stays, and n_lines, n_removed_lines, n_removed_chunks
     (any columns of these names are replaced)."""
     docs = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t"), chunks(F.col("text").cast("string")).alias("c"))
-    every = keyed.select("d", "t", F.posexplode("c").alias("k", "chunk")).where(F.col("chunk").contains("\n") & F.col("chunk").rlike(r"\S")).withColumn("h", F.xxhash64("chunk"))
-    where = F.struct("d", "t", "k")
+    # a null id is not the id that stands for it
+    d, t, null = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text"), F.col("doc_id").isNotNull()
+    keyed = docs.select(null.alias("i"), d.alias("d"), t.alias("t"), chunks(F.col("text").cast("string")).alias("c"))
+    every = keyed.select("i", "d", "t", F.posexplode("c").alias("k", "chunk")).where(F.col("chunk").contains("\n") & F.col("chunk").rlike(r"\S")).withColumn("h", F.xxhash64("chunk"))
+    where = F.struct("i", "d", "t", "k")
     contents = every.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(where).alias("lead"))
-    again = contents.groupBy("h").agg(F.count("*").alias("contents"), F.max("n").alias("n"), F.min("lead").alias("lead")).where("contents = 1 and n > 1").select("h", "lead")
+    again = staging.staged(contents.groupBy("h").agg(F.count("*").alias("contents"), F.max("n").alias("n"), F.min("lead").alias("lead")).where("contents > 1 or n > 1").select("h", "contents", "lead"), "chunks")
     # rows that share doc_id and text are one document: its own first chunk is the leader in each of them
-    names = [F.col("d").alias("__gd"), F.col("t").alias("__gt"), F.col("k")]
-    gone = every.join(staging.staged(again, "chunks"), "h").where(where != F.col("lead")).select(names).groupBy("__gd", "__gt").agg(F.collect_set("k").alias("__gone"))
-    left = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__t": F.xxhash64("text")})
-    both = left.join(gone, (F.col("__d") == F.col("__gd")) & (F.col("__t") == F.col("__gt")), "left")
+    names = ["i", "d", "t", "k"]
+    later = every.join(again.where("contents = 1"), "h").where(where != F.col("lead")).select(names)
+    shared = again.where("contents > 1").select("h")
+    if not shared.isEmpty():  # different chunks with one hash
+        some = every.join(shared, "h", "left_semi")
+        first = some.groupBy("h", "chunk").agg(F.min(where).alias("lead"))
+        later = later.unionByName(some.join(first, ["h", "chunk"]).where(where != F.col("lead")).select(names))
+    gone = later.select(F.col("i").alias("__gi"), F.col("d").alias("__gd"), F.col("t").alias("__gt"), "k").groupBy("__gi", "__gd", "__gt").agg(F.collect_set("k").alias("__gone"))
+    left = docs.withColumns({"__i": null, "__d": d, "__t": t})
+    both = left.join(gone, (F.col("__i") == F.col("__gi")) & (F.col("__d") == F.col("__gd")) & (F.col("__t") == F.col("__gt")), "left")
     parts = F.transform(chunks(F.col("text").cast("string")), lambda c, k: F.struct(c.alias("c"), F.coalesce(F.array_contains(F.col("__gone"), k), F.lit(False)).alias("out")))
     both = both.withColumn("__p", F.when(F.col("__gone").isNotNull(), parts))
     kept = F.array_join(F.transform(F.filter("__p", lambda x: ~x["out"]), lambda x: x["c"]), "\n")
     n_gone = F.aggregate(F.filter("__p", lambda x: x["out"]), F.lit(0), lambda a, x: a + _n_lines(x["c"]))
     lines = F.when(F.length("text") > 0, _n_lines(F.col("text"))).otherwise(0)
     both = both.withColumns({"n_lines": lines.cast("long"), "n_removed_lines": F.coalesce(n_gone, F.lit(0)).cast("long"), "n_removed_chunks": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)})
-    return both.drop("__p", "__gone", "__d", "__t", "__gd", "__gt")
+    return both.drop("__p", "__gone", "__i", "__d", "__t", "__gi", "__gd", "__gt")
 
 
 SQL = """
@@ -80,7 +89,7 @@ WITH l AS (
 ), h AS (
   SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l
 ), c AS (
-  SELECT *, ((coalesce(lag(h, 2) OVER w, 0) * 1018081 + coalesce(lag(h, 1) OVER w, 0) * 1009 + h) % 8191) % 4 = 0 AS cut FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, ((coalesce(lag(h) OVER w, 0) * 1009 + h) % 8191) % 2 = 0 AS cut FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), g AS (
   SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM c
 ), k AS (

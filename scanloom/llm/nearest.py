@@ -2,11 +2,14 @@
 
 Equal vectors are one point that knows its smallest ids, more than any answer can show. Centroids are fitted on a
 bounded sample by k-means with a penalty on size, so that lists come out balanced. A point near a boundary is replicated
-to several lists: those not much farther than its nearest, unless a list already chosen has nearly the same centroid. Centroids are found by best-first search in an in-memory neighbour graph of bounded size, for points and
-queries alike; a query visits the lists whose centroid is not farther than RATIO times its nearest. Every point is
+to several lists: those not much farther than its nearest, unless a list already chosen has nearly the same centroid.
+Centroids are found by best-first search in an in-memory neighbour graph of bounded size, for points and queries alike; a
+query visits the lists whose centroid is not farther than RATIO times its nearest. Every point is
 indexed. Lists longer than PART points are split, so that a task holds at most PART points while queries stream past.
 
-Scores are Euclidean distances of the original vectors in double precision.
+Scores are Euclidean distances of the original vectors in double precision; where squares would overflow or vanish, the
+differences are first divided by the largest. Lists are found with single precision; if the largest component is very
+large or small, with all vectors divided by a power of two near it and in double precision.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 length is not the most common one (of equally common ones the smaller), nor null ids; rows that repeat an id with the
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -50,7 +54,7 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 8, weight: float = 0
         scale = None
         for a in range(0, len(x), 512):
             d = _distances(x[a : a + 512], c)
-            scale = scale or float(d.min(axis=1).mean()) + 1e-12
+            scale = scale or float(d.min(axis=1).mean()) + 1e-300
             own[a : a + 512] = (d + weight * scale * np.maximum(size / (len(x) / k) - 1, 0)).argmin(axis=1)
             size += np.bincount(own[a : a + 512], minlength=k)
         total = np.zeros_like(c, np.float64)
@@ -140,7 +144,7 @@ class Graph:
         for row, dist in zip(ids, d, strict=True):
             chosen: list[int] = []
             for k, c in enumerate(row.tolist()):
-                if c < 0 or dist[k] > dist[0] * CLOSURE**2 + 1e-12 or len(chosen) >= REPLICAS:
+                if c < 0 or dist[k] > dist[0] * CLOSURE**2 or len(chosen) >= REPLICAS:
                     break
                 if all(((self.c[c] - self.c[o]) ** 2).sum() >= ALIKE**2 * dist[k] for o in chosen):
                     chosen.append(c)
@@ -182,30 +186,59 @@ def points_of(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return staging.staged(merged, "points"), rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "key").distinct()
 
 
-def fitted(points: DataFrame) -> Graph | None:
+def lengths(d: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows, whatever their size."""
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt((d * d).sum(axis=1))
+    odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-140))
+    if len(odd):
+        top = np.abs(d[odd]).max(axis=1, initial=0)
+        safe = np.where(top > 0, top, 1)
+        out[odd] = np.sqrt(((d[odd] / safe[:, None]) ** 2).sum(axis=1)) * top
+    return out
+
+
+@dataclass(frozen=True)
+class Scale:
+    """How vectors are written for the search of lists."""
+
+    exponent: int
+    kind: type
+
+    def __call__(self, v: np.ndarray) -> np.ndarray:
+        return (np.ldexp(v, -self.exponent) if self.exponent else v).astype(self.kind)
+
+
+def scale_of(top: float) -> Scale:
+    return Scale(0, np.float32) if 1e-12 < top < 1e15 else Scale(math.frexp(top)[1], np.float64)
+
+
+def fitted(points: DataFrame) -> tuple[Graph, Scale] | None:
     """The graph of the centroids, from points of the smallest hashes; all of it is bounded by SAMPLE and NUMBERS."""
-    n = points.count()
-    if not n:
+    whole = points.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
+    if not whole.n:
         return None
+    n, scale = whole.n, scale_of(whole.top)
     rank = F.xxhash64("key")
     rows = points.select(rank.alias("h"), "key", "v").orderBy("h", "key").limit(SAMPLE).collect()
-    x = np.array([r.v for r in rows], np.float32)
+    x = scale(np.array([r.v for r in rows]))
     k = max(1, min(math.ceil(n / LIST), CENTROIDS, NUMBERS // x.shape[1], max(1, len(x) // 8)))
-    return Graph(balanced_centroids(x, k))
+    return Graph(balanced_centroids(x, k)), scale
 
 
 def search(vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score: of each vector whose id is divisible by 100, the k nearest others found."""
     spark = vectors.sparkSession
     points, queries = points_of(vectors, k)
-    graph = fitted(points)
-    if graph is None:
+    fit = fitted(points)
+    if fit is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    graph, scale = fit
     cast = spark.sparkContext.broadcast(graph)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(a, 512) for x in batches for a in range(0, x.num_rows, 512)):
-            lists = cast.value.lists(_matrix(b.column("v")).astype(np.float32))
+            lists = cast.value.lists(scale(_matrix(b.column("v"))))
             at = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in lists]))
             yield pa.record_batch({"list": pa.array(np.concatenate(lists).astype(np.int32)), "key": b.column("key").take(at), "ids": b.column("ids").take(at), "v": b.column("v").take(at)})
 
@@ -218,8 +251,8 @@ def search(vectors: DataFrame, k: int = 10) -> DataFrame:
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(a, 256) for x in batches for a in range(0, x.num_rows, 256)):
-            ids, d = cast.value.search(_matrix(b.column("v")).astype(np.float32), PROBES)
-            wanted = (ids >= 0) & (d <= d[:, :1] * RATIO**2 + 1e-12)
+            ids, d = cast.value.search(scale(_matrix(b.column("v"))), PROBES)
+            wanted = (ids >= 0) & (d <= d[:, :1] * RATIO**2)
             wanted[:, : min(8, ids.shape[1])] |= ids[:, :8] >= 0
             row, col = np.nonzero(wanted)
             lists = ids[row, col]
@@ -263,7 +296,7 @@ def search(vectors: DataFrame, k: int = 10) -> DataFrame:
                 count = np.array([len(i) for i in ids])
                 flat = np.concatenate([np.array(i, np.int64) for i in ids])
                 for key, q in zip(part.column("key").to_pylist(), _matrix(part.column("v")), strict=True):
-                    d = np.repeat(np.sqrt(((x - q) ** 2).sum(axis=1)), count)
+                    d = np.repeat(lengths(x - q), count)
                     best = np.lexsort((flat, d))[: k + 1] if len(d) <= 4 * k else (lambda c: c[np.lexsort((flat[c], d[c]))[: k + 1]])(np.flatnonzero(d <= np.partition(d, k)[k]))
                     yield pa.record_batch({"key": pa.array([key] * len(best), pa.binary()), "vec_id": pa.array(flat[best]), "score": pa.array(d[best])})
 

@@ -10,6 +10,9 @@ Best fit is sequential; it runs in shards that pieces are dealt to by a hash of
 shards that follows the words and pieces of the input. A shard holds a bounded number of pieces whatever the skew: no
 source or cluster is kept together. Bins of different shards never share documents, so constraints hold globally.
 
+The duplicate cluster of a document is by default the sequence of its words in lower case: exact copies and those that
+differ in letter case or white space conflict, edited copies do not unless a column says so.
+
 Defined results: a document without words has one row with piece 0, no words and no bin; null sources and clusters
 conflict with nothing; repeated rows are pieces of their own (and conflict, having one cluster); a null doc_id is dealt
 like a value.
@@ -21,12 +24,15 @@ import math
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.llm import staging
 from scanloom.llm import textkernel as tk
 
 CAPACITY, PER_SOURCE = 2048, 2
@@ -34,6 +40,8 @@ CAPACITY, PER_SOURCE = 2048, 2
 SHARD_WORDS, SHARD_PIECES = 4 << 20, 20_000
 #: A source or cluster with such a share of a shard's pieces has its own list of bins.
 HOT = 0.04
+#: Bytes of text for each file of word counts.
+FILE_BYTES = 64 << 20
 
 
 def best_fit(pieces: list[tuple[int, object, object]], capacity: int, per_source: int) -> list[int]:
@@ -95,13 +103,21 @@ def best_fit(pieces: list[tuple[int, object, object]], capacity: int, per_source
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, cluster, n) with n words in text."""
+    """(doc_id, source, cluster, n) with n words in text; a null cluster becomes a hash of the words, if there are any."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = tk.utf8(b.column("text"))
-            n = [np.diff(tk.word_bounds(raw[off[i] : off[j]], off[i : j + 1] - off[i], "space")[2]) for i, j in tk.blocks(off)]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "source": b.column("source"), "cluster": b.column("cluster"), "n": pa.array(np.concatenate(n))})
+            n, same = [np.empty(0, np.int64)], []
+            for i, j in tk.blocks(off):
+                text = tk.lowered(raw[off[i] : off[j]])
+                starts, ends, first = tk.word_bounds(text, off[i : j + 1] - off[i], "space")
+                flat, to = tk.joined(text, starts, ends, 1)
+                at = np.r_[to, len(flat)][first]
+                same += [int.from_bytes(blake2b(flat[x:y], digest_size=8).digest(), "little", signed=True) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                n.append(np.diff(first))
+            cluster = pc.coalesce(b.column("cluster"), pa.array(same, pa.int64()))
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "source": b.column("source"), "cluster": cluster, "n": pa.array(np.concatenate(n))})
 
     return docs.mapInArrow(count, "doc_id long, source string, cluster long, n long")
 
@@ -109,10 +125,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, cluster: Column | None = None) -> DataFrame:
     """doc_id, piece, first_word, n_words, bin and bin_words (words in the bin) of every piece.
 
-    cluster: what says that documents are duplicates of one another; a hash of the text if it is not given.
+    cluster: what says that documents are duplicates of one another; where it is null or not given, equal words do.
     """
-    cluster = F.xxhash64(F.col("text").cast("string")) if cluster is None else cluster.cast("long")
-    rows = word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.when(F.col("text").isNotNull(), cluster).alias("cluster")))
+    cluster = F.lit(None).cast("long") if cluster is None else cluster.cast("long")
+    rows = word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), cluster.alias("cluster")))
+    rows = staging.staged(rows, "words", max(12, staging.files_for(staging.input_bytes(docs), FILE_BYTES)))  # texts are read once
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int"))))
     first = F.col("piece").cast("long") * capacity
     pieces = pieces.select("doc_id", "source", "cluster", "piece", first.alias("first_word"), F.least(F.col("n") - first, F.lit(capacity)).cast("long").alias("n_words"))

@@ -5,14 +5,14 @@ document. Sites are estimated from it: expected good documents are summed by pat
 spread of hosts, and of paths inside their hosts, beyond what sampling explains gives the strength of each level's
 prior by the method of moments; a host's posterior is shrunk towards the global rate and a path's towards its host's, the
 more the fewer documents they have. A document's score is its evidence, in log-odds, moved by its path's posterior
-against the global rate. A second head with the same features finds toxic documents; those are not kept.
+against the global rate; of that posterior the document itself is no part, so its evidence counts once. A second head with the same features finds toxic documents; those are not kept.
 
 Aggregation is by (host, path), with partial sums before the shuffle; the posteriors are joined back to rows of a
 document's id and evidence, a join that adaptive execution can split, so a host may hold any share of the documents.
 
 Defined results: a null host or path is a site of its own; a null or empty text has the evidence of its features;
 labels that are null, or of documents that are not there, teach nothing; without labels of both kinds the evidence is even
-(0.5) and nothing is toxic; repeated rows count each; repeated labels of a document teach each.
+(0.5) and nothing is toxic; repeated rows count each in the sites and teach once; different labels of a document teach each.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from scanloom.llm import textkernel as tk
 SAMPLE = 8000
 WORDS = 1 << 16
 SHAPE = 12
+#: Words that fewer labelled documents have teach nothing; of few labelled documents a hundredth is enough.
+LEAST = 10
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -76,11 +78,13 @@ class Head:
         return np.bincount(d, self.w[b] * value, len(shape)) + shape @ self.v
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, passes: int = 12, l1: float = 3e-3, even: float = 1.0) -> Head | None:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, passes: int = 12, l1: float = 1e-3, even: float = 0.7) -> Head | None:
     """Logistic regression by AdaGrad, the rarer kind weighing more (even: 0 as often as it is, 1 as much as
     the other), with an L1 penalty on words; None if a kind is missing."""
     if not len(y) or y.min() == y.max():
         return None
+    often = np.bincount(np.concatenate([r[0] for r in rows]), minlength=WORDS) >= min(LEAST, 1 + len(y) // 100)
+    rows = [(b[often[b]], v[often[b]], s) for b, v, s in rows]
     w, v = np.zeros(WORDS), np.zeros(SHAPE)
     gw, gv = np.full(WORDS, 1e-6), np.full(SHAPE, 1e-6)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** even
@@ -112,7 +116,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Head | None, Head | None]
     marks = labels.where("doc_id is not null and (quality is not null or toxic is not null)").select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     few = marks.orderBy(F.xxhash64("label_id"), "label_id", "quality", "toxic").limit(SAMPLE)
     # bounded by SAMPLE rows of three numbers
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("text", "quality", "toxic")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("label_id"))
+    # repeated documents teach once; should ids stand for more texts than the sample has room for, the order of all decides
+    chosen = chosen.distinct().orderBy(F.xxhash64("label_id"), "label_id", "text", "quality", "toxic").limit(SAMPLE).repartition(16).select("text", "quality", "toxic")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -122,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Head | None, Head | None]
                 cut = np.searchsorted(d, np.arange(j - i + 1))
                 yield pa.record_batch({"b": pa.array([b[p:q].astype(np.int32).tobytes() for p, q in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "v": pa.array([value[p:q].astype(np.float32).tobytes() for p, q in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "s": pa.array([s.tobytes() for s in shape], pa.binary()), "quality": x.column("quality").slice(i, j - i), "toxic": x.column("toxic").slice(i, j - i)})
 
-    got = chosen.mapInArrow(vectors, "b binary, v binary, s binary, quality int, toxic int").limit(SAMPLE).collect()
+    got = chosen.mapInArrow(vectors, "b binary, v binary, s binary, quality int, toxic int").collect()
     got.sort(key=lambda r: (r.b, r.s, r.quality or 0, r.toxic or 0))  # the same model whatever order rows come in
     rows = [(np.frombuffer(r.b, np.int32), np.frombuffer(r.v, np.float32).astype(float), np.frombuffer(r.s, float)) for r in got]
     heads = []
@@ -161,7 +167,7 @@ def _strength(good: Column, n: Column, centre: Column) -> Column:
 
 
 def posteriors(rows: DataFrame) -> DataFrame:
-    """(host, path, n, host_rate, path_rate, global_rate) from rows with host, path and evidence."""
+    """(host, path, good, n, strength, host_rate, path_rate, global_rate) from rows with host, path and evidence."""
     p = 1 / (1 + F.exp(-F.col("evidence")))
     paths = rows.groupBy("host", "path").agg(F.sum(p).alias("good"), F.count("*").alias("n"))
     hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
@@ -171,7 +177,7 @@ def posteriors(rows: DataFrame) -> DataFrame:
     hosts = hosts.withColumn("host_rate", (F.col("host_good") + k_host * rate) / (F.col("host_n") + k_host))
     both = paths.withColumnRenamed("host", "h").join(hosts, F.col("h").eqNullSafe(F.col("host"))).select("host", "path", "good", "n", "host_rate")
     k_path = both.agg(_strength(F.col("good"), F.col("n"), F.col("host_rate"))).first()[0] or 1.0
-    return both.select("host", "path", "n", "host_rate", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"), F.lit(rate).alias("global_rate"))
+    return both.select("host", "path", "good", "n", F.lit(float(k_path)).alias("strength"), "host_rate", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"), F.lit(rate).alias("global_rate"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
@@ -179,10 +185,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
     # ids and evidence, written once: sites, their strengths and the scores all read it
     rows = staging.staged(evidence(docs, train(docs, labels)), "evidence")
-    sites = posteriors(rows).toDF("h", "p", "site_n", "host_rate", "path_rate", "global_rate")
+    sites = posteriors(rows).toDF("h", "p", "good", "n", "strength", "host_rate", "path_rate", "global_rate")
     both = rows.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
     odds = lambda c: F.log(c / (1 - c))
-    safe = F.least(F.greatest(F.col("path_rate"), F.lit(1e-4)), F.lit(1 - 1e-4))
+    own = 1 / (1 + F.exp(-F.col("evidence")))
+    others = (F.col("good") - own + F.col("strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("strength"))
+    safe = F.least(F.greatest(others, F.lit(1e-4)), F.lit(1 - 1e-4))
     score = 1 / (1 + F.exp(-(F.col("evidence") + odds(safe) - odds(F.col("global_rate")))))
     toxic = 1 / (1 + F.exp(-F.col("toxic")))
     out = both.select("doc_id", "evidence", "host_rate", "path_rate", score.alias("score"), toxic.alias("toxic_score"))

@@ -31,7 +31,7 @@ from scanloom.llm import textkernel as tk
 #: Classes whose content a map task remembers to have handed on; forgetting them costs a repeated row, no result.
 REMEMBERED = 200_000
 #: Logarithm of the number of classes from which a bucket is compared by rows.
-HOT = 12
+HOT = 10
 #: Bytes of text for each file of classes.
 FILE_BYTES = 4 << 20
 

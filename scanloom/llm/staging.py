@@ -80,9 +80,9 @@ def log_bits(df: DataFrame) -> int:
 
 
 def packed(hashes: Iterator[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    """Counts 64-bit hashes map-side and deals them by their leading bits, six bytes each.
+    """Counts 64-bit hashes map-side and deals them by their leading bits, five bytes each.
 
-    The last 16 bits are left out, which can only make two hashes look alike: a sketch may then call a hash repeated
+    The last 24 bits are left out, which can only make two hashes look alike: a sketch may then call a hash repeated
     that is not, and no result depends on that.
     """
     held: list[np.ndarray] = []
@@ -91,11 +91,11 @@ def packed(hashes: Iterator[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]
     def flush() -> Iterator[pa.RecordBatch]:
         h = np.concatenate(held)
         h.sort()
-        h, counts = _counted(h >> np.uint64(16))
-        shift = np.uint64(48 - parts.bit_length() + 1)
+        h, counts = _counted(h >> np.uint64(24))
+        shift = np.uint64(40 - parts.bit_length() + 1)
         cuts = np.searchsorted(h >> shift, np.arange(parts + 1, dtype=np.uint64))
         single = counts == 1
-        rows = [(p, _six(h[a:b][single[a:b]]), _six(h[a:b][~single[a:b]]), counts[a:b][~single[a:b]].astype(np.int64).tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        rows = [(p, _five(h[a:b][single[a:b]]), _five(h[a:b][~single[a:b]]), counts[a:b][~single[a:b]].astype(np.int64).tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         if rows:
             part, one, more, n = zip(*rows, strict=True)
             yield pa.record_batch({"part": pa.array(part, pa.int32()), "one": pa.array(one, pa.binary()), "more": pa.array(more, pa.binary()), "n": pa.array(n, pa.binary())})
@@ -113,14 +113,14 @@ def packed(hashes: Iterator[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]
 PACKED = "part int, one binary, more binary, n binary"
 
 
-def _six(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _five(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _eight(blob: bytes) -> np.ndarray:
-    six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
+    five = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :5] = five
     return out.view("<u8").reshape(-1)
 
 
@@ -157,14 +157,14 @@ def sketch(counted: DataFrame, parts: int, log: int):
         part = table["part"][0].as_py()
         one, more, n = (table[c].to_pylist() for c in ("one", "more", "n"))
         h = np.concatenate([*map(_eight, one), *map(_eight, more)])
-        c = np.concatenate([np.ones(sum(map(len, one)) // 6, np.int64), *(np.frombuffer(x, np.int64) for x in n)])
+        c = np.concatenate([np.ones(sum(map(len, one)) // 5, np.int64), *(np.frombuffer(x, np.int64) for x in n)])
         order = np.argsort(h, kind="stable")
         h, c = h[order], c[order]
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         h, c = h[at], np.add.reduceat(c, at)
         h, c = h[c >= 2], c[c >= 2]
         lead = np.uint64(part) << np.uint64(log - parts.bit_length() + 1)
-        where = ((h >> np.uint64(48 - log)) - lead).astype(np.int64)
+        where = ((h >> np.uint64(40 - log)) - lead).astype(np.int64)
         bits = np.zeros(max(8, (1 << log) // parts), bool)
         bits[where] = True
         classes = np.zeros(len(bits) >> 5 or 1, np.uint8)

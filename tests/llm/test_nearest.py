@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from scanloom.llm import nearest
 
@@ -56,3 +57,15 @@ def test_recall_without_clusters(spark):
     for r in nearest.search(df).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & {x for x, _ in v}) / 10 for q, v in want.items()]) >= 0.9
+
+
+@pytest.mark.parametrize("factor", [1e20, 1e200, 1e-30, 1e-200])
+def test_magnitudes(spark, factor):
+    """Very large and very small finite vectors have their neighbours, with scores in proportion."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8))
+    of = lambda f: {(r.query_id, r.rank): (r.vec_id, r.score) for r in nearest.search(spark.createDataFrame([(k, (v * f).tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    got, plain = of(factor), of(1.0)
+    assert len(got) == 30
+    for k, (name, score) in plain.items():
+        assert got[k][0] == name and abs(got[k][1] / factor / score - 1) < 1e-9
