@@ -22,6 +22,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,33 +174,51 @@ def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterat
     rows = mixed.repartition(4 * parts, "h").sortWithinPartitions("h", "c1", "c2", F.col("doc_id").asc_nulls_last())
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, int]] = []
-        names: list[int] = []
-        size, last, new, lead = 0, None, False, None
+        held: list[pa.RecordBatch] = []  # classes of whole buckets, but for the last one
+        size, tail = 0, None
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            inner: list[list[dict]] = [[] for _ in held]
-            for k, windows in resolver(held):
+        def flush(some: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(some)
+            inner: list[list[dict]] = [[] for _ in range(t.num_rows)]
+            for k, windows in resolver(list(zip(*(t.column(c).to_pylist() for c in ("body", "doc_id", "s")), strict=True))):
                 cut = np.flatnonzero(np.diff(windows) > 1)
                 inner[k] = [{"a": a, "b": b} for a, b in zip(windows[np.r_[0, cut + 1]].tolist(), windows[np.r_[cut, len(windows) - 1]].tolist(), strict=True)]
-            yield pa.record_batch({"doc_id": pa.array([x[1] for x in held], pa.int64()), "key": pa.array(names, pa.int64()), "inner": pa.array(inner, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
-
-        for batch in (p for x in batches for p in pieces(x, 4096)):
-            for h, c1, c2, doc, key, s, body in zip(*(batch.column(x).to_pylist() for x in ("h", "c1", "c2", "doc_id", "key", "s", "body")), strict=True):
-                if body is None:  # the class's own row comes first, then its content from one task or several
-                    if size >= batch_bytes and (last is None or h != last[0]):
-                        yield from flush()
-                        held, names, size = [], [], 0
-                    lead, last, new = (doc, s, key), (h, c1, c2), True
-                elif new and (h, c1, c2) == last:
-                    held.append((body, lead[0], lead[1]))
-                    names.append(lead[2])
-                    size += len(body)
-                    new = False
-        if held:
-            yield from flush()
-
-    inner = rows.select("h", "c1", "c2", "doc_id", F.expr(KEY).alias("key"), "s", "body").mapInArrow(resolve, f"doc_id long, key long, inner {INNER}")
+            yield pa.record_batch({"doc_id": t.column("doc_id").combine_chunks(), "key": t.column("key").combine_chunks(), "inner": pa.array(inner, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
+
+        for b in batches:
+            if tail is not None:
+                b = pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
+            # a class's own row comes first, then its content from one task or several
+            own = np.flatnonzero(~b.column("body").is_valid().to_numpy(zero_copy_only=False))
+            if not len(own):
+                continue
+            tail = b.slice(own[-1], 2)  # its content may be the next batch's first row
+            own = own[:-1]
+            if not len(own):
+                continue
+            part = b.take(pa.array(own))
+            part = part.set_column(part.schema.get_field_index("body"), "body", b.column("body").take(pa.array(own + 1)))
+            h = part.column("h").to_numpy()
+            edge = np.flatnonzero(np.r_[held[-1].column("h")[-1].as_py() != h[0] if held else False, h[1:] != h[:-1]])
+            length = pc.binary_length(part.column("body")).to_numpy()
+            begin, total = 0, np.r_[0, np.cumsum(length)]
+            for e in edge.tolist():  # where a bucket begins
+                if size + total[e] - total[begin] >= batch_bytes:
+                    if e > begin:
+                        held.append(part.slice(begin, e - begin))
+                    yield from flush(held)
+                    held, size, begin = [], 0, e
+            held.append(part.slice(begin))
+            size += total[-1] - total[begin]
+        if tail is not None:
+            last = tail.slice(0, 1)
+            last = last.set_column(last.schema.get_field_index("body"), "body", tail.column("body").slice(1, 1))
+            if held and size >= batch_bytes and held[-1].column("h")[-1].as_py() != last.column("h")[0].as_py():
+                yield from flush(held)
+                held = []
+            yield from flush([*held, last])
+
+    inner = rows.select("h", "doc_id", F.expr(KEY).alias("key"), "s", "body").mapInArrow(resolve, f"doc_id long, key long, inner {INNER}")
     alone = buckets(0).select("doc_id", F.expr(KEY).alias("key"), F.lit(None).cast(INNER).alias("inner"))
     hot = _by_rows(buckets(2), _over(docs, segment, cast, lambda h: kind(h) == 2, _window_rows, "h long, c1 long, c2 long, k int, w1 long, w2 long"), inside_document)
     return inner.unionByName(alone).unionByName(hot), cast

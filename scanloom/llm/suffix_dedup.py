@@ -1,12 +1,15 @@
 """Exact substring deduplication over bytes with suffix arrays built column by column.
 
-Whole texts are cut into overlapping segments (see repeats.py), so that every SPAN-byte string of every document is in
-exactly one segment, and equal strings are in segments of one bucket. A bounded sketch drops buckets that occur once.
+Whole texts are cut into overlapping segments, so that every SPAN-byte string of every document is in exactly one
+segment, and equal strings are in segments of one bucket at the same offset to an equal anchor, a string of GRAM bytes
+(see repeats.py). A bounded sketch drops buckets that occur once.
+
 The classes of a bucket form a small collection of strings, whose Burrows-Wheeler transform and longest common
 prefixes are built the column-wise way: each round takes one symbol of every string, from the last to the first, writes
 it into the transform at the place of the string's latest suffix, finds where the longer suffix belongs by the
-last-to-first mapping, and streams transform and prefixes from one sequential file into the next. Runs of suffixes with
-a common prefix of SPAN bytes are the repeated strings.
+last-to-first mapping, and streams transform and prefixes from one sequential file into the next. Every window has its
+segment's anchor inside, so an anchor is one symbol of the collection that counts for GRAM bytes of a prefix. Runs of
+suffixes with a common prefix of SPAN bytes, and with one anchor, are the repeated strings.
 
 Files: a task's two streams are spooled files, in memory up to SPOOL bytes and beyond that scratch of the running task,
 like a sort's spill: nothing outlives the task and no other task reads them.
@@ -53,16 +56,23 @@ class _Stream:
         self.file.close()
 
 
-def collection_bwt(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The transform (0 before a whole string, else the rank of a byte among those that occur, from 1), the common
-    prefixes up to cap, and the places of the whole strings among all sorted suffixes, the empty ones first."""
+def collection_bwt(strings: list[bytes], cap: int, anchors: np.ndarray | None = None, weight: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The transform (0 before a whole string, else the rank of a symbol among those that occur, from 1), the common
+    prefixes up to cap, and the places of the whole strings among all sorted suffixes, the empty ones first.
+
+    anchors: of each string the place that stands for `weight` bytes; these symbols are one and come after all bytes."""
     m = len(strings)
     size = np.array([len(x) for x in strings], np.int64)
     raw = np.frombuffer(b"".join(strings), np.uint8)
     there = np.zeros(256, bool)
     there[raw] = True
-    kind = np.uint8 if there.sum() < 256 else np.uint16
-    text = np.cumsum(there).astype(kind)[raw]
+    code = np.cumsum(there)
+    kind = np.uint8 if code[-1] < 255 else np.uint16
+    text = code.astype(kind)[raw]
+    worth = np.ones(int(code[-1]) + 2, np.uint8)
+    if anchors is not None:
+        text[np.cumsum(size) - size + anchors] = code[-1] + 1
+        worth[-1] = weight
     end = np.cumsum(size)
     symbols, prefixes = _Stream(kind), _Stream(np.uint8)
     symbols.replace(np.zeros(m))
@@ -75,7 +85,8 @@ def collection_bwt(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarr
         live = by_size[: n_live[r]]
         bwt, lcp = symbols.read().copy(), prefixes.read()
         here = place[live]
-        bwt[here] = text[end[live] - r]
+        symbol = text[end[live] - r]
+        bwt[here] = symbol
         n = len(bwt)
         order = np.argsort(bwt, kind="stable")
         whole = m - len(live)
@@ -87,17 +98,18 @@ def collection_bwt(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarr
         live = owner[here]
         new = at + (m - whole)
 
-        def common(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-            """One more than the least common prefix on the way between two shorter suffixes."""
+        def common(first: np.ndarray, second: np.ndarray, more: np.ndarray) -> np.ndarray:
+            """The symbol and the least common prefix on the way between two shorter suffixes."""
             both = np.empty(2 * len(first), np.int64)
             both[::2], both[1::2] = first, second
             both += 1
-            return np.minimum(np.minimum.reduceat(lcp, both)[::2], cap - 1) + 1
+            return np.minimum(np.minimum.reduceat(lcp, both)[::2] + more, cap)
 
         before = order[np.maximum(at - 1, 0)]
         same = (at > 0) & (bwt[before] == bwt[here])
+        more = worth[bwt[here]]
         own = np.zeros(len(live), np.uint8)
-        own[same] = common(before[same], here[same])
+        own[same] = common(before[same], here[same], more[same])
         after = order[np.minimum(at + 1, n - 1)]
         next_same = (at + 1 < n) & (bwt[after] == bwt[here])
         old = np.ones(n + len(live), bool)
@@ -107,7 +119,7 @@ def collection_bwt(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarr
         shared[:-1][old] = lcp[:-1]
         shared[new] = own
         follow = new[next_same] + 1
-        moved = common(here[next_same], after[next_same])
+        moved = common(here[next_same], after[next_same], more[next_same])
         free = old[follow]
         shared[follow[free]] = moved[free]
         others = by_size[n_live[r] :]
@@ -137,28 +149,36 @@ def suffixes(bwt: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.n
     return string, offset
 
 
-def earlier(classes: list[tuple[bytes, int, int]], span: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each class: the offsets of its windows that occur at an earlier (doc_id, start) of another class."""
-    size = np.array([len(x[0]) for x in classes], np.int64)
-    bwt, lcp, place = collection_bwt([x[0] for x in classes], span)
-    string, offset = suffixes(bwt, place, size)
+def earlier(classes: list[tuple[bytes, int, int]], span: int, gram: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each class (the place of its anchor, then its bytes): the offsets of its windows that occur at an earlier
+    (doc_id, start) of another class."""
+    anchors = np.array([x[0][0] for x in classes], np.int64)
+    name: dict[bytes, int] = {}
+    anchor = np.array([name.setdefault(x[0][1 + a : 1 + a + gram], len(name)) for x, a in zip(classes, anchors.tolist(), strict=True)], np.int64)
+    strings = [x[0][1 : 1 + a] + b"\0" + x[0][1 + a + gram :] for x, a in zip(classes, anchors.tolist(), strict=True)]
+    size = np.array([len(x) for x in strings], np.int64)
+    bwt, lcp, place = collection_bwt(strings, span, anchors, gram)
     joined = np.flatnonzero(lcp >= span)
     if not len(joined):
         return
+    string, offset = suffixes(bwt, place, size)
     member = np.zeros(len(lcp), bool)
     member[joined] = member[joined - 1] = True
     at = np.flatnonzero(member)
-    head = np.flatnonzero(lcp[at] < span)
-    group = np.cumsum(lcp[at] < span) - 1
-    doc = np.array([x[1] for x in classes], np.int64)[string[at]]
-    start = np.array([x[2] for x in classes], np.int64)[string[at]] + offset[at]
-    first_doc = np.minimum.reduceat(doc, head)[group]
-    first_start = np.minimum.reduceat(np.where(doc == first_doc, start, np.iinfo(np.int64).max), head)[group]
-    later = (doc > first_doc) | (start > first_start)
-    string, offset = string[at[later]], offset[at[later]]
+    string, offset, group = string[at], offset[at], np.cumsum(lcp[at] < span)
+    doc = np.array([x[1] for x in classes], np.int64)[string]
+    start = np.array([x[2] for x in classes], np.int64)[string] + offset
+    by = np.lexsort((start, doc, anchor[string], group))
+    string, offset, group, doc, start, anchor = string[by], offset[by], group[by], doc[by], start[by], anchor[string[by]]
+    new = np.r_[True, (group[1:] != group[:-1]) | (anchor[1:] != anchor[:-1])]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (doc > doc[first]) | (start > start[first])
+    string, offset = string[later], offset[later]
+    if not len(string):
+        return
     by = np.lexsort((offset, string))
     string, offset = string[by], offset[by]
-    cuts = np.flatnonzero(np.r_[True, string[1:] != string[:-1]]) if len(string) else []
+    cuts = np.flatnonzero(np.r_[True, string[1:] != string[:-1]])
     for a, b in zip(cuts, [*cuts[1:], len(string)], strict=True):
         yield int(string[a]), offset[a:b]
 
@@ -195,30 +215,31 @@ class _Bytes:
     def __init__(self, span: int) -> None:
         self.span, self.gram = span, min(GRAM, span)
 
-    def _all(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _all(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(raw) - self.span + 1
         if n <= 0:
-            return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+            return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
         grams = tk.byte_grams(raw, self.gram)
         place = smallest(grams, self.span - self.gram + 1)
         s, size = runs(repeats.inside(off, len(raw), self.span)[:n], place[:n])
-        return s, size, grams[place[s]]
+        return s, size, place[s], grams[place[s]]
 
     def hashes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             raw, off = tk.utf8(b.column("text"))
             for i, j in tk.blocks(off):
-                yield self._all(raw[off[i] : off[j]], off[i : j + 1] - off[i])[2]
+                yield self._all(raw[off[i] : off[j]], off[i : j + 1] - off[i])[3]
 
     def segment(self, raw: np.ndarray, off: np.ndarray, seen: staging.Sketch) -> repeats.Segments:
-        s, size, h = self._all(raw, off)
+        s, size, place, h = self._all(raw, off)
         again = seen.repeated(h)
-        s, size, h = s[again], size[again], h[again]
+        s, size, place, h = s[again], size[again], place[again], h[again]
         stop = s + size + self.span - 1
         text = raw.tobytes()
 
         def body(ks: np.ndarray) -> list[bytes]:
-            return [text[x:y] for x, y in zip(s[ks].tolist(), stop[ks].tolist(), strict=True)]
+            """The place of the anchor in the content, then the content."""
+            return [bytes((a,)) + text[x:y] for a, x, y in zip((place[ks] - s[ks]).tolist(), s[ks].tolist(), stop[ks].tolist(), strict=True)]
 
         def windows(k: int) -> list[bytes]:
             return [text[x : x + self.span] for x in range(int(s[k]), int(s[k] + size[k]))]
@@ -239,5 +260,5 @@ def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray,
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of each document."""
     docs, passes = repeats.prepared(docs), _Bytes(span)
-    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: earlier(classes, span), BATCH_BYTES, True)
+    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: earlier(classes, span, passes.gram), BATCH_BYTES, True)
     return repeats.removed(docs, found, cast, passes.segment, span, False, _row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

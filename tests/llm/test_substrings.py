@@ -97,11 +97,16 @@ def test_long_words_and_buckets(spark, monkeypatch, by_rows):
     long = " ".join(f"l{r.randrange(50)}" for _ in range(20_000))
     rows += [(80, long), (81, f"{long[:40_000]} cut {long[40_001:]}"), (82, "y" * 60_000), (83, "y" * 50_000 + "z" + "y" * 300), (84, "ab " * 9000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup(df).collect()}
-    assert got == brute_words(rows, 50)
-    assert got[2][1] == 0 and got[3][1] == 50
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup(df).collect()}
-    assert got == brute_bytes(rows, 100)
+    rows_in_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows_in_a_batch, 3 if by_rows else 7)  # classes and their contents in different batches
+    try:
+        got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup(df).collect()}
+        assert got == brute_words(rows, 50)
+        assert got[2][1] == 0 and got[3][1] == 50
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup(df).collect()}
+        assert got == brute_bytes(rows, 100)
+    finally:
+        spark.conf.unset(rows_in_a_batch)
 
 
 def test_cover_is_a_difference_cover():
@@ -120,6 +125,27 @@ def test_empty_and_null_ids(spark):
     assert [x[2] > 0 for x in got] == [False, True, True, False]
 
 
+def test_anchors_in_the_transform():
+    """An anchor stands for several bytes of a prefix, and equal surroundings of different anchors are no repeat."""
+    r = Random(5)
+    text = lambda n: bytes(r.choice(b"ab") for _ in range(n))
+    for _ in range(40):
+        grams = [text(8) for _ in range(2)]
+        classes = []
+        for k in range(r.randint(2, 12)):
+            a = r.randint(0, 6)
+            classes.append((bytes((a,)) + text(a) + r.choice(grams) + text(r.randint(12 - 8, 6)), r.randint(0, 4), k * 100))
+        got = {k: set(w.tolist()) for k, w in suffix_dedup.earlier(classes, 12, 8)}
+        want = {}
+        for k, (body, doc, start) in enumerate(classes):
+            for w in range(body[0] + 1):
+                x = body[1 + w : 13 + w]
+                same = [(d, s + v) for b, d, s in classes for v in range(b[0] + 1) if len(x) == 12 and b[1 + v : 13 + v] == x and b[0] - v == body[0] - w]
+                if same and min(same) < (doc, start + w):
+                    want.setdefault(k, set()).add(w)
+        assert got == want
+
+
 def test_collection_bwt():
     r = Random(3)
     strings = [bytes(r.choice(b"\x00ab") for _ in range(r.randint(1, 30))) for _ in range(20)]
