@@ -15,7 +15,6 @@ learnable; a null doc_id is not learnable and not held out; repeated rows are pr
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +31,20 @@ UNKNOWN = "und"
 #: Fixed values of the learner: step, its offset, L1 and L2 penalty, passes, documents in a batch.
 ALPHA, BETA, L1, L2, PASSES, BATCH = 2.0, 1.0, 1e-5, 1e-4, 6, 64
 
-_fold: list[np.ndarray] = []
+#: For each code point that was seen its lower case if it is a letter, else a space; 0 for those not seen yet.
+_fold = np.zeros(0x110000, np.uint32)
 
 
-def folded() -> np.ndarray:
-    """For each code point: its lower case if it is a letter, else a space."""
-    if not _fold:
-        table = np.full(0x110000, 32, np.uint32)
-        for block in (range(0xD800), range(0xE000, 0x110000)):
-            for c in block:
-                x = chr(c)
-                if x.isalpha():
-                    low = x.lower()
-                    table[c] = ord(low) if len(low) == 1 else c
-        _fold.append(table)
-    return _fold[0]
+def folded(points: np.ndarray) -> np.ndarray:
+    """Letters in lower case, and a space for every other code point."""
+    out = _fold[points]
+    if (out == 0).any():
+        for c in np.unique(points[out == 0]).tolist():
+            x = chr(c)
+            low = x.lower()
+            _fold[c] = (ord(low) if len(low) == 1 else c) if x.isalpha() else 32
+        out = _fold[points]
+    return out
 
 
 def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +52,7 @@ def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     text = raw.tobytes()
     points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     starts = np.cumsum(np.r_[0, (raw & 0xC0) != 0x80])[off]  # of documents, in code points
-    c = folded()[np.minimum(points, 0x10FFFF)]
+    c = folded(points)
     doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(starts))
     letter = c != 32
     has = np.bincount(doc[letter], minlength=len(off) - 1) > 0
