@@ -237,3 +237,67 @@ def segment_distance2(p: Sequence[Number], a: Sequence[Number], b: Sequence[Numb
     d, v = sub(b, a), sub(p, a)
     t = F.least(F.greatest(dot(v, d) / F.nullif(square(d), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     return square(sub(v, scale(d, F.coalesce(t, F.lit(0.0)))))
+
+
+def determinant(m: Sequence[Number]) -> Column:
+    """Of the rotation block of sixteen numbers."""
+    return dot(m[0:3], cross(m[4:7], m[8:11]))
+
+
+def same_side(p: Sequence[Number], q: Sequence[Number], a: Sequence[Number], b: Sequence[Number]) -> Column:
+    """Whether p and q, points of a plane, are on one side of the line through a and b, the line itself included."""
+    d = sub(b, a)
+    return dot(cross(d, sub(p, a)), cross(d, sub(q, a))) >= 0
+
+
+def sphere_in_box(centre: Sequence[Number], radius: Number, low: Sequence[Number], high: Sequence[Number]) -> Column:
+    """Whether a sphere reaches a box."""
+    gap = [F.greatest(col(a) - col(c), col(c) - col(b), F.lit(0.0)) for c, a, b in zip(centre, low, high, strict=True)]
+    return square(gap) <= col(radius) * col(radius)
+
+
+def plane_in_cube(normal: Sequence[Number], rho: Number, centre: Sequence[Number], half: Number) -> Column:
+    """Whether a plane cuts a cube of that half-edge."""
+    reach = reduce(lambda s, t: s + t, (F.abs(col(n)) for n in normal)) * col(half)
+    return F.abs(dot(normal, centre) - col(rho)) <= reach
+
+
+def ray_triangle(origin: Sequence[Number], direction: Sequence[Number], a: Sequence[Number], b: Sequence[Number], c: Sequence[Number]) -> Column:
+    """Where along the ray it meets the triangle; null if it does not."""
+    e, f = sub(b, a), sub(c, a)
+    p = cross(direction, f)
+    det = F.when(F.abs(dot(e, p)) > 1e-12, dot(e, p))
+    off = sub(origin, a)
+    u = dot(off, p) / det
+    q = cross(off, e)
+    v, t = dot(direction, q) / det, dot(f, q) / det
+    return F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0), t)
+
+
+def in_polygon(x: Number | str, y: Number | str, corners: Sequence[tuple[float, float]]) -> Column:
+    """Whether a point is inside a convex polygon whose corners go round against the clock, its edges included."""
+    inside = F.lit(True)
+    for (a, b), (c, d) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        inside = inside & ((c - a) * (col(y) - b) - (d - b) * (col(x) - a) >= 0)
+    return inside
+
+
+def bucket(value: Number | str, low: float, high: float, n: int) -> Column:
+    """The colour bucket of a value: 0 to n - 1, with what is outside in the first and the last."""
+    return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((col(value) - low) / (high - low) * n))).cast("int")
+
+
+def colour(share: Number | str, scheme: str) -> list[Column]:
+    """Red, green and blue (0 to 1) of a share between 0 and 1 in a colour map: grey, hsv, jet or hot."""
+    s = col(share)
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    if scheme == "grey":
+        return [s, s, s]
+    if scheme == "hot":
+        return [clip(s * 3), clip(s * 3 - 1), clip(s * 3 - 2)]
+    if scheme == "jet":
+        return [clip(1.5 - F.abs(s * 4 - 3)), clip(1.5 - F.abs(s * 4 - 2)), clip(1.5 - F.abs(s * 4 - 1))]
+    if scheme == "hsv":  # a full turn of hues
+        at = lambda k: F.abs(((s * 6 + k) % 6) - 3) - 1
+        return [clip(at(0)), clip(at(4)), clip(at(2))]
+    raise ValueError(f"no such colour map: {scheme}")

@@ -61,6 +61,7 @@ class Moments:
         self.spread_p = row["qp"] - self.n * self.p @ self.p
         # products of p with itself, for the linearised fits, if the row has them
         self.second = np.array([[row[f"p{min(a, b)}p{max(a, b)}"] for b in AXES] for a in AXES]) if "pxpx" in row else None
+        self.second_m = np.array([[row[f"m{min(a, b)}m{max(a, b)}"] for b in AXES] for a in AXES]) if "mxmx" in row else None
         self.rms = math.sqrt(max(0.0, row["d2"]) / self.n)
 
     def pose(self, r: np.ndarray, s: float = 1.0) -> np.ndarray:
@@ -140,31 +141,109 @@ def helix(k: Moments) -> np.ndarray:
     second = k.second
     a = np.zeros((6, 6))
     a[:3, :3] = np.trace(second) * np.eye(3) - second
-    s = k.n * k.p
-    skew = np.array([[0, -s[2], s[1]], [s[2], 0, -s[0]], [-s[1], s[0], 0]])
+    skew = _skew(k.n * k.p)
     a[:3, 3:], a[3:, :3], a[3:, 3:] = skew, skew.T, k.n * np.eye(3)
     full = k.cross + k.n * np.outer(k.p, k.m)
-    b = np.r_[full[1, 2] - full[2, 1], full[2, 0] - full[0, 2], full[0, 1] - full[1, 0], k.n * (k.m - k.p)]
-    x = np.linalg.solve(a, b)
-    c, t = x[:3], x[3:]
+    x = np.linalg.solve(a, np.r_[_axial(full), k.n * (k.m - k.p)])
+    return screw(x[:3], x[3:])
+
+
+def _skew(v) -> np.ndarray:
+    return np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+
+
+def _axial(products: np.ndarray) -> np.ndarray:
+    """The sum of p x m from the sums of p_i m_j."""
+    return np.array([products[1, 2] - products[2, 1], products[2, 0] - products[0, 2], products[0, 1] - products[1, 0]])
+
+
+def screw(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The screw motion of the velocity field c x p + t."""
+    out = np.eye(4)
     angle = np.linalg.norm(c)
     if angle < 1e-12:
-        out = np.eye(4)
         out[:3, 3] = t
         return out
     g = c / angle
     pitch = g @ t / angle
-    moment = (t - pitch * c) / angle
-    point = np.cross(g, moment)
+    point = np.cross(g, (t - pitch * c) / angle)
     turn = math.atan(angle)
-    kx = np.array([[0, -g[2], g[1]], [g[2], 0, -g[0]], [-g[1], g[0], 0]])
+    kx = _skew(g)
     r = np.eye(3) + math.sin(turn) * kx + (1 - math.cos(turn)) * kx @ kx
-    out = np.eye(4)
     out[:3, :3] = r
     out[:3, 3] = point - r @ point + pitch * turn * g
     return out
 
 
+def _midway(k: Moments, scaled: bool) -> np.ndarray:
+    """Least squares of m - p = t + c x u (+ s u) over u, the middle of each pair. With the Gibbs vector c / 2 this is a
+    rigid motion and no approximation of one; a scale takes up what is not rigid and is left out."""
+    full = k.cross + k.n * np.outer(k.p, k.m)  # sums of p_i m_j
+    mid = (k.p + k.m) / 2 * k.n
+    second = (k.second + k.second_m + full + full.T) / 4
+    a = np.zeros((7, 7))
+    a[:3, :3] = k.n * np.eye(3)
+    a[:3, 3:6], a[3:6, :3] = -_skew(mid), _skew(mid)
+    a[3:6, 3:6] = np.trace(second) * np.eye(3) - second
+    a[:3, 6] = a[6, :3] = mid
+    a[6, 6] = np.trace(second)
+    b = np.r_[k.n * (k.m - k.p), _axial(full), (np.trace(k.second_m) - np.trace(k.second)) / 2]
+    size = 7 if scaled else 6
+    x = np.linalg.lstsq(a[:size, :size], b[:size], rcond=None)[0]
+    half = _skew(x[3:6] / 2)
+    out = np.eye(4)
+    out[:3, :3] = np.linalg.solve(np.eye(3) - half, np.eye(3) + half)
+    out[:3, 3] = np.linalg.solve(np.eye(3) - half, x[:3])
+    return out
+
+
+def uncertainty_euler(k: Moments) -> np.ndarray:
+    return _midway(k, False)
+
+
+def uncertainty_quaternion(k: Moments) -> np.ndarray:
+    return _midway(k, True)
+
+
+def field_blocks(k: Moments) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a link, over velocity fields (t, c): the products of the rows of m and m, p and p, m and p, and of both with
+    m - p, whose sums over m and over p are the same."""
+    full = k.cross + k.n * np.outer(k.p, k.m)
+
+    def block(x: np.ndarray, y: np.ndarray, products: np.ndarray) -> np.ndarray:
+        out = np.zeros((6, 6))
+        out[:3, :3] = k.n * np.eye(3)
+        out[:3, 3:], out[3:, :3] = -_skew(y), _skew(x)
+        out[3:, 3:] = np.trace(products) * np.eye(3) - products.T
+        return out
+
+    m, p = k.n * k.m, k.n * k.p
+    return block(m, m, k.second_m), block(p, p, k.second), block(m, p, full.T), np.r_[m - p, _axial(full)]
+
+
+def field_system(n: int, links: list[tuple[int, int, Moments]]) -> np.ndarray:
+    """The velocity fields (t, c) of all nodes but node 0 that bring the links together best; one row for each node."""
+    a, b = np.zeros((6 * n, 6 * n)), np.zeros(6 * n)
+    for i, j, k in links:
+        mm, pp, mp, r = field_blocks(k)
+        at, to = slice(6 * i, 6 * i + 6), slice(6 * j, 6 * j + 6)
+        a[at, at] += mm
+        a[to, to] += pp
+        a[at, to] -= mp
+        a[to, at] -= mp.T
+        b[at] -= r
+        b[to] += r
+    x = np.zeros(6 * n)
+    x[6:] = np.linalg.lstsq(a[6:, 6:], b[6:], rcond=None)[0]
+    return x.reshape(n, 6)
+
+
+def determinant_inverse(m: np.ndarray, least: float) -> tuple[float, np.ndarray | None]:
+    """The determinant and the inverse, or none where the determinant's size is below `least`."""
+    d = float(np.linalg.det(m))
+    return d, (np.linalg.inv(m) if abs(d) >= least else None)
+
+
 def link_system(n: int, links: list[tuple[int, int, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Solves a relaxation over links (a, b, C, C D) with node 0 fixed; one row of corrections for each node."""
     k = len(links[0][3])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
+from scanloom.operators import dynamic
 
 
 def view(x: str = "x", y: str = "y", z: str = "z") -> tuple[Column, Column, Column]:
@@ -34,7 +35,8 @@ def pixels(points: DataFrame, width: int, height: int, projection: str = "equire
     """points with row, col and range; those outside the field of view are left out. Angles in degrees.
 
     Besides the projections that treat axes alone there are `rectilinear`, `stereographic`, `azimuthal` (equal-area) and
-    `pannini`, around the middle of the field of view, and `zaxis` (azimuth against height).
+    `pannini`, around the middle of the field of view, `conic` (equal-area; not around a field that is even about the
+    horizon) and `zaxis` (azimuth against height).
     """
     lo, hi = (math.radians(a) for a in elevation)
     left, right = (math.radians(a) for a in azimuth)
@@ -44,6 +46,19 @@ def pixels(points: DataFrame, width: int, height: int, projection: str = "equire
         f, plain = _ROWS[projection]
         u = (F.col("p") - left) / (right - left)
         v = (f(F.col("t")) - plain(lo)) / _span(plain, lo, hi)
+    elif projection == "conic":  # equal-area cone through the edges of the field of view
+        p0 = (left + right) / 2
+        n = (math.sin(lo) + math.sin(hi)) / 2
+        if abs(n) < 1e-9:
+            raise ValueError("a cone needs a field of view that is not even about the horizon")
+        c = math.cos(lo) ** 2 + 2 * n * math.sin(lo)
+        far = lambda t: math.sqrt(max(0.0, c - 2 * n * math.sin(t))) / n
+        rho, turn = F.sqrt(F.greatest(c - 2 * n * F.sin("t"), F.lit(0.0))) / n, n * (F.col("p") - p0)
+        edge = max(abs(far(lo)), abs(far(hi)))
+        half = n * (right - left) / 2
+        side = edge * (math.sin(half) if abs(half) < math.pi / 2 else 1.0)
+        low, high = min(far(t) * math.cos(h) for t in (lo, hi) for h in (0.0, half)), max(far(t) * math.cos(h) for t in (lo, hi) for h in (0.0, half))
+        u, v = (rho * F.sin(turn) / abs(side) + 1) / 2, (high - rho * F.cos(turn)) / (high - low)
     elif projection == "zaxis":
         u, v = (F.col("p") - left) / (right - left), (F.col("y") / 100 - lo) / (hi - lo)
     else:
@@ -73,6 +88,35 @@ def farthest(located: DataFrame) -> DataFrame:
     return best.select("scan_id", "row", "col", "n", "b.*")
 
 
+def extended(located: DataFrame) -> DataFrame:
+    """All ranges of each pixel, farthest first, with their points."""
+    return located.groupBy("scan_id", "row", "col").agg(F.sort_array(F.collect_list(F.struct("range", "point_id")), asc=False).alias("seen"))
+
+
+def resampled(image: DataFrame, size: tuple[int, int], new: tuple[int, int]) -> DataFrame:
+    """An image (scan_id, row, col, ...) of size (height, width) in another: each new pixel takes the old one that its
+    upper left corner falls on, if that has a value."""
+    (h, w), (nh, nw) = size, new
+    first = lambda c, a, b: F.ceil(F.col(c) * (b / a) - 1e-9)
+    rows = F.sequence(first("row", h, nh), F.ceil((F.col("row") + 1) * (nh / h) - 1e-9) - 1)
+    cols = F.sequence(first("col", w, nw), F.ceil((F.col("col") + 1) * (nw / w) - 1e-9) - 1)
+    some = lambda lo, seq: F.when(F.element_at(seq, -1) >= F.element_at(seq, 1), seq).otherwise(F.array().cast("array<bigint>"))
+    out = image.withColumn("__r", F.explode(some("row", rows))).withColumn("__c", F.explode(some("col", cols)))
+    return out.withColumns({"row": F.col("__r").cast("int"), "col": F.col("__c").cast("int")}).drop("__r", "__c")
+
+
+def image_neighbours(image: DataFrame, height: int, width: int, reach: int = 1, wraps: bool = True) -> DataFrame:
+    """Pairs of a pixel's point (px, py, pz with scan_id, pid) and the points of the pixels around it (mx, my, mz, mid),
+    itself among them; the panorama's sides meet if it wraps. The image has one point (point_id, x, y, z) in a pixel."""
+    steps = range(-reach, reach + 1)
+    around = F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a in steps for b in steps])
+    col = F.col("col") + F.col("o.c")
+    p = image.select("scan_id", "row", "col", F.col("point_id").alias("pid"), *[F.col(c).alias(f"p{c}") for c in "xyz"]).withColumn("o", F.explode(around))
+    p = p.withColumns({"row": F.col("row") + F.col("o.r"), "col": F.pmod(col, F.lit(width)) if wraps else col}).where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).drop("o")
+    m = image.select("scan_id", "row", "col", F.col("point_id").alias("mid"), *[F.col(c).alias(f"m{c}") for c in "xyz"])
+    return p.join(m, ["scan_id", "row", "col"]).drop("row", "col")
+
+
 def nearest_range(located: DataFrame) -> DataFrame:
     return located.groupBy("scan_id", "row", "col").agg(F.min("range").alias("range"))
 
@@ -109,17 +153,21 @@ def occupancy(points: DataFrame, edge: float, height: tuple[float, float]) -> Da
 
 
 def sight_lines(points: DataFrame, edge: float, height: tuple[float, float], scanner: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """Looks without a hit: cells that the ray from the scanner to a point crosses before it, sampled twice a cell.
+    """Looks without a hit: cells that the ray from the scanner to a point goes through before the point's own.
 
-    Rays to the cells of the axes are left out. A ray's cells are generated by a column expression.
+    Rays to the cells of the axes are left out. A ray's cells are a column expression over the faces that it crosses.
     """
     inside = points.where(F.col("y").between(*height)).withColumns({"cx": g.truncated_cell("x", edge), "cz": g.truncated_cell("z", edge)}).where("cx <> 0 and cz <> 0")
-    dx, dz = F.col("x") - scanner[0], F.col("z") - scanner[1]
-    steps = F.greatest(F.ceil(F.sqrt(dx * dx + dz * dz) / edge * 2).cast("int"), F.lit(1))
-    ray = F.array_distinct(F.transform(F.sequence(F.lit(0), steps - 1), lambda k: F.struct((g.col(scanner[0]) + dx * k / steps).alias("x"), (g.col(scanner[1]) + dz * k / steps).alias("z"))))
-    cells = F.array_distinct(F.transform(ray, lambda q: F.struct((q["x"] / edge).cast("long").alias("x"), (q["z"] / edge).cast("long").alias("z"))))
-    walked = inside.select("scan_id", "cx", "cz", F.explode(cells).alias("q")).where((F.col("q.x") != F.col("cx")) | (F.col("q.z") != F.col("cz")))
-    return walked.groupBy("scan_id", F.col("q.x").alias("cx"), F.col("q.z").alias("cz")).agg(F.lit(0).cast("long").alias("hits"), F.count("*").alias("looks"))
+    cells = F.array_distinct(dynamic.walked([F.lit(float(c)) for c in scanner], [F.col("x"), F.col("z")], edge, g.truncated_cell, ("x", "z")))
+    seen = inside.select("scan_id", "cx", "cz", F.explode(cells).alias("q")).where((F.col("q.x") != F.col("cx")) | (F.col("q.z") != F.col("cz")))
+    return seen.groupBy("scan_id", F.col("q.x").alias("cx"), F.col("q.z").alias("cz")).agg(F.lit(0).cast("long").alias("hits"), F.count("*").alias("looks"))
+
+
+def neighbouring(grid: DataFrame) -> DataFrame:
+    """Hits of a grid, each also seen by the eight cells around it as a look: (scan_id, cx, cz, hits, looks)."""
+    around = F.array(*[F.struct(F.lit(a).cast("long").alias("x"), F.lit(b).cast("long").alias("z")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    moved = grid.withColumn("o", F.explode(around)).select("scan_id", (F.col("cx") + F.col("o.x")).alias("cx"), (F.col("cz") + F.col("o.z")).alias("cz"), F.when((F.col("o.x") == 0) & (F.col("o.z") == 0), F.col("hits")).otherwise(0).alias("hits"), "looks")
+    return moved.groupBy("scan_id", "cx", "cz").agg(F.sum("hits").alias("hits"), F.sum("looks").alias("looks"))
 
 
 def merged(*grids: DataFrame) -> DataFrame:
@@ -131,6 +179,40 @@ def merged(*grids: DataFrame) -> DataFrame:
     return out.withColumn("share", F.when(F.col("looks") > 0, F.col("hits") / F.col("looks")).otherwise(-1.0))
 
 
+def line_votes(points: DataFrame, angles: int, edge: float, by: str = "scan_id") -> DataFrame:
+    """(by, angle, distance, votes): each point (x, z) of the ground votes for the lines through it, one for each of so
+    many directions; distance is the cell of its distance from the origin. Votes are counted map-side."""
+    turn = [math.pi * k / angles for k in range(angles)]
+    normals = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.cos(t)).alias("c"), F.lit(math.sin(t)).alias("s")) for k, t in enumerate(turn)])
+    voted = points.select(by, "x", "z", F.explode(normals).alias("n"))
+    rho = F.col("x") * F.col("n.c") + F.col("z") * F.col("n.s")
+    return voted.groupBy(by, F.col("n.k").alias("angle"), g.cell(rho, edge).alias("distance")).agg(F.count("*").alias("votes"))
+
+
+def lines(points: DataFrame, angles: int, edge: float, least: int, by: str = "scan_id") -> DataFrame:
+    """Lines of the ground: votes of at least `least` that no neighbour in angle or distance exceeds, with the line's
+    points, its length along the line and the middle of its cell."""
+    votes = line_votes(points, angles, edge, by)
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("d")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)])
+    beside = votes.withColumn("o", F.explode(around)).select(by, (F.col("angle") + F.col("o.a")).alias("angle"), (F.col("distance") + F.col("o.d")).alias("distance"), "votes")
+    rival = beside.groupBy(by, "angle", "distance").agg(F.max("votes").alias("rival"))
+    peaks = votes.where(F.col("votes") >= least).join(rival, [by, "angle", "distance"], "left").where(F.coalesce("rival", F.lit(0)) <= F.col("votes"))
+    turn = F.col("angle") * (math.pi / angles)
+    return peaks.select(by, "angle", "distance", "votes", F.cos(turn).alias("nx"), F.sin(turn).alias("nz"), ((F.col("distance") + 0.5) * edge).alias("rho"))
+
+
+def grid_lines(grid: DataFrame, kind: str) -> DataFrame:
+    """(cz, cx, value): a merged grid as text, ordered by the first two: "gnuplot" has a line for each cell, "ppm" one
+    grey value (255 is free, 0 is hit, 128 unknown)."""
+    if kind == "gnuplot":
+        value = F.concat_ws(" ", "cx", "cz", "share")
+    elif kind == "ppm":
+        value = F.when(F.col("share") < 0, F.lit(128)).otherwise(F.round((1 - F.col("share")) * 255)).cast("int").cast("string")
+    else:
+        raise ValueError(f"no such grid text: {kind}")
+    return grid.select("cz", "cx", value.alias("value"))
+
+
 def tsdf(observations: DataFrame, truncation: float, cap: int = 32) -> DataFrame:
     """Signed distances of voxels (vx, vy, vz) after all observations (scan_id, sd) in order of scan_id and sd: a
     truncated running mean whose weight stops at the cap, and so depends on order. The fold is an ordered aggregate."""

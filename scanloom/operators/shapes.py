@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
-from scanloom.operators import statistics
+from scanloom.operators import spatial, statistics
 
 XYZ = ("x", "y", "z")
 
@@ -51,11 +53,26 @@ def plane_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[float, float,
 
 
 def inliers(points: DataFrame, planes: DataFrame, reach: float) -> DataFrame:
-    """(plane, n): points nearer than `reach` to each plane (plane, nx, ny, nz, rho), a bounded number of hypotheses that
-    is broadcast; counted map-side."""
-    near = F.abs(g.dot(XYZ, ("nx", "ny", "nz")) - F.col("rho")) < reach
-    keyed = points.select(*XYZ, F.lit(1).alias("one"))
-    return keyed.join(F.broadcast(planes.withColumn("one", F.lit(1))), "one").where(near).groupBy("plane").agg(F.count("*").alias("n"))
+    """(plane, n): points nearer than `reach` to each plane (plane, nx, ny, nz, rho) that has any.
+
+    Planes are hypotheses, whose number is a parameter of whoever made them; a batch of points is held against all of
+    them at once and only counts are shuffled."""
+    rows = planes.select("plane", "nx", "ny", "nz", "rho").orderBy("plane").collect()
+    normals, rho = np.array([[r.nx, r.ny, r.nz] for r in rows]).reshape(-1, 3), np.array([r.rho for r in rows])
+    names = np.array([r.plane for r in rows], np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(rho), np.int64)
+        for b in batches:
+            p = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in XYZ], 1)
+            for k in range(0, len(rho), 512):
+                for a in range(0, len(p), 2048):
+                    n[k : k + 512] += (np.abs(p[a : a + 2048] @ normals[k : k + 512].T - rho[k : k + 512]) < reach).sum(axis=0)
+        some = np.flatnonzero(n)
+        yield pa.record_batch({"plane": pa.array(names[some]), "n": pa.array(n[some])})
+
+    each = points.select(*[F.col(c).cast("double").alias(c) for c in XYZ]).where("x is not null and y is not null and z is not null").mapInArrow(count, "plane long, n long")
+    return each.groupBy(F.col("plane").cast(planes.schema["plane"].dataType).alias("plane")).agg(F.sum("n").alias("n"))
 
 
 def hypotheses(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -67,6 +84,19 @@ def hypotheses(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return points.sparkSession.createDataFrame([(k, *map(float, f)) for k, f in enumerate(found) if f], "plane int, nx double, ny double, nz double, rho double")
 
 
+def ransac(points: DataFrame, n: int, reach: float, seed: int = 0) -> tuple[np.ndarray, float, int] | None:
+    """The best of n sampled planes (most points, then the first), refined once over its points: normal, rho, points."""
+    planes = hypotheses(points, n, seed)
+    best = inliers(points, planes, reach).orderBy(F.desc("n"), "plane").first()
+    if best is None:
+        return None
+    h = planes.where(F.col("plane") == best.plane).first()
+    fit = refit(points.where(F.abs(g.dot([h.nx, h.ny, h.nz], XYZ) - h.rho) < reach))
+    if fit is None:
+        return np.array([h.nx, h.ny, h.nz]), h.rho, best.n
+    return fit[0], fit[1], points.where(F.abs(g.dot(fit[0].tolist(), XYZ) - fit[1]) < reach).count()
+
+
 def refit(points: DataFrame) -> tuple[np.ndarray, float, float] | None:
     """Least-squares plane (normal, rho, smallest eigenvalue) from one aggregate."""
     r = statistics.covariances(points).first()
@@ -140,11 +170,13 @@ def cylinder_axis(normals: np.ndarray) -> np.ndarray:
 def match_planes(a: DataFrame, b: DataFrame, angle: float, distance: float) -> DataFrame:
     """For each plane of a (plane, nx, ny, nz, rho) the plane of b with the least difference, within both thresholds.
 
-    Planes are few for each scan; b is joined on the octant of its normal and its neighbours by a constant key."""
-    other = b.select(F.col("plane").alias("other"), *[F.col(f"n{c}").alias(f"u{c}") for c in XYZ], F.col("rho").alias("sigma"), F.lit(1).alias("one"))
-    turn = F.acos(F.least(F.greatest(g.dot(("nx", "ny", "nz"), ("ux", "uy", "uz")), F.lit(-1.0)), F.lit(1.0)))
-    both = a.withColumn("one", F.lit(1)).join(other, "one").withColumns({"turn": turn, "gap": F.abs(F.col("rho") - F.col("sigma"))}).where((F.col("turn") < angle) & (F.col("gap") < distance))
-    return both.groupBy("plane").agg(F.min(F.struct((F.col("turn") / angle + F.col("gap") / distance).alias("cost"), "other")).alias("b")).select("plane", F.col("b.other").alias("other"), F.col("b.cost").alias("cost"))
+    Unit normals are points of a sphere: planes meet in the grid join of normals that are nearer than the angle's chord."""
+    chord = 2 * math.sin(min(angle, math.pi) / 2)
+    probe = a.select(F.col("plane").alias("pid"), *[F.col(f"n{c}").alias(f"p{c}") for c in XYZ], "rho")
+    model = b.select(F.col("plane").alias("mid"), *[F.col(f"n{c}").alias(f"m{c}") for c in XYZ], F.col("rho").alias("sigma"))
+    turn = 2 * F.asin(F.least(F.sqrt("d2") / 2, F.lit(1.0)))
+    both = spatial.pairs(probe, model, chord * (1 + 1e-12) + 1e-12).withColumns({"turn": turn, "gap": F.abs(F.col("rho") - F.col("sigma"))}).where((F.col("turn") < angle) & (F.col("gap") < distance))
+    return both.groupBy(F.col("pid").alias("plane")).agg(F.min(F.struct((F.col("turn") / angle + F.col("gap") / distance).alias("cost"), F.col("mid").alias("other"))).alias("b")).select("plane", F.col("b.other").alias("other"), F.col("b.cost").alias("cost"))
 
 
 def plane_pose(pairs: list[tuple[np.ndarray, float, np.ndarray, float]]) -> np.ndarray:

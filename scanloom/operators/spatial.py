@@ -1,8 +1,9 @@
 """Spatial joins and searches.
 
-A distance join is a hash join: model points get the cell of a grid whose edge is the radius, probes visit the cells
-that a ball of the radius reaches, and the strict distance test follows the equality on cells. Both sides are shuffled
-by cell, so that neither has to fit anywhere; adaptive execution splits dense cells. Ties are broken by id.
+A distance join is a hash join: probes get the cell of a grid whose edge is the radius, model points are put into the
+cells that a ball of the radius around them reaches, and the strict distance test follows the equality on cells. The
+model is the side that is put into several cells, as it is usually the smaller one. Both sides are shuffled by cell, so
+that neither has to fit anywhere; adaptive execution splits dense cells. Ties are broken by id.
 
 Names: probes have pid and px, py, pz; models have mid and mx, my, mz. Further columns pass through; `by` names columns
 that must be equal on both sides, such as the scan.
@@ -10,8 +11,11 @@ that must be equal on both sides, such as the scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +34,16 @@ def as_model(points: DataFrame, *keep: str) -> DataFrame:
 
 def pairs(probe: DataFrame, model: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
     """All (probe, model) with squared distance d2 below radius squared."""
-    reach = probe
+    reach = model
     for c in "xyz":
-        lo, hi = (F.floor((F.col(f"p{c}") + s * radius) / radius) for s in (-1, 1))
+        lo, hi = (F.floor((F.col(f"m{c}") + s * radius) / radius) for s in (-1, 1))
         reach = reach.withColumn(f"c{c}", F.explode(F.sequence(lo, hi)))
-        # a cell whose near face is a radius away holds nothing
-    gap = [F.greatest(F.col(f"c{c}") * radius - F.col(f"p{c}"), F.col(f"p{c}") - (F.col(f"c{c}") + 1) * radius, F.lit(0.0)) for c in "xyz"]
-    reach = reach.where(g.square(gap) < radius * radius)
-    placed = model.withColumns({f"c{c}": F.floor(F.col(f"m{c}") / radius) for c in "xyz"})
+    # a cell whose near face is clearly more than a radius away holds nothing
+    gap = [F.greatest(F.col(f"c{c}") * radius - F.col(f"m{c}"), F.col(f"m{c}") - (F.col(f"c{c}") + 1) * radius, F.lit(0.0)) for c in "xyz"]
+    reach = reach.where(g.square(gap) < radius * radius * (1 + 1e-9))
+    placed = probe.withColumns({f"c{c}": F.floor(F.col(f"p{c}") / radius) for c in "xyz"})
     d2 = g.square(g.sub(P, M))
-    return reach.join(placed, ["cx", "cy", "cz", *by]).withColumn("d2", d2).where(F.col("d2") < radius * radius).drop("cx", "cy", "cz")
+    return placed.join(reach, ["cx", "cy", "cz", *by]).withColumn("d2", d2).where(F.col("d2") < radius * radius).drop("cx", "cy", "cz")
 
 
 def nearest(probe: DataFrame, model: DataFrame, radius: float, by: Sequence[str] = (), other: bool = False) -> DataFrame:
@@ -57,7 +61,7 @@ def k_nearest_within(probe: DataFrame, model: DataFrame, k: int, radius: float,
     return pairs(probe, model, radius, by).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def k_nearest(probe: DataFrame, model: DataFrame, k: int, radius: float, by: Sequence[str] = (), rounds: int = 40, summary: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def k_nearest(probe: DataFrame, model: DataFrame, k: int, radius: float, by: Sequence[str] = (), summary: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k nearest at any distance: probes with fewer than k neighbours below the radius try again with its double.
 
     A round is written to the checkpoint folder, so its plan does not grow; rounds end when every probe has its k or
@@ -67,7 +71,7 @@ def k_nearest(probe: DataFrame, model: DataFrame, k: int, radius: float, by: Seq
     box = probe.select(*[F.col(f"p{c}").alias(c) for c in "xyz"]).unionByName(model.select(*[F.col(f"m{c}").alias(c) for c in "xyz"])).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
     span = sum((box[c] or 0.0) ** 2 for c in "xyz") ** 0.5
     out, left = None, probe
-    for _ in range(rounds):
+    while True:
         last = radius > span
         near = k_nearest_within(left, model, k, radius, by)
         found = (summary(near) if summary else near).checkpoint()
@@ -75,9 +79,16 @@ def k_nearest(probe: DataFrame, model: DataFrame, k: int, radius: float, by: Seq
         out = full if out is None else out.unionByName(full)
         left = left.join(full.select("pid", *by).distinct(), ["pid", *by], "left_anti").checkpoint()
         if last or left.isEmpty():
-            break
+            return out
         radius *= 2
-    return out
+
+
+def nearest_in_cell(probe: DataFrame, model: DataFrame, edge: float, by: Sequence[str] = ()) -> DataFrame:
+    """The nearest model point among those of the probe's own grid cell: a cheap guess, not the nearest of all."""
+    cells = lambda d, s: d.withColumns({f"c{c}": g.cell(f"{s}{c}", edge) for c in "xyz"})
+    both = cells(probe, "p").join(cells(model, "m"), ["cx", "cy", "cz", *by]).withColumn("d2", g.square(g.sub(P, M)))
+    best = both.groupBy("pid", *by).agg(F.min(F.struct("d2", "mid")).alias("b"))
+    return best.select("pid", *by, "b.mid", "b.d2")
 
 
 def within_count(probe: DataFrame, model: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
@@ -132,14 +143,54 @@ def directions_within(points: DataFrame, direction: Sequence[float], angle: floa
     return points.withColumn("cos", cos).where((F.acos(F.least(F.greatest(F.col("cos"), F.lit(-1.0)), F.lit(1.0))) < angle) | (F.col("cos") >= 1))
 
 
+#: Poses that are written into one plan.
+POSES = 2000
+
+
+def _poses(path: DataFrame) -> list[list]:
+    """The poses of a path, in order, in runs of at most POSES; a path is a list of poses, not data."""
+    rows = path.select("step", "ox", "oy", "oz").orderBy("step").collect()
+    return [rows[k : k + POSES] for k in range(0, len(rows), POSES)]
+
+
 def collisions(environment: DataFrame, body: DataFrame, path: DataFrame, radius: float) -> DataFrame:
     """Environment points nearer than the radius to a body point at any pose of the path (step, ox, oy, oz).
 
-    Body and path are the small sides by nature; their product is a hash join on a constant, spread by the body's ids.
-    """
-    moved = body.withColumn("one", F.lit(1)).join(path.withColumn("one", F.lit(1)), "one").select("mid", "step", *[(F.col(f"m{c}") + F.col(f"o{c}")).alias(f"m{c}") for c in "xyz"])
-    hit = pairs(environment, moved, radius).select("pid").distinct()
-    return environment.join(hit, "pid", "left_semi")
+    The poses are an array in the plan, which each body point is exploded by; no join makes their product."""
+    hit = None
+    for run in _poses(path):
+        offsets = F.array(*[F.struct(F.lit(r.step).alias("step"), *[F.lit(r[f"o{c}"]).alias(c) for c in "xyz"]) for r in run])
+        moved = body.withColumn("o", F.explode(offsets)).select("mid", F.col("o.step").alias("step"), *[(F.col(f"m{c}") + F.col(f"o.{c}")).alias(f"m{c}") for c in "xyz"])
+        near = pairs(environment, moved, radius).select("pid")
+        hit = near if hit is None else hit.unionByName(near)
+    return environment.join(hit.distinct(), "pid", "left_semi") if hit is not None else environment.where("false")
+
+
+def swept_collisions(environment: DataFrame, body: DataFrame, path: DataFrame, radius: float) -> DataFrame:
+    """Environment points nearer than the radius to the way of a body point between two consecutive poses of the path.
+
+    A way is cut into pieces no longer than the radius; a point is joined to pieces that may be near and then held
+    against the piece itself."""
+    hit, before = None, None
+    for run in _poses(path):
+        steps = [*([before] if before is not None else []), *run]
+        before = run[-1]
+        ways = []
+        for a, b in zip(steps[:-1], steps[1:], strict=True):
+            way = [b[f"o{c}"] - a[f"o{c}"] for c in "xyz"]
+            n = max(1, math.ceil(math.sqrt(sum(w * w for w in way)) / radius))
+            ways += [F.struct(*[F.lit(a[f"o{c}"] + w * k / n).alias(f"a{c}") for c, w in zip("xyz", way, strict=True)], *[F.lit(w / n).alias(f"w{c}") for c, w in zip("xyz", way, strict=True)]) for k in range(n)]
+        if not ways:
+            continue
+        ends = [(F.col(f"m{c}") + F.col(f"o.a{c}")).alias(f"a{c}") for c in "xyz"]
+        piece = body.withColumn("o", F.explode(F.array(*ways))).select("mid", *ends, *[F.col(f"o.w{c}").alias(f"w{c}") for c in "xyz"])
+        piece = piece.withColumns({f"m{c}": F.col(f"a{c}") + F.col(f"w{c}") / 2 for c in "xyz"})
+        near = pairs(environment, piece, 1.5 * radius)
+        a = [F.col(f"a{c}") for c in "xyz"]
+        b = [F.col(f"a{c}") + F.col(f"w{c}") for c in "xyz"]
+        near = near.where(g.segment_distance2(P, a, b) < radius * radius).select("pid")
+        hit = near if hit is None else hit.unionByName(near)
+    return environment.join(hit.distinct(), "pid", "left_semi") if hit is not None else environment.where("false")
 
 
 def penetration(environment: DataFrame, colliding: DataFrame, radius: float) -> DataFrame:
@@ -149,6 +200,18 @@ def penetration(environment: DataFrame, colliding: DataFrame, radius: float) ->
     return nearest(colliding, model, radius).select("pid", "mid", F.sqrt("d2").alias("depth"))
 
 
+def penetration_from_body(colliding: DataFrame, body: DataFrame, path: DataFrame, radius: float) -> DataFrame:
+    """For each colliding point how deep the radius around the body goes beyond it: the radius less the distance to the
+    nearest body point of any pose."""
+    out = None
+    for run in _poses(path):
+        offsets = F.array(*[F.struct(F.lit(r.step).alias("step"), *[F.lit(r[f"o{c}"]).alias(c) for c in "xyz"]) for r in run])
+        moved = body.withColumn("o", F.explode(offsets)).select("mid", *[(F.col(f"m{c}") + F.col(f"o.{c}")).alias(f"m{c}") for c in "xyz"])
+        near = pairs(colliding, moved, radius).groupBy("pid").agg(F.min("d2").alias("d2"))
+        out = near if out is None else out.unionByName(near)
+    return out.groupBy("pid").agg((radius - F.sqrt(F.min("d2"))).alias("depth"))
+
+
 def plane_projection(pairs_with_normals: DataFrame) -> DataFrame:
     """Moves a match onto the plane of the probe's normal (nx, ny, nz): s' = t + (n . (s - t)) n."""
     n = ("nx", "ny", "nz")
@@ -156,6 +219,72 @@ def plane_projection(pairs_with_normals: DataFrame) -> DataFrame:
     return pairs_with_normals.withColumns({f"m{c}": F.col(f"p{c}") + off * F.col(f"n{c}") for c in "xyz"})
 
 
+def along_normal(probe: DataFrame, model: DataFrame, radius: float, reach: float, by: Sequence[str] = ()) -> DataFrame:
+    """For each probe with a unit normal (nx, ny, nz) the model point nearest to the line along it, among those nearer
+    than the radius to the line and not farther than `reach` along it, both ways; d2 is the squared distance to the line.
+
+    A line is cut into pieces of the radius, which are joined like points."""
+    n = max(1, math.ceil(reach / radius))
+    steps = F.transform(F.sequence(F.lit(-n), F.lit(n)), lambda k: k * radius)
+    beads = probe.withColumn("t", F.explode(steps)).select("pid", *by, *[F.col(f"p{c}").alias(f"o{c}") for c in "xyz"], "nx", "ny", "nz", *[(F.col(f"p{c}") + F.col("t") * F.col(f"n{c}")).alias(f"p{c}") for c in "xyz"])
+    near = pairs(beads, model, 1.2 * radius, by).drop("d2")  # a bead is at most half a radius from where the point meets the line
+    off = g.sub(M, ("ox", "oy", "oz"))
+    along = g.dot(off, ("nx", "ny", "nz"))
+    d2 = F.greatest(g.square(off) - along * along, F.lit(0.0))
+    near = near.withColumns({"along": along, "d2": d2}).where((F.col("d2") < radius * radius) & (F.abs("along") <= reach))
+    best = near.groupBy("pid", *by).agg(F.min(F.struct("d2", "mid", "along")).alias("b"))
+    return best.select("pid", *by, "b.mid", "b.d2", "b.along")
+
+
+def removed(points: DataFrame, queries: DataFrame, d2: float = 1e-9) -> DataFrame:
+    """points less those that are nearest to a query (qx, qy, qz) and as good as there: squared distance below d2."""
+    probe = queries.select(F.monotonically_increasing_id().alias("pid"), *[F.col(f"q{c}").alias(f"p{c}") for c in "xyz"])
+    gone = nearest(probe, as_model(points, "scan_id"), d2**0.5).select("mid", "scan_id").distinct()
+    return points.join(gone.withColumnRenamed("mid", "point_id"), ["scan_id", "point_id"], "left_anti")
+
+
+#: Numbers of probe vectors that are broadcast at once.
+PROBES = 2 << 20
+
+
+def k_nearest_vectors(probe: DataFrame, model: DataFrame, k: int, other: bool = False) -> DataFrame:
+    """(pid, mid, rank, d2): the k nearest model vectors (id, v: array<double>) of each probe vector, exactly, by squared
+    Euclidean distance; ties go to the smaller id. other: not the vector of the probe's own id.
+
+    Descriptors of a scan are asked in blocks of bounded size, each of which goes over the model's partitions; a task hands
+    on the k best of each probe."""
+    size = probe.agg(F.sum(F.size("v"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / PROBES))
+    spark, out = probe.sparkSession, None
+    for block in range(blocks):
+        rows = probe.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "v").collect()
+        if not rows:
+            continue
+        cast = spark.sparkContext.broadcast((np.array([r.id for r in rows]), np.array([r.v for r in rows], float)))
+
+        def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
+            ids, q = cast.value
+            best_d, best_m = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+            for b in (x.slice(a, 256) for x in batches for a in range(0, x.num_rows, 256)):
+                m = b.column("id").to_numpy()
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1)
+                for a in range(0, len(ids), 256):
+                    d = ((q[a : a + 256, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+                    if other:
+                        d[ids[a : a + 256, None] == m[None, :]] = np.inf
+                    every_d, every_m = np.concatenate([best_d[a : a + 256], d], 1), np.concatenate([best_m[a : a + 256], np.broadcast_to(m, d.shape)], 1)
+                    order = np.lexsort((every_m, every_d), axis=1)[:, :k]
+                    best_d[a : a + 256], best_m[a : a + 256] = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_m, order, 1)
+            n, j = np.nonzero(np.isfinite(best_d))
+            yield pa.record_batch({"pid": pa.array(ids[n]), "mid": pa.array(best_m[n, j]), "d2": pa.array(best_d[n, j])})
+
+        near = model.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(run, "pid long, mid long, d2 double")
+        out = near if out is None else out.unionByName(near)
+    if out is None:
+        return spark.createDataFrame([], "pid long, mid long, d2 double, rank int")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("d2", "mid"))).where(F.col("rank") <= k)
+
+
 def descriptor_matches(probe: DataFrame, model: DataFrame, ratio: float) -> DataFrame:
     """From k-nearest rows (pid, mid, rank, d2): nearest matches clearly nearer than the second."""
     best = probe.groupBy("pid").agg(F.min(F.when(F.col("rank") == 1, F.struct("d2", "mid"))).alias("a"), F.min(F.when(F.col("rank") == 2, F.col("d2"))).alias("b"))

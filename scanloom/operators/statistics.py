@@ -24,7 +24,7 @@ def pair_moments(pairs: DataFrame, *by: str) -> DataFrame:
     """What every closed-form minimiser needs from pairs (m the fixed, p the moved point): count, sums, products."""
     sums = [F.sum(f"{s}{c}").alias(f"s{s}{c}") for s in "mp" for c in AXES]
     products = [F.sum(F.col(f"p{a}") * F.col(f"m{b}")).alias(f"p{a}m{b}") for a in AXES for b in AXES]
-    products += [F.sum(F.col(f"p{a}") * F.col(f"p{b}")).alias(f"p{a}p{b}") for i, a in enumerate(AXES) for b in AXES[i:]]
+    products += [F.sum(F.col(f"{s}{a}") * F.col(f"{s}{b}")).alias(f"{s}{a}{s}{b}") for s in "pm" for i, a in enumerate(AXES) for b in AXES[i:]]
     squares = [F.sum(g.square([f"{s}{c}" for c in AXES])).alias(f"q{s}") for s in "mp"]
     d2 = g.square(g.sub([f"p{c}" for c in AXES], [f"m{c}" for c in AXES]))
     return pairs.groupBy(*by).agg(F.count("*").alias("n"), *sums, *products, *squares, F.sum(d2).alias("d2"))
@@ -42,6 +42,29 @@ def height_features(points: DataFrame, edge: float) -> DataFrame:
     return points.groupBy("scan_id", g.cell("x", edge).alias("cx"), g.cell("z", edge).alias("cz")).agg(F.count("*").alias("n"), (F.max("y") - F.min("y")).alias("height_range"), F.var_pop("y").alias("height_variance"), (F.avg("y") - F.min("y")).alias("height_above"))
 
 
+def polar_cells(points: DataFrame, rings: float, sectors: int) -> DataFrame:
+    """points with ring and sector of polar ground cells around the scanner."""
+    sector = F.pmod(F.floor((F.atan2("z", "x") + F.pi()) / (2 * F.pi()) * sectors), F.lit(sectors))
+    return points.withColumns({"ring": F.floor(F.sqrt(F.col("x") * F.col("x") + F.col("z") * F.col("z")) / rings), "sector": sector})
+
+
+def cell_features(points: DataFrame, rings: float, sectors: int, ground: float) -> DataFrame:
+    """Of each polar cell: count, extremes and means, the sum of distances from the mean height, and whether its heights
+    differ by more than `ground`, which makes it something that stands and no ground."""
+    cell = ["scan_id", "ring", "sector"]
+    located = polar_cells(points, rings, sectors)
+    some = boxes(located, *cell)
+    off = located.join(some.select(*cell, "avg_y"), cell).groupBy(*cell).agg(F.sum(F.abs(F.col("y") - F.col("avg_y"))).alias("delta_y"))
+    return some.join(off, cell).withColumn("stands", F.col("max_y") - F.col("min_y") > ground)
+
+
+def cluster_features(cells: DataFrame, *by: str) -> DataFrame:
+    """Of clusters of cells with features: cells, points, extremes, the mean weighted by points, and the box's extents."""
+    mean = [(F.sum(F.col(f"avg_{c}") * F.col("n")) / F.sum("n")).alias(f"avg_{c}") for c in AXES]
+    out = cells.groupBy(*by).agg(F.count("*").alias("cells"), F.sum("n").alias("points"), *[f(f"{k}_{c}").alias(f"{k}_{c}") for c in AXES for k, f in (("min", F.min), ("max", F.max))], *mean)
+    return out.withColumns({f"size_{c}": F.col(f"max_{c}") - F.col(f"min_{c}") for c in AXES})
+
+
 def shares(count: Column, total: Column) -> Column:
     return F.when(total > 0, count / total)
 

@@ -59,7 +59,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
             views = [v for name, v in (("pts", schema.POINTS_SQL), ("traj", schema.TRAJECTORY_SQL), ("poses", schema.POSES_SQL)) if f" {name}" in sql]
             own = steady(sql.strip())
             if views:
-                own = f"WITH {', '.join(views)}{', ' + own[5:] if own.upper().startswith('WITH ') else ' ' + own}"
+                with_ = "WITH RECURSIVE " if own.upper().startswith("WITH RECURSIVE ") else "WITH "
+                own = f"{with_}{', '.join(views)}{', ' + own[len(with_):] if own.upper().startswith(with_) else ' ' + own}"
             SQL[f.__name__] = own
         return f
 
@@ -215,12 +216,13 @@ def gps_to_ecef(spark, d):
     return c.select(F.col("c_custkey").alias("id"), *[r(v, 1).alias(n) for n, v in zip(XYZ, e, strict=True)])
 
 
-@query("SELECT c_custkey AS id, round(c_acctbal / 150.0, 6) AS lat, round(c_custkey % 360 - 180.0, 6) AS lon FROM customer WHERE c_custkey % 360 <> 0")
+@query("SELECT c_custkey AS id, round(c_acctbal / 150.0, 6) AS lat, round(CASE WHEN c_custkey % 360 = 0 THEN 180.0 ELSE c_custkey % 360 - 180.0 END, 6) AS lon FROM customer")
 def gps_round_trip(spark, d):
-    c = schema.table(spark, d, "customer").where("c_custkey % 360 <> 0")  # where east meets west the sign of 180 is free
+    c = schema.table(spark, d, "customer")
     e = g.lla_ecef(F.col("c_acctbal") / 150, F.col("c_custkey") % 360 - 180.0, F.col("c_acctbal") / 10)
     b = g.ecef_lla(e)
-    return c.select(F.col("c_custkey").alias("id"), r(b[0]).alias("lat"), r(b[1]).alias("lon"))
+    east = F.when(b[1] < -179.9999999, 180.0).otherwise(b[1])  # where east meets west 180 has either sign
+    return c.select(F.col("c_custkey").alias("id"), r(b[0]).alias("lat"), r(east).alias("lon"))
 
 
 @query("WITH l AS (SELECT scan_id, min(y) AS lo, max(y) AS hi FROM pts GROUP BY scan_id) SELECT scan_id, point_id, round((y - lo) / (hi - lo) * 255, 4) AS y FROM pts JOIN l USING (scan_id)")
@@ -282,9 +284,23 @@ def direction_cell_reduce(spark, d):
     return reduce.by_direction(pts(spark, d), 3.0, 2).select("scan_id", "point_id")
 
 
-@query()
+def _lot_sql(k: int) -> str:
+    mixed = f"(((point_id + (copy * 6 + {k}) * 15485863) % 1000003) * 48271 % 2147483647)"
+    return f"((((({mixed} % 44488) * 48271 + {mixed} // 44488 * 40692) % 2147483399) + 0.5) / 2147483399.0)"
+
+
+@query(f"""WITH {_CELLS}, s AS (SELECT scan_id, ix, iy, iz, count(*) AS n, avg(x) AS ux, avg(y) AS uy, avg(z) AS uz, covar_samp(x, x) AS xx, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, y) AS yy, covar_samp(y, z) AS yz, covar_samp(z, z) AS zz FROM c GROUP BY scan_id, ix, iy, iz),
+v AS (SELECT scan_id, point_id, ux, uy, uz, copy, CASE WHEN n <= 3 THEN pow(edge / 10, 2) ELSE xx END AS xx, CASE WHEN n <= 3 THEN 0 ELSE xy END AS xy, CASE WHEN n <= 3 THEN 0 ELSE xz END AS xz, CASE WHEN n <= 3 THEN pow(edge / 10, 2) ELSE yy END AS yy, CASE WHEN n <= 3 THEN 0 ELSE yz END AS yz, CASE WHEN n <= 3 THEN pow(edge / 10, 2) ELSE zz END AS zz FROM c JOIN s USING (scan_id, ix, iy, iz), (VALUES (1), (2)) o(copy)),
+l1 AS (SELECT *, sqrt(greatest(xx, 0)) AS l11 FROM v),
+l2 AS (SELECT *, CASE WHEN l11 > 1e-12 THEN xy / l11 ELSE 0 END AS l21, CASE WHEN l11 > 1e-12 THEN xz / l11 ELSE 0 END AS l31 FROM l1),
+l3 AS (SELECT *, sqrt(greatest(yy - l21 * l21, 0)) AS l22 FROM l2),
+l4 AS (SELECT *, CASE WHEN l22 > 1e-12 THEN (yz - l31 * l21) / l22 ELSE 0 END AS l32 FROM l3),
+l5 AS (SELECT *, sqrt(greatest(zz - l31 * l31 - l32 * l32, 0)) AS l33, {', '.join(f'{_lot_sql(k)} AS u{k}' for k in range(4))} FROM l4),
+g AS (SELECT *, sqrt(-2 * ln(u0)) * cos(2 * pi() * u1) AS g1, sqrt(-2 * ln(u0)) * sin(2 * pi() * u1) AS g2, sqrt(-2 * ln(u2)) * cos(2 * pi() * u3) AS g3 FROM l5)
+SELECT scan_id, point_id, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM pts
+UNION ALL SELECT scan_id, -1, round(ux + l11 * g1, 5), round(uy + l21 * g1 + l22 * g2, 5), round(uz + l31 * g1 + l32 * g2 + l33 * g3, 5) FROM g""")
 def upsample_gaussian(spark, d):
-    return reduce.upsample(pts(spark, d), 5.0, 2)
+    return rounded(reduce.upsample(pts(spark, d), 5.0, 3), *XYZ, digits=5)
 
 
 # --- spatial joins. SQL joins on a coarse cell of one axis, so that an engine without a grid join can follow.
@@ -324,7 +340,9 @@ def knn_within(spark, d):
     return spatial.k_nearest_within(*_sides(spark, d), 4, 2.0).select("pid", "mid", "rank")
 
 
-@query()
+@query("""WITH m AS (SELECT point_id AS mid, x AS mx, y AS my, z AS mz FROM pts WHERE scan_id = 0), p AS (SELECT point_id AS pid, x AS px, y AS py, z AS pz FROM pts WHERE scan_id <> 0),
+k AS (SELECT pid, min(struct_pack(d2 := (px-mx)*(px-mx) + (py-my)*(py-my) + (pz-mz)*(pz-mz), mid := mid), 4) AS near FROM p, m GROUP BY pid)
+SELECT pid, near[i].mid AS mid, i::INT AS rank, round(near[i].d2, 6) AS d2 FROM k, range(1, 5) t(i) WHERE i <= len(near)""")
 def knn_points(spark, d):
     return spatial.k_nearest(*_sides(spark, d), 4, 1.0).select("pid", "mid", "rank", r("d2").alias("d2"))
 
@@ -440,17 +458,43 @@ def color_ranges(spark, d):
     return pts(spark, d).groupBy("type").agg(F.min("reflectance").alias("lo"), F.max("reflectance").alias("hi"), F.count("*").alias("n"))
 
 
-@query()
+def _near_sql(k: int) -> str:
+    """The k nearest of each point in its scan, as covariances."""
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    return f"""k AS (SELECT p.scan_id, p.point_id AS pid, min(struct_pack(d2 := (p.x-m.x)*(p.x-m.x) + (p.y-m.y)*(p.y-m.y) + (p.z-m.z)*(p.z-m.z), mid := m.point_id, x := m.x, y := m.y, z := m.z), {k}) AS near FROM pts p JOIN pts m USING (scan_id) GROUP BY p.scan_id, p.point_id),
+u AS (SELECT scan_id, pid, unnest(near) AS m FROM k),
+c AS (SELECT scan_id, pid, count(*) AS n, {', '.join(f'covar_pop(m.{a}, m.{b}) AS c{a}{b}' for a, b in pairs)} FROM u GROUP BY scan_id, pid),
+q AS (SELECT *, (cxx + cyy + czz) / 3 AS mean FROM c),
+w AS (SELECT *, sqrt((pow(cxx - mean, 2) + pow(cyy - mean, 2) + pow(czz - mean, 2) + 2 * (cxy*cxy + cxz*cxz + cyz*cyz)) / 6) AS s FROM q),
+a AS (SELECT *, CASE WHEN s < 1e-12 THEN 0 ELSE acos(greatest(-1, least(1, ((cxx-mean)*((cyy-mean)*(czz-mean) - cyz*cyz) - cxy*(cxy*(czz-mean) - cyz*cxz) + cxz*(cxy*cyz - (cyy-mean)*cxz)) / (2*s*s*s)))) / 3 END AS turn FROM w),
+e AS (SELECT scan_id, pid, n, greatest(mean + 2*s*cos(turn + 2*pi()/3), 0) AS e1, greatest(3*mean - (mean + 2*s*cos(turn + 2*pi()/3)) - (mean + 2*s*cos(turn)), 0) AS e2, greatest(mean + 2*s*cos(turn), 0) AS e3 FROM a)"""
+
+
+def _checked(normals: DataFrame) -> DataFrame:
+    """Normals held against what makes them normals: how far they are from an eigenvector of the covariances and from
+    unit length, and whether they look away from the origin. Which way round and, where two eigenvalues are alike, which
+    direction a solver gives is its own choice."""
+    n = ("nx", "ny", "nz")
+    image = [g.dot(row, n) for row in (("cxx", "cxy", "cxz"), ("cxy", "cyy", "cyz"), ("cxz", "cyz", "czz"))]
+    off = F.greatest(*[F.abs(a - F.col("e1") * F.col(b)) for a, b in zip(image, n, strict=True)])
+    away = g.dot(n, ("px", "py", "pz")) >= -1e-9
+    return normals.withColumns({"off": F.floor(off * 100), "long": F.round(g.length(n), 6), "away": away})
+
+
+@query(f"WITH {_near_sql(10)} SELECT scan_id, pid, n, round(e1, 3) AS e1, round(e2, 3) AS e2, round(e3, 3) AS e3, 0::BIGINT AS off, 1.0::DOUBLE AS long, true AS away FROM e")
 def normals_eigen(spark, d):
     """Normals from the 10 nearest of each point in its scan, at whatever distance they are."""
     normals = features.away_from(features.eigen(features.nearest_moments(pts(spark, d), 10, 2.0)), (0.0, 0.0, 0.0))
-    return rounded(normals, "e1", "e2", "e3", "nx", "ny", "nz").select("scan_id", "pid", "n", "e1", "e2", "e3", "nx", "ny", "nz")
+    return rounded(_checked(normals), "e1", "e2", "e3", digits=3).select("scan_id", "pid", "n", "e1", "e2", "e3", "off", "long", "away")
 
 
-@query()
+@query(f"""WITH {_near_sql(12)}, t AS (SELECT *, e1 + e2 + e3 AS total, e3 / (e1 + e2 + e3) + 2.220446049250313e-16 AS p, e2 / (e1 + e2 + e3) + 2.220446049250313e-16 AS q, e1 / (e1 + e2 + e3) + 2.220446049250313e-16 AS r FROM e)
+SELECT scan_id, pid, round((e3 - e2) / e3, 3) AS linearity, round((e2 - e1) / e3, 3) AS planarity, round(e1 / e3, 3) AS scattering, round(cbrt(greatest(e1 * e2 * e3, 0)), 1) AS omnivariance, round((e3 - e1) / e3, 3) AS anisotropy, round(-(p*ln(p) + q*ln(q) + r*ln(r)), 3) AS eigenentropy, round(total, 3) AS eigen_sum, round(e1 / total, 3) AS curvature FROM t""")
 def shape_features(spark, d):
     """Shapes of the 12 nearest of each point in its scan, at whatever distance they are."""
-    return features.shape_features(features.eigen(features.nearest_moments(pts(spark, d), 12, 2.0))).select("scan_id", "pid", "linearity", "planarity", "scattering", "eigenentropy", "curvature")
+    out = features.shape_features(features.eigen(features.nearest_moments(pts(spark, d), 12, 2.0)))
+    names = ("linearity", "planarity", "scattering", "anisotropy", "eigenentropy", "eigen_sum", "curvature")
+    return rounded(rounded(out, *names, digits=3), "omnivariance", digits=1).select("scan_id", "pid", *names, "omnivariance")
 
 
 # --- rasters
@@ -458,10 +502,10 @@ def shape_features(spark, d):
 _VIEW = "v AS (SELECT *, pi()/2 - acos((y/100) / sqrt(x*x + y*y + z*z) * 100) AS t, CASE WHEN atan2(-x, z) < 0 THEN atan2(-x, z) + 2*pi() ELSE atan2(-x, z) END AS p, sqrt(z*z/10000 + x*x/10000 + y*y/10000) AS range FROM pts)"
 
 
-@query(f"""WITH {_VIEW}, q AS (SELECT *, floor((p - radians(180)) / radians(180) * 90)::INT AS col, (45 - 1 - floor(t / radians(90) * 45))::INT AS row FROM v WHERE t BETWEEN 0 AND radians(90) AND p BETWEEN radians(180) AND radians(360) AND sqrt(x*x + z*z) > 0.02)
+@query(f"""WITH {_VIEW}, q AS (SELECT *, floor((p - radians(180)) / radians(180) * 90)::INT AS col, (45 - 1 - floor(t / radians(90) * 45))::INT AS row FROM v WHERE t BETWEEN 0 AND radians(90) AND p BETWEEN radians(180) AND radians(360))
 SELECT scan_id, row, col, count(*) AS n, round(max(range), 6) AS range FROM q WHERE col BETWEEN 0 AND 89 AND row BETWEEN 0 AND 44 GROUP BY scan_id, row, col""")
 def range_image_farthest(spark, d):
-    located = raster.pixels(pts(spark, d).where("sqrt(x*x + z*z) > 0.02"), 90, 45, "equirectangular", (0.0, 90.0), (180.0, 360.0))
+    located = raster.pixels(pts(spark, d), 90, 45, "equirectangular", (0.0, 90.0), (180.0, 360.0))
     return raster.farthest(located).select("scan_id", "row", "col", "n", r("range").alias("range"))
 
 
@@ -471,7 +515,23 @@ def occupancy_grid(spark, d):
     return raster.occupancy(moved, 2.0, (20.0, 70.0))
 
 
-@query()
+def _cuts_sql(axis: str, origin: float, edge: float) -> str:
+    lo, hi = f"least({origin}, {axis})", f"greatest({origin}, {axis})"
+    return f"list_transform(range((floor({lo} / {edge}) + 1)::BIGINT, (ceil({hi} / {edge}))::BIGINT), lambda k: (k * {edge} - {origin}) / ({axis} - {origin}))"
+
+
+def _walk_sql(axes: str, edge: float, cell: str, keep: str, source: str) -> str:
+    """pieces(keep, k, c<axis>): the cells of the rays from the origin to the points of a source, piece by piece."""
+    cuts = f"list_sort(list_distinct(list_filter(list_concat([0.0::DOUBLE, 1.0::DOUBLE], {', '.join(_cuts_sql(a, 0.0, edge) for a in axes)}), lambda t: t >= 0 AND t <= 1)))"
+    middle = lambda a: f"{cell}((0.0 + ({a} - 0.0) * ((cuts[k] + cuts[k + 1]) / 2)) / {edge})::BIGINT AS c{a}"
+    return f"cut AS (SELECT {keep}, {', '.join(axes)}, {cuts} AS cuts FROM {source}), pieces AS (SELECT {keep}, k - 1 AS k, {', '.join(map(middle, axes))} FROM (SELECT *, unnest(range(1, len(cuts))) AS k FROM cut))"
+
+
+@query(f"""WITH m AS (SELECT scan_id, point_id, x - 25 AS x, z - 5 AS z, trunc((x - 25) / 2.0)::BIGINT AS tx, trunc((z - 5) / 2.0)::BIGINT AS tz FROM pts WHERE y BETWEEN 20 AND 70),
+{_walk_sql("xz", 2.0, "trunc", "point_id, tx, tz", "(SELECT * FROM m WHERE tx <> 0 AND tz <> 0)")},
+s AS (SELECT DISTINCT point_id, cx, cz FROM pieces WHERE cx <> tx OR cz <> tz),
+u AS (SELECT tx AS cx, tz AS cz, 1 AS hits FROM m UNION ALL SELECT cx, cz, 0 FROM s)
+SELECT cx, cz, sum(hits)::BIGINT AS hits, count(*) AS looks, round(sum(hits) / count(*), 6) AS share FROM u GROUP BY cx, cz""")
 def occupancy_merge(spark, d):
     moved = pts(spark, d).withColumns({"x": F.col("x") - 25, "z": F.col("z") - 5})
     out = raster.merged(raster.occupancy(moved, 2.0, (20.0, 70.0)).drop("scan_id"), raster.sight_lines(moved, 2.0, (20.0, 70.0)).drop("scan_id"))
@@ -505,10 +565,18 @@ def plane_inliers(spark, d):
     return shapes.inliers(pts(spark, d), planes, 0.75)
 
 
-@query()
+#: Planes that are tried, as many as the reference tries.
+HYPOTHESES = 10_000
+
+
+@query(f"""WITH o AS (SELECT x, y, z, row_number() OVER (ORDER BY {_LOT}, point_id) - 1 AS n FROM pts),
+t AS (SELECT a.n // 3 AS plane, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS bx, b.y - a.y AS by_, b.z - a.z AS bz, c.x - a.x AS cx, c.y - a.y AS cy, c.z - a.z AS cz FROM o a JOIN o b ON b.n = a.n + 1 JOIN o c ON c.n = a.n + 2 WHERE a.n % 3 = 0 AND a.n // 3 < {HYPOTHESES}),
+k AS (SELECT *, by_*cz - bz*cy AS kx, bz*cx - bx*cz AS ky, bx*cy - by_*cx AS kz FROM t),
+h AS (SELECT plane, kx / s AS nx, ky / s AS ny, kz / s AS nz, (kx*ax + ky*ay + kz*az) / s AS rho FROM (SELECT *, sqrt(kx*kx + ky*ky + kz*kz) AS s FROM k) WHERE s >= 1e-12)
+SELECT plane::INT AS plane, count(*) AS n FROM pts, h WHERE abs(x*nx + y*ny + z*nz - rho) < 0.5 GROUP BY plane""")
 def ransac_scores(spark, d):
     p = pts(spark, d)
-    return shapes.inliers(p, shapes.hypotheses(p, 64), 0.5)
+    return shapes.inliers(p, shapes.hypotheses(p, HYPOTHESES), 0.5)
 
 
 # --- trajectories, frames, links
@@ -550,7 +618,6 @@ def link_graph(spark, d):
 def mean_pose(spark, d):
     p = schema.poses(spark, d)
     m = trajectory.mean_pose(p.select(F.array(*_pose(p)).alias("m")))
-    assert np.allclose(m[:3, :3] @ m[:3, :3].T, np.eye(3))
     return spark.createDataFrame([tuple(round(float(v), 6) for v in m[:3, 3])], "tx double, ty double, tz double")
 
 
@@ -584,7 +651,12 @@ def sub_maps(spark, d):
 # --- iterative queries
 
 
-@query()
+#: The components of the edges e(a, b), given both ways, and of nodes without one, n(id): the smallest that links reach.
+_COMPONENTS = """cc(id, comp) USING KEY (id) AS (SELECT id, id FROM n UNION (SELECT e.a, min(v.comp) FROM e JOIN cc v ON v.id = e.b JOIN recurring.cc u ON u.id = e.a WHERE v.comp < u.comp GROUP BY e.a))"""
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), n AS (SELECT DISTINCT a AS id FROM e), {_COMPONENTS}
+SELECT id AS node, comp AS component FROM cc""")
 def connected_components(spark, d):
     """Customers and suppliers joined by orders of one part are one component; links are (part, supplier) of lineitem."""
     li = schema.table(spark, d, "lineitem")
@@ -603,12 +675,25 @@ def graph_segmentation(spark, d):
     return points.select("scan_id", "point_id").join(segments, ["scan_id", "point_id"], "left").withColumn("segment", F.coalesce("segment", "point_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT DISTINCT scan_id, floor(sqrt(x*x + z*z) / 2.0)::BIGINT AS ring, (floor((atan2(z, x) + pi()) / (2 * pi()) * 64)::BIGINT % 64) AS sector FROM pts),
+n AS (SELECT *, scan_id::BIGINT * 1099511627776 + ring * 65536 + sector AS id FROM c),
+l AS (SELECT p.id AS a, q.id AS b FROM n p, (VALUES {', '.join(map(str, segment.AROUND))}) o(r, s), n q WHERE q.scan_id = p.scan_id AND q.ring = p.ring + o.r AND q.sector = (p.sector + o.s + 64) % 64),
+e AS (SELECT a, b FROM l WHERE a <> b UNION ALL SELECT b, a FROM l WHERE a <> b), {_COMPONENTS}
+SELECT scan_id, ring, sector, comp AS cluster FROM n JOIN cc USING (id)""")
 def polar_clusters(spark, d):
-    return segment.polar_clusters(pts(spark, d).where("z > 0"), 2.0, 64)
-
-
-@query()
+    return segment.polar_clusters(pts(spark, d), 2.0, 64)
+
+
+@query(f"""WITH {_walk_sql("xyz", 5.0, "floor", "scan_id, point_id", "pts")},
+occ AS (SELECT DISTINCT floor(x / 5.0)::BIGINT AS cx, floor(y / 5.0)::BIGINT AS cy, floor(z / 5.0)::BIGINT AS cz, scan_id AS sid FROM pts),
+vox AS (SELECT DISTINCT cx, cy, cz FROM occ),
+st AS (SELECT p.*, o.sid IS NOT NULL AS own FROM pieces p JOIN vox USING (cx, cy, cz) LEFT JOIN occ o ON o.cx = p.cx AND o.cy = p.cy AND o.cz = p.cz AND o.sid = p.scan_id),
+sp AS (SELECT *, min(CASE WHEN own THEN k END) OVER (PARTITION BY scan_id, point_id) AS stop FROM st),
+fr AS (SELECT DISTINCT cx, cy, cz FROM sp WHERE stop IS NULL OR k < stop),
+hf AS (SELECT DISTINCT f.cx + a.i AS cx, f.cy + b.i AS cy, f.cz + c.i AS cz, o.sid FROM fr f JOIN occ o USING (cx, cy, cz), range(-2, 3) a(i), range(-2, 3) b(i), range(-2, 3) c(i)),
+ha AS (SELECT h.* FROM hf h JOIN vox USING (cx, cy, cz) ANTI JOIN fr USING (cx, cy, cz)),
+pt AS (SELECT scan_id, point_id, floor(x / 5.0)::BIGINT AS cx, floor(y / 5.0)::BIGINT AS cy, floor(z / 5.0)::BIGINT AS cz FROM pts)
+SELECT pt.scan_id, point_id, (f.cx IS NOT NULL OR h.cx IS NOT NULL) AS dynamic FROM pt LEFT JOIN fr f USING (cx, cy, cz) LEFT JOIN ha h ON h.cx = pt.cx AND h.cy = pt.cy AND h.cz = pt.cz AND h.sid = pt.scan_id""")
 def dynamic_mask(spark, d):
     """A decision for every point; a ray goes to each of them."""
     p = pts(spark, d).select("scan_id", "point_id", *XYZ)

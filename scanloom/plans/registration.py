@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import geometry as g
 from scanloom.operators import linalg, spatial, statistics
 
-MINIMISERS: dict[str, Callable[[linalg.Moments], np.ndarray]] = {"quaternion": linalg.horn, "svd": linalg.svd, "orthonormal": linalg.orthonormal, "dual": linalg.dual_quaternion, "helix": linalg.helix, "small_angle": linalg.small_angle, "quaternion_scaled": linalg.horn_scaled}
+MINIMISERS: dict[str, Callable[[linalg.Moments], np.ndarray]] = {"quaternion": linalg.horn, "svd": linalg.svd, "orthonormal": linalg.orthonormal, "dual": linalg.dual_quaternion, "helix": linalg.helix, "small_angle": linalg.small_angle, "quaternion_scaled": linalg.horn_scaled, "uncertainty_euler": linalg.uncertainty_euler, "uncertainty_quaternion": linalg.uncertainty_quaternion}
 
 
 def moved(points: DataFrame, pose: np.ndarray) -> DataFrame:
@@ -67,20 +67,72 @@ def icp(model: DataFrame, data: DataFrame, radius: float, iterations: int = 50,
     return pose, errors
 
 
-def register_sequence(points: DataFrame, scans: list[int], radius: float, metascan: bool = False, errors: dict[int, list[float]] | None = None, **options) -> dict[int, np.ndarray]:
-    """Each scan against its predecessor, or against all before it; poses in the frame of the first. errors receives
-    those of each scan's iterations."""
+def from_pairs(pairs: DataFrame, minimiser: str = "quaternion", *by: str) -> dict[tuple, np.ndarray]:
+    """The pose that carries p onto m for given pairs, for each group of them; groups of at most three pairs have none."""
+    rows = statistics.pair_moments(pairs, *by).where("n > 3").collect()  # a row for each group
+    return {tuple(r[c] for c in by): MINIMISERS[minimiser](linalg.Moments(r.asDict())) for r in rows}
+
+
+def register_sequence(points: DataFrame, scans: list[int], radius: float, metascan: bool = False, errors: dict[int, list[float]] | None = None, model: str | None = None, **options) -> dict[int, np.ndarray]:
+    """Each scan against its "previous" one, against all before it ("metascan"), or always against the "first"; poses in
+    the frame of the first. errors receives those of each scan's iterations. What a metascan gathers is written to the
+    checkpoint folder scan by scan, so plans do not grow."""
+    model = model or ("metascan" if metascan else "previous")
     poses = {scans[0]: np.eye(4)}
     done = points.where(F.col("scan_id") == scans[0])
+    before = scans[0]
     for s in scans[1:]:
-        start = poses[max(poses)]
         data = points.where(F.col("scan_id") == s)
-        found, left = icp(done, moved(data, start), radius, **options)
+        found, left = icp(done, moved(data, poses[before]), radius, **options)
         if errors is not None:
             errors[s] = left
-        poses[s] = found @ start
-        here = moved(data, poses[s])
-        done = done.unionByName(here) if metascan else here
+        poses[s] = found @ poses[before]
+        before = s
+        if model == "metascan":
+            done = done.unionByName(moved(data, poses[s])).checkpoint()
+        elif model == "previous":
+            done = moved(data, poses[s])
+    return poses
+
+
+def loops(poses: dict[int, np.ndarray], gap: int, distance: float) -> list[tuple[int, int]]:
+    """(first, last) of each loop: while a scan has candidates more than `gap` scans back and nearer than the distance,
+    the closest pair so far is kept; the first scan after them that has none, or the end, closes the loop."""
+    names = sorted(poses)
+    place = {s: poses[s][:3, 3] for s in names}
+    out, best = [], None
+    for n, s in enumerate(names):
+        near = [(float(((place[s] - place[t]) ** 2).sum()), t) for t in names[: max(0, n - gap)]]
+        near = [x for x in near if x[0] < distance * distance]
+        if near:
+            d, t = min(near)
+            best = min(best, (d, t, s)) if best else (d, t, s)
+        elif best:
+            out.append(best[1:])
+            best = None
+    return [*out, best[1:]] if best else out
+
+
+def distance_links(poses: dict[int, np.ndarray], distance: float) -> list[tuple[int, int]]:
+    """Neighbours in order, and all pairs nearer than the distance."""
+    names = sorted(poses)
+    far = lambda a, b: float(((poses[a][:3, 3] - poses[b][:3, 3]) ** 2).sum())
+    return [(a, b) for n, a in enumerate(names) for b in names[n + 1 :] if b == names[n + 1] or far(a, b) < distance * distance]
+
+
+def match(points: DataFrame, scans: list[int], radius: float, gap: int = 20, loop_distance: float = 500.0, slam_radius: float | None = None, slam_iterations: int = 10, closing: str = "slerp", method: str = "euler", **options) -> dict[int, np.ndarray]:
+    """The whole of a registration: scans one after another, loops found and closed, and all links relaxed."""
+    poses = register_sequence(points, scans, radius, **options)
+    for first, last in loops(poses, gap, loop_distance):
+        chain = [s for s in scans if first <= s <= last]
+        here = moved(points.where(F.col("scan_id") == last), poses[last])
+        error, _ = icp(moved(points.where(F.col("scan_id") == first), poses[first]), here, loop_distance, **options)
+        edges = [(a, b, float(np.linalg.norm(poses[a][:3, 3] - poses[b][:3, 3])) + 1e-9) for a, b in zip(chain[:-1], chain[1:], strict=True)]
+        closed = close_loop({s: poses[s] for s in chain}, edges, error, closing)
+        rest = closed[last] @ np.linalg.inv(poses[last])
+        poses |= closed | {s: rest @ poses[s] for s in scans if s > last}
+    if slam_radius:
+        poses, _ = relax(points, poses, distance_links(poses, loop_distance), slam_radius, slam_iterations, method=method)
     return poses
 
 
@@ -99,24 +151,59 @@ def overlap_links(points: DataFrame, radius: float, least: int) -> DataFrame:
     return near.groupBy("a", "b").agg(F.count("*").alias("pairs")).where(F.col("pairs") > least)
 
 
-def relaxation_sums(pairs: DataFrame) -> DataFrame:
-    """For each link (a, b) the sums that its 6x6 system is made of; rotations are about x, z and y in that order."""
+def relaxation_sums(pairs: DataFrame, scaled: bool = False) -> DataFrame:
+    """For each link (a, b) the sums that its system is made of; rotations are about x, z and y in that order, and a scale
+    comes last if it is asked for."""
     u = [(F.col(f"m{c}") + F.col(f"p{c}")) / 2 for c in "xyz"]
     d = [F.col(f"m{c}") - F.col(f"p{c}") for c in "xyz"]
     (x, y, z), (dx, dy, dz) = u, d
     zero, one = F.lit(0.0), F.lit(1.0)
     # the rows of the linearised residual: translation, then rotations about x, z, y
     rows = [[one, zero, zero, zero, -y, z], [zero, one, zero, -z, x, zero], [zero, zero, one, y, zero, -x]]
-    products = [F.sum(sum((rows[r][i] * rows[r][j] for r in range(3)), zero)).alias(f"a{i}{j}") for i in range(6) for j in range(i, 6)]
-    right = [F.sum(rows[0][i] * dx + rows[1][i] * dy + rows[2][i] * dz).alias(f"b{i}") for i in range(6)]
+    if scaled:
+        rows = [[*r, c] for r, c in zip(rows, u, strict=True)]
+    size = len(rows[0])
+    products = [F.sum(sum((rows[r][i] * rows[r][j] for r in range(3)), zero)).alias(f"a{i}{j}") for i in range(size) for j in range(i, size)]
+    right = [F.sum(rows[0][i] * dx + rows[1][i] * dy + rows[2][i] * dz).alias(f"b{i}") for i in range(size)]
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), *products, *right, F.sum(dx * dx + dy * dy + dz * dz).alias("dd"))
 
 
-def relax(points: DataFrame, poses: dict[int, np.ndarray], links: list[tuple[int, int]], radius: float, iterations: int = 10, epsilon: float = 1e-5) -> tuple[dict[int, np.ndarray], list[float]]:
-    """Moves all poses but the first so that all links agree best; returns the mean correction of each iteration."""
+def _steps(pairs: DataFrame, names: list[int], method: str) -> dict[int, np.ndarray]:
+    """What each scan but the first is to be moved by, from the pairs of all links."""
+    number = {s: k for k, s in enumerate(names)}
+    if method in ("helix", "small_angle"):
+        rows = statistics.pair_moments(pairs, "a", "b").collect()  # one row for each link
+        if not rows:
+            return {}
+        x = linalg.field_system(len(names), [(number[r["a"]], number[r["b"]], linalg.Moments(r.asDict())) for r in rows])
+        if method == "helix":
+            return {s: linalg.screw(x[k, 3:], x[k, :3]) for k, s in enumerate(names) if k}
+        return {s: linalg.matrix(x[k, :3], np.arcsin(np.clip(x[k, 3:], -1, 1))) for k, s in enumerate(names) if k}
+    if method not in ("euler", "quaternion"):
+        raise ValueError(f"no such relaxation: {method}")
+    size = 7 if method == "quaternion" else 6
+    system = []
+    for r in relaxation_sums(pairs, method == "quaternion").collect():  # one row for each link
+        mm = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(size)] for i in range(size)])
+        mz = np.array([r[f"b{i}"] for i in range(size)])
+        d = np.linalg.lstsq(mm, mz, rcond=None)[0]
+        # a perfect fit has no variance; the floor keeps its weight finite
+        ss = max((r["dd"] - d @ mz) / max(2 * r["n"] - 3, 1), 1e-13)
+        system.append((number[r["a"]], number[r["b"]], mm / ss, mz / ss))
+    if not system:
+        return {}
+    x = linalg.link_system(len(names), system)
+    # b of a link is to move by minus its share of the difference m - p; a scale is no motion
+    return {s: linalg.matrix(-x[k, :3], [-x[k, 3], -x[k, 5], -x[k, 4]]) for k, s in enumerate(names) if k}
+
+
+def relax(points: DataFrame, poses: dict[int, np.ndarray], links: list[tuple[int, int]], radius: float, iterations: int = 10, epsilon: float = 1e-5, method: str = "euler") -> tuple[dict[int, np.ndarray], list[float]]:
+    """Moves all poses but the first so that all links agree best; returns the mean correction of each iteration.
+
+    method: "euler" and "quaternion" weigh links by their uncertainty; "helix" and "small_angle" solve for the velocity
+    fields of all scans at once."""
     spark = points.sparkSession
     names = sorted(poses)
-    number = {s: k for k, s in enumerate(names)}
     poses, moves = dict(poses), []
     edges = spark.createDataFrame(links, "a int, b int")
     for _ in range(iterations):
@@ -126,23 +213,11 @@ def relax(points: DataFrame, poses: dict[int, np.ndarray], links: list[tuple[int
         world = at.select("scan_id", "point_id", *[x.alias(c) for c, x in zip("xyz", g.transform([f"w{k}" for k in range(16)], ("x", "y", "z")), strict=True)])
         m = spatial.as_model(world, F.col("scan_id").alias("a")).join(edges, "a").select("mid", "mx", "my", "mz", "a", "b")
         p = spatial.as_probe(world, F.col("scan_id").alias("b")).join(edges, "b").select("pid", "px", "py", "pz", "a", "b")
-        sums = relaxation_sums(spatial.nearest(p, m, radius, by=("a", "b"))).collect()  # one row for each link
-        system = []
-        for r in sums:
-            mm = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
-            mz = np.array([r[f"b{i}"] for i in range(6)])
-            d = np.linalg.lstsq(mm, mz, rcond=None)[0]
-            # a perfect fit has no variance; the floor keeps its weight finite
-            ss = max((r["dd"] - d @ mz) / max(2 * r["n"] - 3, 1), 1e-13)
-            system.append((number[r["a"]], number[r["b"]], mm / ss, mz / ss))
-        if not system:
+        steps = _steps(spatial.nearest(p, m, radius, by=("a", "b")), names, method)
+        if not steps:
             break
-        x = linalg.link_system(len(names), system)
         total = 0.0
-        for k, s in enumerate(names[1:], 1):
-            t, (rx, rz, ry) = x[k, :3], x[k, 3:]
-            # b of a link is to move by minus its share of the difference m - p
-            step = linalg.matrix(-t, [-rx, -ry, -rz])
+        for s, step in steps.items():
             before = poses[s][:3, 3].copy()
             poses[s] = step @ poses[s]
             poses[s][:3, :3] = linalg.nearest_rotation(poses[s][:3, :3])
@@ -153,8 +228,9 @@ def relax(points: DataFrame, poses: dict[int, np.ndarray], links: list[tuple[int
     return poses, moves
 
 
-def close_loop(poses: dict[int, np.ndarray], edges: list[tuple[int, int, float]], error: np.ndarray) -> dict[int, np.ndarray]:
-    """Spreads the loop error of the last pose over all, in shares by path length; rotation by its axis and angle."""
+def close_loop(poses: dict[int, np.ndarray], edges: list[tuple[int, int, float]], error: np.ndarray, method: str = "slerp") -> dict[int, np.ndarray]:
+    """Spreads the loop error of the last pose over all, in shares by path length. method: a share of a rotation is that
+    of its angle about its axis ("slerp"), of its Euler angles ("euler"), or of its quaternion ("quaternion")."""
     names = sorted(poses)
     number = {s: k for k, s in enumerate(names)}
     share = linalg.balance(len(names), [(number[a], number[b], w) for a, b, w in edges], 0, len(names) - 1)
@@ -167,7 +243,14 @@ def close_loop(poses: dict[int, np.ndarray], edges: list[tuple[int, int, float]]
     for s in names:
         w = share[number[s]]
         part = np.eye(4)
-        part[:3, :3] = np.eye(3) + np.sin(w * angle) * kx + (1 - np.cos(w * angle)) * kx @ kx
+        if method == "slerp":
+            part[:3, :3] = np.eye(3) + np.sin(w * angle) * kx + (1 - np.cos(w * angle)) * kx @ kx
+        elif method == "euler":
+            part[:3, :3] = linalg.rotation(w * linalg.angles(r))
+        elif method == "quaternion":
+            part[:3, :3] = linalg.quaternion_rotation(np.r_[1 - w + w * np.cos(angle / 2), w * np.sin(angle / 2) * axis])
+        else:
+            raise ValueError(f"no such way to close a loop: {method}")
         part[:3, 3] = w * error[:3, 3]
         out[s] = part @ poses[s]
     return out

@@ -6,7 +6,7 @@ up, so that expressions over them stay inside whole-stage code generation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,17 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as eight scans. point_id numbers the lines of an order, so the window never leaves an order."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    """lineitem as eight scans. point_id is arithmetic over the columns that tell lines apart: no shuffle numbers them, and
+    filters reach the scan of the table."""
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rest = F.col("l_partkey") * 1009 + F.col("l_suppkey") * 53 + F.col("l_quantity").cast("long")
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % 8).cast("int").alias("scan_id"), (F.col("l_orderkey") * 1000 + F.row_number().over(order)).alias("point_id"),
+        (F.col("l_suppkey") % 8).cast("int").alias("scan_id"), (line * 1000003 + rest % 1000003).alias("point_id"),
         F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"), F.col("l_tax").alias("reflectance"), F.col("l_linenumber").cast("int").alias("type"),
     )
 
 
 POINTS_SQL = """pts AS (
   SELECT (l_suppkey % 8)::INT AS scan_id,
-    l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS point_id,
+    (l_orderkey * 8 + l_linenumber)::BIGINT * 1000003 + (l_partkey * 1009 + l_suppkey * 53 + l_quantity::BIGINT) % 1000003 AS point_id,
     l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, l_tax AS reflectance, l_linenumber::INT AS type
   FROM lineitem)"""
 

@@ -94,18 +94,24 @@ def read_text(spark: SparkSession, path: str | list[str], fmt: str, scan_id: int
 
     The scan's number is the digits after the format's prefix in the file's name unless it is given.
     """
-    f = FORMATS[fmt]
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     files = spark.read.text(path, wholetext=True).select("value", name.alias("file"))
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("point_id", "line"))
+    number = F.lit(scan_id) if scan_id is not None else F.regexp_extract("file", r"(\d+)", 1).cast("int")
+    return parsed(lines.select(number.alias("scan_id"), F.col("point_id").cast("long").alias("point_id"), "file", "line"), fmt)
+
+
+def parsed(lines: DataFrame, fmt: str) -> DataFrame:
+    """Points from lines (scan_id, point_id, file, line) of a text format; the first HEADER_LINES of a file by point_id
+    may be no points."""
+    f = FORMATS[fmt]
     fields, ok = _numbers(F.col("line"), len(f.columns))
     blank = F.trim(F.regexp_replace("line", "#.*$", "")) == ""
-    rows = lines.select("file", F.col("point_id").cast("long").alias("point_id"), fields.alias("f"), ok.alias("ok"), blank.alias("blank"), "line").where("not blank")
+    rows = lines.select("scan_id", "point_id", "file", fields.alias("f"), ok.alias("ok"), blank.alias("blank"), "line").where("not blank")
     bad = F.raise_error(F.concat(F.lit("not a line of points in "), F.col("file"), F.lit(": "), F.col("line")))
     rows = rows.where(F.when(F.col("ok"), True).when(F.col("point_id") < HEADER_LINES, False).otherwise(bad.cast("boolean")))
     values = F.when(F.exists("f", lambda x: F.lower(x).contains("x")), _hexadecimal(F.col("f"))).otherwise(F.transform(F.col("f"), lambda x: x.try_cast("double")))
-    number = F.lit(scan_id) if scan_id is not None else F.regexp_extract("file", r"(\d+)", 1).cast("int")
-    return modelled(rows.select(number.alias("scan_id"), "point_id", values.alias("v")), f)
+    return modelled(rows.select("scan_id", "point_id", values.alias("v")), f)
 
 
 def modelled(rows: DataFrame, f: Format) -> DataFrame:
@@ -155,19 +161,40 @@ def _stripped(c: str) -> Column:
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
     """scan_id and tx, ty, tz (units of the scan), rx, ry, rz (radians) from pose files in degrees."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(name, r"(\d+)", 1).cast("int").alias("scan_id"), F.split(_stripped("value"), r"\s+").alias("v"))
+    return parsed_poses(spark.read.text(path, wholetext=True).select(F.regexp_extract(name, r"(\d+)", 1).cast("int").alias("scan_id"), "value"))
+
+
+def parsed_poses(texts: DataFrame) -> DataFrame:
+    """read_poses() of texts (scan_id, value)."""
+    files = texts.select("scan_id", F.split(_stripped("value"), r"\s+").alias("v"))
     v = lambda k: F.element_at("v", k + 1).cast("double")
     return files.select("scan_id", *[v(k).alias(c) for k, c in enumerate(("tx", "ty", "tz"))], *[F.radians(v(k + 3)).alias(c) for k, c in enumerate(("rx", "ry", "rz"))])
 
 
+def pose_text(poses: DataFrame) -> DataFrame:
+    """(scan_id, value): pose files, two lines of position and degrees."""
+    line = lambda names, f: F.concat_ws(" ", *[f(F.col(c)).cast("string") for c in names])
+    return poses.select("scan_id", F.concat(line(("tx", "ty", "tz"), lambda c: c), F.lit("\n"), line(("rx", "ry", "rz"), F.degrees), F.lit("\n")).alias("value"))
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """scan_id, seq, m (sixteen numbers, column-major) and algo of frames files."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(name, r"(\d+)", 1).cast("int").alias("scan_id"), F.posexplode(F.split(_stripped("value"), "\r?\n")).alias("seq", "line"))
+    return parsed_frames(spark.read.text(path, wholetext=True).select(F.regexp_extract(name, r"(\d+)", 1).cast("int").alias("scan_id"), "value"))
+
+
+def parsed_frames(texts: DataFrame) -> DataFrame:
+    """read_frames() of texts (scan_id, value)."""
+    files = texts.select("scan_id", F.posexplode(F.split(_stripped("value"), "\r?\n")).alias("seq", "line"))
     v = F.split(_stripped("line"), r"\s+")
     return files.select("scan_id", "seq", F.transform(F.slice(v, 1, 16), lambda x: x.cast("double")).alias("m"), F.element_at(v, 17).cast("int").alias("algo"))
 
 
+def frame_lines(frames: DataFrame) -> DataFrame:
+    """(scan_id, seq, value): the lines of frames files."""
+    return frames.select("scan_id", "seq", F.concat_ws(" ", F.transform("m", lambda x: x.cast("string")), F.col("algo").cast("string")).alias("value"))
+
+
 def with_frame(points: DataFrame, frames: DataFrame, nth: int = 1) -> DataFrame:
     """points moved by the nth frame from the end of their scan."""
     from scanloom.functions import geometry as g
@@ -269,12 +296,12 @@ def _hex_text(x: pd.Series) -> pd.Series:
     return x.map(lambda v: float(v).hex())
 
 
-def lines(points: DataFrame, fmt: str, hexadecimal: bool = False) -> DataFrame:
+def lines(points: DataFrame, fmt: str, hexadecimal: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(scan_id, value): the text lines of points in a format."""
     f = FORMATS[fmt]
     back = dict(zip(XYZ, _BACK[f.axes](F.col("x"), F.col("y"), F.col("z")), strict=True))
     text = lambda c: _hex_text(back[c]) if hexadecimal and c in back else (back.get(c, F.col(c) if c != "_" else F.lit(0))).cast("string")
-    return points.select("scan_id", F.concat_ws(" ", *[text(c) for c in f.columns]).alias("value"))
+    return points.select("scan_id", *keep, F.concat_ws(" ", *[text(c) for c in f.columns]).alias("value"))
 
 
 def write(points: DataFrame, path: str, fmt: str, hexadecimal: bool = False) -> None:
@@ -282,13 +309,55 @@ def write(points: DataFrame, path: str, fmt: str, hexadecimal: bool = False) ->
     lines(points, fmt, hexadecimal).write.partitionBy("scan_id").text(path)
 
 
+def export_points(points: DataFrame, frames: DataFrame | None, path: str, fmt: str = "uos", nth: int = 1) -> None:
+    """All scans as one folder of text parts, in the global frame of the nth frame from the end if there are frames."""
+    world = with_frame(points, frames, nth) if frames is not None else points
+    lines(world, fmt).select("value").write.text(path)
+
+
 def write_frames(frames: DataFrame, path: str, mode: str = "append") -> None:
-    row = F.concat_ws(" ", F.transform("m", lambda x: x.cast("string")), F.col("algo").cast("string"))
-    frames.orderBy("scan_id", "seq").select("scan_id", row.alias("value")).write.mode(mode).partitionBy("scan_id").text(path)
+    frame_lines(frames.orderBy("scan_id", "seq")).select("scan_id", "value").write.mode(mode).partitionBy("scan_id").text(path)
+
+
+def write_trajectory(poses: DataFrame, path: str, metres: bool = False) -> None:
+    """Positions (scan_id, tx, ty, tz) in order, a line each; right-handed metres on request."""
+    x, y, z = (F.col("tz") / 100, -F.col("tx") / 100, F.col("ty") / 100) if metres else (F.col("tx"), F.col("ty"), F.col("tz"))
+    poses.orderBy("scan_id").select(F.concat_ws(" ", *[c.cast("string") for c in (x, y, z)]).alias("value")).write.text(path)
+
+
+def modified(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modificationTime, length) of files, whose contents are not read."""
+    return spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
+
+
+def graph_text(links: DataFrame) -> DataFrame:
+    """(a, b, value): the lines of an undirected graph in dot notation, without its braces."""
+    return links.select("a", "b", F.concat(F.lit("  "), F.col("a").cast("string"), F.lit(" -- "), F.col("b").cast("string"), F.lit(";")).alias("value"))
+
+
+def write_features(features: DataFrame, path: str, relation: str | None = None) -> None:
+    """Numeric features as CSV parts with a header each, or, with the name of a relation, as parts of an ARFF file's data
+    beside its header."""
+    if relation is None:
+        features.write.option("header", True).csv(path)
+        return
+    head = [f"@RELATION {relation}", *[f"@ATTRIBUTE {c} NUMERIC" for c in features.columns], "@DATA"]
+    features.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.text(f"{path}/header")
+    features.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in features.columns]).alias("value")).write.text(f"{path}/data")
+
+
+def ply_head(n: int, colours: bool) -> str:
+    rgb = [f"property uchar {c}" for c in ("red", "green", "blue")] if colours else []
+    return "\n".join(["ply", "format ascii 1.0", f"element vertex {n}", *[f"property double {c}" for c in XYZ], *rgb, "end_header"])
+
+
+def ply_lines(points: DataFrame, colours: bool = True) -> DataFrame:
+    """(value): the vertex lines of an ASCII PLY."""
+    rgb = [F.coalesce(F.col(c), F.lit(0)).cast("string") for c in RGB] if colours else []
+    return points.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in XYZ], *rgb).alias("value"))
 
 
-def ply_text(points: DataFrame) -> str:
-    """A small cloud as an ASCII PLY; the driver holds it, so it is for exports of bounded size."""
-    rows = points.select(*XYZ, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in RGB]).collect()
-    head = ["ply", "format ascii 1.0", f"element vertex {len(rows)}", *[f"property double {c}" for c in XYZ], *[f"property uchar {c}" for c in ("red", "green", "blue")], "end_header"]
-    return "\n".join([*head, *(" ".join(str(v) for v in r) for r in rows)]) + "\n"
+def write_ply(points: DataFrame, path: str, colours: bool = True) -> None:
+    """An ASCII PLY as a folder: its header, which has the number of points, and its vertices in parallel parts."""
+    points.sparkSession.createDataFrame([(ply_head(points.count(), colours),)], "value string").coalesce(1).write.text(f"{path}/header")
+    ply_lines(points, colours).write.text(f"{path}/vertices")

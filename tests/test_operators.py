@@ -170,15 +170,27 @@ def test_relaxation_and_loops(spark):
 
 
 def test_rays_and_mask(spark):
-    cells = dynamic.walk(np.array([0.5, 0.5, 0.5]), np.array([3.5, 1.5, 0.5]), 1.0)
-    assert cells[0].tolist() == [0, 0, 0] and cells[-1].tolist() == [3, 1, 0] and (np.abs(np.diff(cells, axis=0)).max(axis=1) == 1).all()
-    assert dynamic.walk(np.zeros(3) + 0.5, np.array([-2.5, 0.5, 0.5]), 1.0)[:, 0].tolist() == [0, -1, -2, -3]
+    ends = [(0.5, 0.5, 0.5, 3.5, 1.5, 0.5), (0.5, 0.5, 0.5, -2.5, 0.5, 0.5), (0.5, 0.5, 0.5, 0.6, 0.5, 0.5), (0.5, 0.5, 0.5, 2.5, 2.5, 2.5), (1.0, 0.5, 0.5, 3.0, 0.5, 0.5), (1.0, 0.5, 0.5, -1.0, 0.5, 0.5)]
+    targets = spark.createDataFrame([(k, k, *e[3:]) for k, e in enumerate(ends)], "scan_id int, point_id long, x double, y double, z double")
+    starts = spark.createDataFrame([(k, *e[:3]) for k, e in enumerate(ends)], "scan_id int, ox double, oy double, oz double")
+    walks = {}
+    for x in dynamic.rays(targets, starts, 1.0).orderBy("scan_id", "k").collect():
+        walks.setdefault(x.scan_id, []).append((x.vx, x.vy, x.vz))
+    assert walks[0][0] == (0, 0, 0) and walks[0][-1] == (3, 1, 0) and (np.abs(np.diff(walks[0], axis=0)).max(axis=1) == 1).all()
+    assert [v[0] for v in walks[1]] == [0, -1, -2, -3] and walks[2] == [(0, 0, 0)]
+    assert walks[3] == [(0, 0, 0), (1, 1, 1), (2, 2, 2)]  # through the corners
+    assert [v[0] for v in walks[4]] == [1, 2] and [v[0] for v in walks[5]] == [0, -1]
     # scan 0 sees a thing at x = 5; scan 1 looks through that place at a wall
     rows = [(0, 0, 5.5, 0.5, 0.5), (0, 1, 9.5, 3.5, 0.5), (1, 2, 9.5, 0.5, 0.5)]
     df = spark.createDataFrame(rows, "scan_id int, point_id long, x double, y double, z double")
     origins = spark.createDataFrame([(0, 0.5, 0.5, 0.5), (1, 0.5, 0.5, 0.5)], "scan_id int, ox double, oy double, oz double")
     got = {r.point_id: r.dynamic for r in dynamic.mask(df, origins, 1.0).collect()}
     assert got == {0: True, 1: False, 2: False}
+    short = spark.createDataFrame([(1, 2, 3.0)], "scan_id int, point_id long, limit double")
+    assert not any(r.dynamic for r in dynamic.mask(df, origins, 1.0, limits=short).collect())
+    normals = df.select("scan_id", F.col("point_id").alias("pid"), F.lit(-1.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nz"))
+    bounds = {r.point_id: r.limit for r in dynamic.max_ranges(df, origins, normals, 1.0).collect()}
+    assert set(bounds) <= {0, 1, 2} and all(v > 0 for v in bounds.values())
     free = spark.createDataFrame([(0, 0, 0), (1, 1, 1), (9, 9, 9)], "vx long, vy long, vz long")
     assert dynamic.without_small(free, 2).count() == 2
     limit = dynamic.shadow_ranges(pd.DataFrame({"dx": [1.0, 1.0], "dy": [0.0, 0.0], "dz": [0.0, 0.0], "range": [10.0, 50.0], "nx": [-1.0, 1.0], "ny": 0.0, "nz": 0.0}), 1.0)
@@ -228,8 +240,8 @@ def test_shapes(spark):
 def test_rasters(spark):
     rng = np.random.default_rng(11)
     df = cloud(spark, rng.uniform(-900, 900, (400, 3)))
-    for name in ("equirectangular", "cylindrical", "mercator", "miller", "equal_area", "rectilinear", "stereographic", "azimuthal", "pannini", "zaxis"):
-        out = raster.pixels(df, 40, 20, name)
+    for name in ("equirectangular", "cylindrical", "mercator", "miller", "equal_area", "rectilinear", "stereographic", "azimuthal", "pannini", "zaxis", "conic"):
+        out = raster.pixels(df, 40, 20, name, *([(10.0, 60.0)] if name == "conic" else []))
         assert all(0 <= r.row < 20 and 0 <= r.col < 40 for r in out.select("row", "col").collect())
     back = raster.recovered(raster.farthest(raster.pixels(df, 3600, 1800).withColumnsRenamed({c: f"o{c}" for c in "xyz"})), 3600, 1800).collect()
     assert len(back) > 100 and all(abs(r.x - r.ox) + abs(r.y - r.oy) + abs(r.z - r.oz) < 12 for r in back)

@@ -14,9 +14,9 @@ def write(path, text):
 
 
 def test_lenient_text(spark, tmp_path):
-    text = "10.1 0 0\r\n# a comment\n\n10.2 0 2.84217e-14 # inline\n0x1.8p1 -0x10 .5\n"
+    text = "7.25 0 -1\r\n# a comment\n\n8.5 3 6.5e-9 # inline\n0x1.8p1 -0x10 .5\n"
     rows = formats.read(spark, write(tmp_path / "scan004.3d", text), "uos").orderBy("point_id").collect()
-    assert [(r.scan_id, r.x, r.y, r.z) for r in rows] == [(4, 10.1, 0, 0), (4, 10.2, 0, 2.84217e-14), (4, 3.0, -16.0, 0.5)]
+    assert [(r.scan_id, r.x, r.y, r.z) for r in rows] == [(4, 7.25, 0, -1), (4, 8.5, 3, 6.5e-9), (4, 3.0, -16.0, 0.5)]
     ten = "garbage\n" * 10 + "1 2 3\n"
     assert formats.read(spark, write(tmp_path / "scan005.3d", ten), "uos").count() == 1
     with pytest.raises(Exception, match="not a line of points"):
@@ -64,7 +64,10 @@ def test_zip_and_binary(spark, tmp_path):
     (tmp_path / "000003.bin").write_bytes(np.array([[1, 2, 3, 0.5]], "<f4").tobytes())
     r = formats.read(spark, str(tmp_path / "000003.bin"), "kitti").first()
     assert (r.x, r.y, r.z, r.reflectance) == (-200, 300, 100, 0.5)
-    assert formats.decode_ply(formats.ply_text(formats.read(spark, str(tmp_path / "scan002.ply"), "ply")).encode()).x.tolist() == [1, 4]
+    formats.write_ply(formats.read(spark, str(tmp_path / "scan002.ply"), "ply"), str(tmp_path / "out"))
+    part = lambda name: "".join(f.read_text() for f in sorted((tmp_path / "out" / name).glob("part-*")))
+    back = formats.decode_ply((part("header") + part("vertices")).encode())
+    assert sorted(back.x) == [1, 4] and sorted(back.r) == [1, 9]
 
 
 def test_las():
@@ -79,9 +82,9 @@ def test_las():
 
 
 def test_poses_and_frames(spark, tmp_path):
-    write(tmp_path / "scan001.pose", "-3.10605 -7.50803 156.917\n1.35694 -0.852409 -0.56224\n")
+    write(tmp_path / "scan001.pose", "-12.5 4.75 310.125\n2.5 -0.625 -1.75\n")
     p = formats.read_poses(spark, str(tmp_path / "scan001.pose")).first()
-    assert p.scan_id == 1 and p.tz == 156.917 and abs(p.rx - np.radians(1.35694)) < 1e-12
+    assert p.scan_id == 1 and p.tz == 310.125 and abs(p.rx - np.radians(2.5)) < 1e-12
     m = [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 5, 6, 7, 1]
     write(tmp_path / "scan001.frames", " ".join(map(str, m)) + " 1\n" + " ".join(map(str, [*m[:12], 8, 9, 10, 1])) + " 2\n")
     frames = formats.read_frames(spark, str(tmp_path / "scan001.frames"))
@@ -94,6 +97,25 @@ def test_poses_and_frames(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "frames")).count() == 4
 
 
+def test_writers(spark, tmp_path):
+    read = lambda name: sorted(r.value for r in spark.read.text(str(tmp_path / name)).collect())
+    df = spark.createDataFrame([(0, 0, 1.0, 2.0, 3.0), (1, 1, 4.0, 5.0, 6.0)], "scan_id int, point_id long, x double, y double, z double")
+    frames = spark.createDataFrame([(s, q, [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 10.0 * q, 0, 0, 1], 1) for s in (0, 1) for q in (0, 1)], "scan_id int, seq int, m array<double>, algo int")
+    formats.export_points(df, None, str(tmp_path / "all"))
+    formats.export_points(df, frames, str(tmp_path / "moved"))
+    formats.export_points(df, frames, str(tmp_path / "first"), nth=2)
+    assert read("all") == read("first") == ["1.0 2.0 3.0", "4.0 5.0 6.0"] and read("moved") == ["11.0 2.0 3.0", "14.0 5.0 6.0"]
+    poses = spark.createDataFrame([(1, 100.0, 200.0, 300.0), (0, 0.0, 0.0, 0.0)], "scan_id int, tx double, ty double, tz double")
+    formats.write_trajectory(poses, str(tmp_path / "path"))
+    formats.write_trajectory(poses, str(tmp_path / "metres"), metres=True)
+    assert "100.0 200.0 300.0" in read("path") and "3.0 -1.0 2.0" in read("metres")
+    formats.write_features(df.select("x", "y"), str(tmp_path / "csv"))
+    formats.write_features(df.select("x", "y"), str(tmp_path / "arff"), "cells")
+    assert read("csv").count("x,y") >= 1 and read("arff/data") == ["1.0,2.0", "4.0,5.0"] and "@RELATION cells" in "\n".join(read("arff/header"))
+    seen = formats.modified(spark, str(tmp_path / "csv")).collect()
+    assert seen and all(r.length > 0 and r.modificationTime for r in seen)
+
+
 def test_addresses():
     assert addressing.parse("dir").clusters is None
     assert addressing.parse("dir[merged]").merged and addressing.parse("dir[]").merged
