@@ -41,6 +41,8 @@ FREQUENT, GROUP = 4, 20
 BITS = 1024
 B = [f"b{i}" for i in range(BITS // 64)]
 
+#: Bytes of text whose sets are handed on together.
+ROWS_BYTES = 1 << 20
 #: Bytes of text for each file of sets, and distinct sets for each file of the tables that follow.
 FILE_BYTES, FILE_SETS = 4 << 20, 4_000
 
@@ -122,7 +124,7 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for b in batches:
             raw, off = tk.utf8(b.column("text"))
             ids = b.column("doc_id")
-            for i, j in tk.blocks(off):
+            for i, j in tk.blocks(off, ROWS_BYTES):
                 sets = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 every = seen.order(np.concatenate(sets))
                 n = np.array([len(x) for x in sets], np.int64)
@@ -164,7 +166,7 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = tk.utf8(b.column("text"))
-            for i, j in tk.blocks(off):
+            for i, j in tk.blocks(off, ROWS_BYTES):
                 blobs = [x.tobytes() for x in shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)]
                 part = b.slice(i, j - i)
                 same = [blake2b(x, digest_size=16).digest() == y.as_py() for x, y in zip(blobs, part.column("key"), strict=True)]  # rows may share a doc_id

@@ -9,9 +9,9 @@ need their windows compared, class by class and not copy by copy.
 A document then only needs to know its leaders: every other candidate segment of it occurs earlier as a whole, and
 of a leader those windows that the comparison found in an earlier class. So no row is ever sent for a copy.
 
-A bucket is one task's work unless it has HOT classes or more, as the surroundings of a passage have that very many
-documents share. Such buckets are compared by rows instead, one for each window of a class, which meet as partial
-minima, so no task holds the bucket.
+A bucket is one task's work unless it has very many classes, as the surroundings of a passage have that very many
+documents share. The classes of such a bucket are dealt out one by one, and become a row for each of their windows; these
+rows meet as partial minima, so no task holds the bucket.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from scanloom.llm import staging
 from scanloom.llm import textkernel as tk
 
 #: Classes whose content a map task remembers to have handed on; forgetting them costs a repeated row, no result.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Logarithm of the number of classes from which a bucket is compared by rows.
 HOT = 10
 #: Bytes of text for each file of classes.
@@ -42,7 +42,7 @@ class Segments:
     """Candidate segments of a block of documents, in the order of their anchors. at: place of the anchor, as a unit of
     the block; s: first window; n: windows; h: bucket; begin: first unit of each document, and the number of units.
 
-    body: contents, equal for segments of a class and for no others; windows: the contents of one segment's windows."""
+    body: contents, equal for segments of a class and for no others."""
 
     at: np.ndarray
     s: np.ndarray
@@ -50,7 +50,6 @@ class Segments:
     h: np.ndarray
     begin: np.ndarray
     body: Callable[[np.ndarray], list[bytes]]
-    windows: Callable[[int], list[bytes]]
 
     @property
     def doc(self) -> np.ndarray:
@@ -73,7 +72,10 @@ def inside(off: np.ndarray, n: int, span: int) -> np.ndarray:
 
 def _covered(first: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
     """How many of the ranges each of n places is in."""
-    return np.cumsum(np.bincount(first, minlength=n + 1)[: n + 1] - np.bincount(stop, minlength=n + 1)[: n + 1])[:n]
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, first, 1)
+    np.subtract.at(edge, stop, 1)
+    return np.cumsum(edge[:-1], dtype=np.int32)
 
 
 def digests(bodies: list[bytes]) -> np.ndarray:
@@ -99,21 +101,18 @@ def _over(docs: DataFrame, segment: Segmenter, cast, wanted: Callable[[np.ndarra
                 if wanted:
                     ok &= wanted(g.h)
                 at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
                 bodies = g.body(at)
-                c = digests(bodies)
                 if wanted:  # a content that this task has handed on need not be sent again
                     if len(known) > REMEMBERED:
                         known.clear()
                     fresh = []
-                    for k, x in enumerate(c.view("V16").reshape(-1).tolist()):
+                    for k, x in enumerate(bodies):
                         if x not in known:
                             known.add(x)
                             fresh.append(k)
-                    at, c, bodies = at[fresh], c[fresh], [bodies[k] for k in fresh]
+                    at, bodies = at[fresh], [bodies[k] for k in fresh]
                 if len(at):
-                    yield row(g, at, c, bodies, number[i:j][doc[at]], (g.at - g.begin[doc])[at], (g.s - g.begin[doc])[at])
+                    yield row(g, at, digests(bodies), bodies, number[i:j][doc[at]], (g.at - g.begin[doc])[at], (g.s - g.begin[doc])[at])
 
     return docs.mapInArrow(run, schema)
 
@@ -126,28 +125,19 @@ def _bodies(g, at, c, bodies, doc, p, s) -> pa.RecordBatch:
     return pa.record_batch({"h": pa.array(g.h[at].view(np.int64)), "c1": pa.array(c[:, 0]), "c2": pa.array(c[:, 1]), "body": pa.array(bodies, pa.binary())})
 
 
-def _window_rows(g, at, c, bodies, doc, p, s) -> pa.RecordBatch:
-    each = [g.windows(k) for k in at.tolist()]
-    n = np.array([len(x) for x in each])
-    row = np.repeat(np.arange(len(at)), n)
-    w = digests([x for y in each for x in y])
-    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return pa.record_batch({"h": pa.array(g.h[at][row].view(np.int64)), "c1": pa.array(c[row, 0]), "c2": pa.array(c[row, 1]), "k": pa.array(k.astype(np.int32)), "w1": pa.array(w[:, 0]), "w2": pa.array(w[:, 1])})
-
-
 #: A leader's name inside its document: the place of its anchor, and half of the bucket's hash, which tells texts apart
 #: that share a doc_id.
 KEY = "shiftleft(cast(p as long), 32) | (h & 4294967295)"
 INNER = "array<struct<a:int,b:int>>"
 
 
-def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], segment: Segmenter, resolver: Resolver, batch_bytes: int, inside_document: bool):
+def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], segment: Segmenter, resolver: Resolver, batch_bytes: int, windows: Callable[[bytes], list[bytes]], inside_document: bool):
     """(table of the leaders, broadcast sketch of the buckets). A row: doc_id, key and inner, windows (a to b) of the
     segment that occur in an earlier class.
 
     hashes: what to count to find candidates. resolver: gets classes (content, doc_id and start of the leader) of whole
     buckets and gives (number of the class, windows that have an earlier equal); it sees about batch_bytes, or one
-    bucket. inside_document: an earlier start in the same document is earlier.
+    bucket. windows: the windows of a content. inside_document: an earlier start in the same document is earlier.
     """
     parts, log = staging.slices(docs), staging.log_bits(docs)
     cast = staging.sketch(docs.mapInArrow(lambda it: staging.packed(hashes(it), parts), staging.PACKED), parts, log)
@@ -162,16 +152,25 @@ def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterat
         order = staging.with_sketch(counted).order(h)
         return (order > 0).astype(np.int8) + (order >= HOT)
 
-    def buckets(which: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                yield x.filter(pa.array(kind(x.column("h").to_numpy().view(np.uint64)) == which))
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield x.filter(pa.array(kind(x.column("h").to_numpy().view(np.uint64)) == 0))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            k = kind(x.column("h").to_numpy().view(np.uint64))
+            some = pa.array(k > 0)
+            yield x.append_column("hot", pa.array(k > 1)).filter(some)
 
-        return classes.mapInArrow(run, classes.schema)
+    def bodies(g, at, c, content, doc, p, s) -> pa.RecordBatch:
+        x = _bodies(g, at, c, content, doc, p, s)
+        return x.append_column("hot", pa.array(kind(g.h[at]) > 1))
 
-    bodies = _over(docs, segment, cast, lambda h: kind(h) == 1, _bodies, "h long, c1 long, c2 long, body binary")
-    mixed = buckets(1).withColumn("body", F.lit(None).cast("binary")).unionByName(bodies, allowMissingColumns=True)
-    rows = mixed.repartition(4 * parts, "h").sortWithinPartitions("h", "c1", "c2", F.col("doc_id").asc_nulls_last())
+    contents = _over(docs, segment, cast, lambda h: kind(h) > 0, bodies, "h long, c1 long, c2 long, body binary, hot boolean")
+    own = classes.mapInArrow(shared, "h long, c1 long, c2 long, doc_id long, p int, s int, hot boolean")
+    mixed = own.withColumn("body", F.lit(None).cast("binary")).unionByName(contents, allowMissingColumns=True)
+    place = F.when(F.col("hot"), F.xxhash64("h", "c1", "c2")).otherwise(F.col("h"))
+    rows = mixed.withColumn("at", place).repartition(4 * parts, "at").sortWithinPartitions("h", "c1", "c2", F.col("doc_id").asc_nulls_last())
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # classes of whole buckets, but for the last one
@@ -183,7 +182,40 @@ def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterat
             for k, windows in resolver(list(zip(*(t.column(c).to_pylist() for c in ("body", "doc_id", "s")), strict=True))):
                 cut = np.flatnonzero(np.diff(windows) > 1)
                 inner[k] = [{"a": a, "b": b} for a, b in zip(windows[np.r_[0, cut + 1]].tolist(), windows[np.r_[cut, len(windows) - 1]].tolist(), strict=True)]
-            yield pa.record_batch({"doc_id": t.column("doc_id").combine_chunks(), "key": t.column("key").combine_chunks(), "inner": pa.array(inner, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
+            none = pa.nulls(t.num_rows, pa.int64())
+            yield pa.record_batch({"doc_id": t.column("doc_id").combine_chunks(), "key": t.column("key").combine_chunks(), "inner": pa.array(inner, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), "s": pa.nulls(t.num_rows, pa.int32()), "k": pa.nulls(t.num_rows, pa.int32()), "w1": none, "w2": none})
+
+        def opened(some: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            """Rows of the windows of classes."""
+            for part in pieces(some, 1024):
+                each = [windows(x) for x in part.column("body").to_pylist()]
+                n = np.array([len(x) for x in each], np.int64)
+                row = np.repeat(np.arange(len(each)), n)
+                w = digests([x for y in each for x in y])
+                k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                at = pa.array(row)
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(at), "key": part.column("key").take(at), "inner": pa.nulls(len(row), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), "s": part.column("s").take(at), "k": pa.array(k.astype(np.int32)), "w1": pa.array(w[:, 0]), "w2": pa.array(w[:, 1])})
+
+        def sorted_out(some: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            """Of classes with their contents: those of hot buckets as rows, the others held until their bucket is whole."""
+            nonlocal held, size
+            hot = some.column("hot")
+            if pc.any(hot).as_py():
+                yield from opened(some.filter(hot))
+                some = some.filter(pc.invert(hot))
+            if not some.num_rows:
+                return
+            h = some.column("h").to_numpy()
+            edge = np.flatnonzero(np.r_[held[-1].column("h")[-1].as_py() != h[0] if held else False, h[1:] != h[:-1]])
+            begin, total = 0, np.r_[0, np.cumsum(pc.binary_length(some.column("body")).to_numpy())]
+            for e in edge.tolist():  # where a bucket begins
+                if size + total[e] - total[begin] >= batch_bytes:
+                    if e > begin:
+                        held.append(some.slice(begin, e - begin))
+                    yield from flush(held)
+                    held, size, begin = [], 0, e
+            held.append(some.slice(begin))
+            size += total[-1] - total[begin]
 
         for b in batches:
             if tail is not None:
@@ -197,42 +229,26 @@ def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterat
             if not len(own):
                 continue
             part = b.take(pa.array(own))
-            part = part.set_column(part.schema.get_field_index("body"), "body", b.column("body").take(pa.array(own + 1)))
-            h = part.column("h").to_numpy()
-            edge = np.flatnonzero(np.r_[held[-1].column("h")[-1].as_py() != h[0] if held else False, h[1:] != h[:-1]])
-            length = pc.binary_length(part.column("body")).to_numpy()
-            begin, total = 0, np.r_[0, np.cumsum(length)]
-            for e in edge.tolist():  # where a bucket begins
-                if size + total[e] - total[begin] >= batch_bytes:
-                    if e > begin:
-                        held.append(part.slice(begin, e - begin))
-                    yield from flush(held)
-                    held, size, begin = [], 0, e
-            held.append(part.slice(begin))
-            size += total[-1] - total[begin]
+            yield from sorted_out(part.set_column(part.schema.get_field_index("body"), "body", b.column("body").take(pa.array(own + 1))))
         if tail is not None:
             last = tail.slice(0, 1)
-            last = last.set_column(last.schema.get_field_index("body"), "body", tail.column("body").slice(1, 1))
-            if held and size >= batch_bytes and held[-1].column("h")[-1].as_py() != last.column("h")[0].as_py():
-                yield from flush(held)
-                held = []
-            yield from flush([*held, last])
+            yield from sorted_out(last.set_column(last.schema.get_field_index("body"), "body", tail.column("body").slice(1, 1)))
+        if held:
+            yield from flush(held)
 
-    inner = rows.select("h", "doc_id", F.expr(KEY).alias("key"), "s", "body").mapInArrow(resolve, f"doc_id long, key long, inner {INNER}")
-    alone = buckets(0).select("doc_id", F.expr(KEY).alias("key"), F.lit(None).cast(INNER).alias("inner"))
-    hot = _by_rows(buckets(2), _over(docs, segment, cast, lambda h: kind(h) == 2, _window_rows, "h long, c1 long, c2 long, k int, w1 long, w2 long"), inside_document)
-    return inner.unionByName(alone).unionByName(hot), cast
+    found = rows.select("h", "doc_id", F.expr(KEY).alias("key"), "s", "hot", "body").mapInArrow(resolve, f"doc_id long, key long, inner {INNER}, s int, k int, w1 long, w2 long")
+    found = staging.staged(found, "leaders", max(24, staging.files_for(staging.input_bytes(docs), FILE_BYTES)))
+    leads = classes.mapInArrow(alone, classes.schema).select("doc_id", F.expr(KEY).alias("key"), F.lit(None).cast(INNER).alias("inner"))
+    leads = leads.unionByName(found.where("w1 is null").select("doc_id", "key", "inner"))
+    return leads.unionByName(_by_rows(found.where("w1 is not null"), inside_document)), cast
 
 
-def _by_rows(classes: DataFrame, windows: DataFrame, inside_document: bool) -> DataFrame:
+def _by_rows(windows: DataFrame, inside_document: bool) -> DataFrame:
     """The leaders of very large buckets, from a row for each window of a class."""
-    name = ["h", "c1", "c2"]
-    where: Column = F.struct("doc_id", (F.col("s") + F.col("k")) if inside_document else F.lit(0).alias("o"))
-    each = windows.distinct().join(classes, name).withColumn("place", where)
+    each = windows.withColumn("place", F.struct("doc_id", (F.col("s") + F.col("k")) if inside_document else F.lit(0).alias("o")))
     first = each.groupBy("w1", "w2").agg(F.min("place").alias("first"))
-    later = each.join(first, ["w1", "w2"]).where(F.col("place") > F.col("first")).groupBy(*name).agg(F.array_sort(F.collect_set("k")).alias("ks"))
-    inner = F.transform("ks", lambda k: F.struct(k.alias("a"), k.alias("b")))
-    return classes.join(later, name, "left").select("doc_id", F.expr(KEY).alias("key"), inner.cast(INNER).alias("inner"))
+    later = F.when(F.col("place") > F.col("first"), F.struct(F.col("k").alias("a"), F.col("k").alias("b")))
+    return each.join(first, ["w1", "w2"]).groupBy("doc_id", "key").agg(F.collect_set(later).cast(INNER).alias("inner"))
 
 
 def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:

@@ -77,11 +77,11 @@ class _Cover:
             """The place of the anchor in the content, then its words: the same words around another place are another class."""
             return [bytes((a,)) + text[x:y] for a, x, y in zip((at[ks] - s[ks]).tolist(), to[s[ks]].tolist(), stop[s[ks] + n[ks] + self.span - 2].tolist(), strict=True)]
 
-        def windows(k: int) -> list[bytes]:
-            w = np.arange(s[k], s[k] + n[k])
-            return [text[x:y] for x, y in zip(to[w].tolist(), stop[w + self.span - 1].tolist(), strict=True)]
+        return repeats.Segments(at, s, n, h, first, body)
 
-        return repeats.Segments(at, s, n, h, first, body, windows)
+    def windows(self, body: bytes) -> list[bytes]:
+        words = body[1:].split(b" ")
+        return [b" ".join(words[k : k + self.span]) for k in range(len(words) - self.span + 1)]
 
 
 def _split(group: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -138,5 +138,5 @@ def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray,
 def dedup(docs: DataFrame, span: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """doc_id, n_words, n_removed, text (the kept words, joined by one space) and kept_sha256 of each document."""
     docs, passes = repeats.prepared(docs), _Cover(span, period, cover)
-    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: extended(classes, span, passes.anchor), BATCH_BYTES, False)
+    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: extended(classes, span, passes.anchor), BATCH_BYTES, passes.windows, False)
     return repeats.removed(docs, found, cast, passes.segment, span, True, _row, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")

@@ -241,10 +241,10 @@ class _Bytes:
             """The place of the anchor in the content, then the content."""
             return [bytes((a,)) + text[x:y] for a, x, y in zip((place[ks] - s[ks]).tolist(), s[ks].tolist(), stop[ks].tolist(), strict=True)]
 
-        def windows(k: int) -> list[bytes]:
-            return [text[x : x + self.span] for x in range(int(s[k]), int(s[k] + size[k]))]
+        return repeats.Segments(s, s, size, h, off, body)
 
-        return repeats.Segments(s, s, size, h, off, body, windows)
+    def windows(self, body: bytes) -> list[bytes]:
+        return [body[x : x + self.span] for x in range(1, len(body) - self.span + 1)]
 
 
 def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
@@ -260,5 +260,5 @@ def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray,
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of each document."""
     docs, passes = repeats.prepared(docs), _Bytes(span)
-    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: earlier(classes, span, passes.gram), BATCH_BYTES, True)
+    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: earlier(classes, span, passes.gram), BATCH_BYTES, passes.windows, True)
     return repeats.removed(docs, found, cast, passes.segment, span, False, _row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

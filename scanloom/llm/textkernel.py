@@ -12,8 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that a kernel handles at once; a longer document is a block of its own.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text that a kernel handles at once, few enough for its arrays to stay in a core's cache; a longer document is
+#: a block of its own.
+BLOCK_BYTES = 128 << 10
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -36,7 +37,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        m = max(n, BLOCK_BYTES + 4096)
+        m = max(n, 2 * BLOCK_BYTES)
         have = np.empty(m, np.uint64)
         have[0] = 1
         k = 1
@@ -44,7 +45,7 @@ def powers(base: int, n: int) -> np.ndarray:
             step = _U(pow(base, k, 1 << 64))
             have[k : 2 * k] = have[: min(k, m - k)] * step
             k *= 2
-        if m <= 4 * BLOCK_BYTES:
+        if m <= 16 * BLOCK_BYTES:
             _powers[base] = have
     return have[:n]
 
