@@ -100,7 +100,7 @@ def test_poses_and_frames(spark, tmp_path):
 def test_writers(spark, tmp_path):
     read = lambda name: sorted(r.value for r in spark.read.text(str(tmp_path / name)).collect())
     df = spark.createDataFrame([(0, 0, 1.0, 2.0, 3.0), (1, 1, 4.0, 5.0, 6.0)], "scan_id int, point_id long, x double, y double, z double")
-    frames = spark.createDataFrame([(s, q, [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 10.0 * q, 0, 0, 1], 1) for s in (0, 1) for q in (0, 1)], "scan_id int, seq int, m array<double>, algo int")
+    frames = spark.createDataFrame([(s, q, [*np.eye(4).reshape(-1)[:12].tolist(), 10.0 * q, 0.0, 0.0, 1.0], 1) for s in (0, 1) for q in (0, 1)], "scan_id int, seq int, m array<double>, algo int")
     formats.export_points(df, None, str(tmp_path / "all"))
     formats.export_points(df, frames, str(tmp_path / "moved"))
     formats.export_points(df, frames, str(tmp_path / "first"), nth=2)
