@@ -78,9 +78,9 @@ def _covered(first: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1], dtype=np.int32)
 
 
-def digests(bodies: list[bytes]) -> np.ndarray:
-    """128 bits of each content, as two numbers."""
-    return np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in bodies]), np.int64).reshape(-1, 2)
+def digests(bodies: list[bytes], numbers: int) -> np.ndarray:
+    """So many 64-bit numbers for each content."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=8 * numbers).digest() for x in bodies]), np.int64).reshape(-1, numbers)
 
 
 def _over(docs: DataFrame, segment: Segmenter, cast, wanted: Callable[[np.ndarray], np.ndarray] | None, row: Callable, schema: str) -> DataFrame:
@@ -112,17 +112,13 @@ def _over(docs: DataFrame, segment: Segmenter, cast, wanted: Callable[[np.ndarra
                             fresh.append(k)
                     at, bodies = at[fresh], [bodies[k] for k in fresh]
                 if len(at):
-                    yield row(g, at, digests(bodies), bodies, number[i:j][doc[at]], (g.at - g.begin[doc])[at], (g.s - g.begin[doc])[at])
+                    yield row(g.h[at].view(np.int64), digests(bodies, 1)[:, 0], bodies, number[i:j][doc[at]], (g.at - g.begin[doc])[at].astype(np.int32))
 
     return docs.mapInArrow(run, schema)
 
 
-def _places(g, at, c, bodies, doc, p, s) -> pa.RecordBatch:
-    return pa.record_batch({"h": pa.array(g.h[at].view(np.int64)), "c1": pa.array(c[:, 0]), "c2": pa.array(c[:, 1]), "doc_id": pa.array(doc), "p": pa.array(p.astype(np.int32)), "s": pa.array(s.astype(np.int32))})
-
-
-def _bodies(g, at, c, bodies, doc, p, s) -> pa.RecordBatch:
-    return pa.record_batch({"h": pa.array(g.h[at].view(np.int64)), "c1": pa.array(c[:, 0]), "c2": pa.array(c[:, 1]), "body": pa.array(bodies, pa.binary())})
+def _places(h, c, bodies, doc, p) -> pa.RecordBatch:
+    return pa.record_batch({"h": pa.array(h), "c": pa.array(c), "doc_id": pa.array(doc), "p": pa.array(p)})
 
 
 #: A leader's name inside its document: the place of its anchor, and half of the bucket's hash, which tells texts apart
@@ -131,18 +127,20 @@ KEY = "shiftleft(cast(p as long), 32) | (h & 4294967295)"
 INNER = "array<struct<a:int,b:int>>"
 
 
-def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], segment: Segmenter, resolver: Resolver, batch_bytes: int, windows: Callable[[bytes], list[bytes]], inside_document: bool):
+def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], segment: Segmenter, resolver: Resolver, batch_bytes: int, windows: Callable[[bytes], list[bytes]], before: int, inside_document: bool):
     """(table of the leaders, broadcast sketch of the buckets). A row: doc_id, key and inner, windows (a to b) of the
     segment that occur in an earlier class.
 
     hashes: what to count to find candidates. resolver: gets classes (content, doc_id and start of the leader) of whole
     buckets and gives (number of the class, windows that have an earlier equal); it sees about batch_bytes, or one
-    bucket. windows: the windows of a content. inside_document: an earlier start in the same document is earlier.
+    bucket. windows: the windows of a content. before: how many units before its anchor a segment starts, if its document
+    does not start later. inside_document: an earlier start in the same document is earlier.
     """
     parts, log = staging.slices(docs), staging.log_bits(docs)
     cast = staging.sketch(docs.mapInArrow(lambda it: staging.packed(hashes(it), parts), staging.PACKED), parts, log)
-    places = _over(docs, segment, cast, None, _places, "h long, c1 long, c2 long, doc_id long, p int, s int")
-    classes = places.groupBy("h", "c1", "c2").agg(F.min(F.struct("doc_id", "p", "s")).alias("lead")).select("h", "c1", "c2", "lead.*")
+    # a class goes by its anchor's hash and a digest of its content, 128 bits together
+    places = _over(docs, segment, cast, None, _places, "h long, c long, doc_id long, p int")
+    classes = places.groupBy("h", "c").agg(F.min(F.struct("doc_id", "p")).alias("lead")).select("h", "c", "lead.*")
     classes = staging.staged(classes, "classes", max(24, staging.files_for(staging.input_bytes(docs), FILE_BYTES)))
     # classes are distinct, so a bucket that is counted twice has several
     counted = staging.sketch(classes.select("h").mapInArrow(lambda it: staging.packed((x.column("h").to_numpy().view(np.uint64) for x in it), parts), staging.PACKED), parts, log)
@@ -162,15 +160,14 @@ def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterat
             some = pa.array(k > 0)
             yield x.append_column("hot", pa.array(k > 1)).filter(some)
 
-    def bodies(g, at, c, content, doc, p, s) -> pa.RecordBatch:
-        x = _bodies(g, at, c, content, doc, p, s)
-        return x.append_column("hot", pa.array(kind(g.h[at]) > 1))
+    def content(h, c, bodies, doc, p) -> pa.RecordBatch:
+        return pa.record_batch({"h": pa.array(h), "c": pa.array(c), "body": pa.array(bodies, pa.binary()), "hot": pa.array(kind(h.view(np.uint64)) > 1)})
 
-    contents = _over(docs, segment, cast, lambda h: kind(h) > 0, bodies, "h long, c1 long, c2 long, body binary, hot boolean")
-    own = classes.mapInArrow(shared, "h long, c1 long, c2 long, doc_id long, p int, s int, hot boolean")
+    contents = _over(docs, segment, cast, lambda h: kind(h) > 0, content, "h long, c long, body binary, hot boolean")
+    own = classes.mapInArrow(shared, "h long, c long, doc_id long, p int, hot boolean")
     mixed = own.withColumn("body", F.lit(None).cast("binary")).unionByName(contents, allowMissingColumns=True)
-    place = F.when(F.col("hot"), F.xxhash64("h", "c1", "c2")).otherwise(F.col("h"))
-    rows = mixed.withColumn("at", place).repartition(4 * parts, "at").sortWithinPartitions("h", "c1", "c2", F.col("doc_id").asc_nulls_last())
+    place = F.when(F.col("hot"), F.xxhash64("h", "c")).otherwise(F.col("h"))
+    rows = mixed.withColumn("at", place).repartition(4 * parts, "at").sortWithinPartitions("h", "c", F.col("doc_id").asc_nulls_last())
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # classes of whole buckets, but for the last one
@@ -191,7 +188,7 @@ def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterat
                 each = [windows(x) for x in part.column("body").to_pylist()]
                 n = np.array([len(x) for x in each], np.int64)
                 row = np.repeat(np.arange(len(each)), n)
-                w = digests([x for y in each for x in y])
+                w = digests([x for y in each for x in y], 2)
                 k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 at = pa.array(row)
                 yield pa.record_batch({"doc_id": part.column("doc_id").take(at), "key": part.column("key").take(at), "inner": pa.nulls(len(row), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), "s": part.column("s").take(at), "k": pa.array(k.astype(np.int32)), "w1": pa.array(w[:, 0]), "w2": pa.array(w[:, 1])})
@@ -236,7 +233,7 @@ def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterat
         if held:
             yield from flush(held)
 
-    found = rows.select("h", "doc_id", F.expr(KEY).alias("key"), "s", "hot", "body").mapInArrow(resolve, f"doc_id long, key long, inner {INNER}, s int, k int, w1 long, w2 long")
+    found = rows.select("h", "doc_id", F.expr(KEY).alias("key"), F.greatest(F.col("p") - before, F.lit(0)).alias("s"), "hot", "body").mapInArrow(resolve, f"doc_id long, key long, inner {INNER}, s int, k int, w1 long, w2 long")
     found = staging.staged(found, "leaders", max(24, staging.files_for(staging.input_bytes(docs), FILE_BYTES)))
     leads = classes.mapInArrow(alone, classes.schema).select("doc_id", F.expr(KEY).alias("key"), F.lit(None).cast(INNER).alias("inner"))
     leads = leads.unionByName(found.where("w1 is null").select("doc_id", "key", "inner"))

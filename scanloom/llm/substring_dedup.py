@@ -138,5 +138,5 @@ def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray,
 def dedup(docs: DataFrame, span: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """doc_id, n_words, n_removed, text (the kept words, joined by one space) and kept_sha256 of each document."""
     docs, passes = repeats.prepared(docs), _Cover(span, period, cover)
-    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: extended(classes, span, passes.anchor), BATCH_BYTES, passes.windows, False)
+    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: extended(classes, span, passes.anchor), BATCH_BYTES, passes.windows, period - 1, False)
     return repeats.removed(docs, found, cast, passes.segment, span, True, _row, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")

@@ -260,5 +260,5 @@ def _row(b: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, gone: np.ndarray,
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of each document."""
     docs, passes = repeats.prepared(docs), _Bytes(span)
-    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: earlier(classes, span, passes.gram), BATCH_BYTES, passes.windows, True)
+    found, cast = repeats.leaders(docs, passes.hashes, passes.segment, lambda classes: earlier(classes, span, passes.gram), BATCH_BYTES, passes.windows, 0, True)
     return repeats.removed(docs, found, cast, passes.segment, span, False, _row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
