@@ -201,6 +201,24 @@ def lines(points: DataFrame, angles: int, edge: float, least: int, by: str = "sc
     return peaks.select(by, "angle", "distance", "votes", F.cos(turn).alias("nx"), F.sin(turn).alias("nz"), ((F.col("distance") + 0.5) * edge).alias("rho"))
 
 
+def parcels(grid: DataFrame, size: int) -> DataFrame:
+    """grid with the tile (px, pz) of `size` x `size` cells that a cell is in, to be written by tile."""
+    return grid.withColumns({f"p{c}": F.floor(F.col(f"c{c}") / size).cast("long") for c in "xz"})
+
+
+def write_parcels(grid: DataFrame, size: int, path: str) -> None:
+    """A folder for each tile; a reader that asks for tiles reads theirs alone."""
+    parcels(grid, size).write.partitionBy("px", "pz").parquet(path)
+
+
+def floor_plan(points: DataFrame, edge: float, least: int) -> DataFrame:
+    """Ground cells with at least so many points above them, with their number and the share of the fullest cell of the
+    scan: walls stand out."""
+    cells = points.groupBy("scan_id", g.cell("x", edge).alias("cx"), g.cell("z", edge).alias("cz")).agg(F.count("*").alias("n"))
+    full = cells.groupBy("scan_id").agg(F.max("n").alias("top"))
+    return cells.where(F.col("n") >= least).join(full, "scan_id").withColumn("share", F.col("n") / F.col("top")).drop("top")
+
+
 def grid_lines(grid: DataFrame, kind: str) -> DataFrame:
     """(cz, cx, value): a merged grid as text, ordered by the first two: "gnuplot" has a line for each cell, "ppm" one
     grey value (255 is free, 0 is hit, 128 unknown)."""

@@ -8,6 +8,7 @@ cells are cubes of edge 2 S / 2^d around the box's centre. A point on a split pl
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,3 +145,20 @@ def upsample(points: DataFrame, voxel: float, factor: int, seed: int = 0) -> Dat
     made = made.withColumns({"g1": far[0] * F.cos(2 * math.pi * u[1]), "g2": far[0] * F.sin(2 * math.pi * u[1]), "g3": far[1] * F.cos(2 * math.pi * u[3])})
     new = {"x": F.col("ux") + F.col("l11") * F.col("g1"), "y": F.col("uy") + F.col("l21") * F.col("g1") + F.col("l22") * F.col("g2"), "z": F.col("uz") + F.col("l31") * F.col("g1") + F.col("l32") * F.col("g2") + F.col("l33") * F.col("g3")}
     return points.select("scan_id", "point_id", *XYZ).unionByName(made.select("scan_id", F.lit(-1).cast("long").alias("point_id"), *[v.alias(k) for k, v in new.items()]))
+
+
+def octree(points: DataFrame, voxel: float) -> DataFrame:
+    """The octree as a table that can be stored: a row for each occupied cell with its edge, lower corner and points. A
+    cell's points are its row, so a dense cloud wants a small voxel."""
+    rest = [c for c in points.columns if c != "scan_id"]
+    return cells(points, voxel).groupBy(*CELL).agg(*[F.first(x).alias(x) for x in ("edge", "x0", "y0", "z0")], F.collect_list(F.struct(*rest)).alias("points"))
+
+
+def octree_points(table: DataFrame) -> DataFrame:
+    """The points of a stored octree."""
+    return table.select("scan_id", F.inline("points"))
+
+
+def visited(points: DataFrame, voxel: float, visitor: Callable, schema: str) -> DataFrame:
+    """visitor(pandas frame of a cell's points) -> pandas frame, for every occupied cell."""
+    return cells(points, voxel).groupBy(*CELL).applyInPandas(visitor, schema)

@@ -16,23 +16,42 @@ from scanloom.operators import spatial, statistics
 XYZ = ("x", "y", "z")
 
 
-def _bins(phi_n: int, theta_n: int) -> Column:
-    """Unit normals of the bin centres, as an array of structs (i, j, nx, ny, nz)."""
+def directions(kind: str, phi_n: int, theta_n: int) -> list[tuple[int, int, float, float, float]]:
+    """(i, j, nx, ny, nz): the bin centres of an accumulator. "array" has as many azimuths at every inclination, "ball" as
+    many as its circle is long, so bins are alike in size, and "cube" has phi_n x theta_n bins on each face of a cube."""
     out = []
+    if kind == "cube":
+        for face in range(6):
+            for k in range(phi_n * theta_n):
+                u, v = 2 * (k // theta_n + 0.5) / phi_n - 1, 2 * (k % theta_n + 0.5) / theta_n - 1
+                n = [0.0, 0.0, 0.0]
+                n[face % 3], n[(face + 1) % 3], n[(face + 2) % 3] = (1.0 if face < 3 else -1.0), u, v
+                size = math.sqrt(1 + u * u + v * v)
+                out.append((face, k, *(x / size for x in n)))
+        return out
+    if kind not in ("array", "ball"):
+        raise ValueError(f"no such accumulator: {kind}")
     for i in range(phi_n):
-        for j in range(theta_n):
-            phi, theta = (i + 0.5) * math.pi / phi_n, (j + 0.5) * 2 * math.pi / theta_n
-            n = (math.cos(theta) * math.sin(phi), math.sin(theta) * math.sin(phi), math.cos(phi))
-            out.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[F.lit(v).alias(f"n{c}") for c, v in zip(XYZ, n, strict=True)]))
-    return F.array(*out)
+        phi = (i + 0.5) * math.pi / phi_n
+        around = theta_n if kind == "array" else max(1, round(theta_n * math.sin(phi)))
+        for j in range(around):
+            theta = (j + 0.5) * 2 * math.pi / around
+            out.append((i, j, math.cos(theta) * math.sin(phi), math.sin(theta) * math.sin(phi), math.cos(phi)))
+    return out
+
+
+def _bins(kind: str, phi_n: int, theta_n: int) -> Column:
+    """Unit normals of the bin centres, as an array of structs (i, j, nx, ny, nz)."""
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[F.lit(v).alias(f"n{c}") for c, v in zip(XYZ, n, strict=True)]) for i, j, *n in directions(kind, phi_n, theta_n)])
 
 
-def accumulator(points: DataFrame, phi_n: int, theta_n: int, rho_n: int, rho_max: float, reach: float) -> DataFrame:
+def accumulator(points: DataFrame, phi_n: int, theta_n: int, rho_n: int, rho_max: float, reach: float, kind: str = "array") -> DataFrame:
     """(i, j, k, votes): each point votes for every plane of the bins' centres that is nearer than `reach`.
 
-    Votes are generated in place and counted map-side; what is shuffled is bounded by bins, not points.
+    Votes are generated in place and counted map-side; what is shuffled is bounded by bins, not points. Over a sample of
+    the points (filters.one_in) this is the probabilistic transform.
     """
-    voted = points.select(*XYZ, F.explode(_bins(phi_n, theta_n)).alias("b"))
+    voted = points.select(*XYZ, F.explode(_bins(kind, phi_n, theta_n)).alias("b"))
     width = rho_max / rho_n
     d = g.dot(XYZ, [F.col(f"b.n{c}") for c in XYZ])
     lo, hi = F.greatest(F.floor((d - reach) / width - 0.5), F.lit(0)).cast("int"), F.least(F.ceil((d + reach) / width), F.lit(rho_n - 1)).cast("int")
@@ -41,6 +60,15 @@ def accumulator(points: DataFrame, phi_n: int, theta_n: int, rho_n: int, rho_max
     return each.groupBy("i", "j", "k").agg(F.count("*").alias("votes"))
 
 
+def plane_votes(planes: DataFrame, phi_n: int, theta_n: int, rho_n: int, rho_max: float) -> DataFrame:
+    """(i, j, k, votes): the randomised transform: planes through sampled triples (see hypotheses()) vote for the one bin
+    of inclination, azimuth and distance that each is in; planes beyond rho_max are in the last."""
+    phi, theta = F.acos(F.least(F.greatest("nz", F.lit(-1.0)), F.lit(1.0))), F.atan2("ny", "nx")
+    turn = F.when(theta < 0, theta + 2 * math.pi).otherwise(theta)
+    bin_ = lambda x, n: F.least(F.floor(x * n), F.lit(n - 1)).cast("int")
+    return planes.groupBy(bin_(phi / math.pi, phi_n).alias("i"), bin_(turn / (2 * math.pi), theta_n).alias("j"), bin_(F.col("rho") / rho_max, rho_n).alias("k")).agg(F.count("*").alias("votes"))
+
+
 def plane_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[float, float, float, float] | None:
     """(nx, ny, nz, rho) with rho >= 0; None for points in a line."""
     n = np.cross(b - a, c - a)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scanloom import schema
 from scanloom.functions import geometry as g
-from scanloom.operators import features, linalg, raster, reduce, segment, shapes, spatial, statistics, trajectory
+from scanloom.operators import features, filters, linalg, raster, reduce, segment, shapes, spatial, statistics, trajectory
 from scanloom.plans import registration
 from scanloom.plans.queries import _ANGLES_SQL, _CELLS, _LOT, _PLANES, _checked, _collision, _pose, _sides, pts, query, r, rounded, seconds
 from scanloom.sources import directory, formats
@@ -411,6 +411,93 @@ def plane_matches(spark, d):
     return shapes.match_planes(spark.createDataFrame(_PLANES, of), spark.createDataFrame(_OTHER, of), 0.2, 2.0).select("plane", "other", r("cost").alias("cost"))
 
 
+def _votes_sql(kind: str, phi_n: int, theta_n: int) -> str:
+    return "n AS (SELECT * FROM (VALUES " + ", ".join(map(str, shapes.directions(kind, phi_n, theta_n))) + ") v(i, j, nx, ny, nz))"
+
+
+@query(f"WITH {_votes_sql('ball', 6, 10)}, q AS (SELECT i, j, x*nx + y*ny + z*nz AS dd FROM pts, n) SELECT i, j, k::INT AS k, count(*) AS votes FROM q, range(0, 20) t(k) WHERE abs(dd - (k + 0.5) * 6.0) < 2.0 GROUP BY i, j, k")
+def hough_ball(spark, d):
+    return shapes.accumulator(pts(spark, d), 6, 10, 20, 120.0, 2.0, "ball")
+
+
+@query(f"WITH {_votes_sql('cube', 3, 3)}, q AS (SELECT i, j, x*nx + y*ny + z*nz AS dd FROM pts, n) SELECT i, j, k::INT AS k, count(*) AS votes FROM q, range(0, 20) t(k) WHERE abs(dd - (k + 0.5) * 6.0) < 2.0 GROUP BY i, j, k")
+def hough_cube(spark, d):
+    return shapes.accumulator(pts(spark, d), 3, 3, 20, 120.0, 2.0, "cube")
+
+
+@query(f"WITH {_votes_sql('array', 4, 6)}, q AS (SELECT i, j, x*nx + y*ny + z*nz AS dd FROM pts, n WHERE ((point_id % 1000003) * 7919 + scan_id * 104729) % 1000033 % 4 = 0) SELECT i, j, k::INT AS k, count(*) AS votes FROM q, range(0, 20) t(k) WHERE abs(dd - (k + 0.5) * 6.0) < 2.0 GROUP BY i, j, k")
+def hough_probabilistic(spark, d):
+    """A quarter of the points votes, as the probabilistic transform samples them."""
+    return shapes.accumulator(pts(spark, d).where(filters.one_in(4)), 4, 6, 20, 120.0, 2.0)
+
+
+@query(f"""WITH o AS (SELECT x, y, z, row_number() OVER (ORDER BY {_LOT}, point_id) - 1 AS n FROM pts),
+t AS (SELECT a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS bx, b.y - a.y AS by_, b.z - a.z AS bz, c.x - a.x AS cx, c.y - a.y AS cy, c.z - a.z AS cz FROM o a JOIN o b ON b.n = a.n + 1 JOIN o c ON c.n = a.n + 2 WHERE a.n % 3 = 0 AND a.n // 3 < 2000),
+k AS (SELECT *, by_*cz - bz*cy AS kx, bz*cx - bx*cz AS ky, bx*cy - by_*cx AS kz FROM t),
+h AS (SELECT kx / s AS nx, ky / s AS ny, kz / s AS nz, (kx*ax + ky*ay + kz*az) / s AS rho FROM (SELECT *, sqrt(kx*kx + ky*ky + kz*kz) AS s FROM k) WHERE s >= 1e-12),
+f AS (SELECT round(CASE WHEN rho >= 0 THEN nx ELSE -nx END, 9) AS nx, round(CASE WHEN rho >= 0 THEN ny ELSE -ny END, 9) AS ny, round(CASE WHEN rho >= 0 THEN nz ELSE -nz END, 9) AS nz, round(abs(rho), 9) AS rho FROM h)
+SELECT least(floor(acos(greatest(-1, least(1, nz))) / pi() * 12), 11)::INT AS i, least(floor(CASE WHEN atan2(ny, nx) < 0 THEN atan2(ny, nx) + 2*pi() ELSE atan2(ny, nx) END / (2*pi()) * 24), 23)::INT AS j, least(floor(rho / 120.0 * 20), 19)::INT AS k, count(*) AS votes FROM f GROUP BY ALL""")
+def hough_randomised(spark, d):
+    planes = rounded(shapes.hypotheses(pts(spark, d), 2000), "nx", "ny", "nz", "rho", digits=9)  # engines differ in the sign of zeros
+    return shapes.plane_votes(planes, 12, 24, 20, 120.0)
+
+
+@query("WITH c AS (SELECT scan_id, floor(x / 3.0)::BIGINT AS cx, floor(z / 3.0)::BIGINT AS cz, count(*) AS n FROM pts GROUP BY ALL) SELECT scan_id, cx, cz, n, round(n / max(n) OVER (PARTITION BY scan_id), 6) AS share FROM c QUALIFY n >= 5")
+def floor_plan(spark, d):
+    return rounded(raster.floor_plan(pts(spark, d), 3.0, 5), "share")
+
+
+@query("WITH h AS (SELECT trunc((x - 25) / 2)::BIGINT AS cx, trunc((z - 5) / 2)::BIGINT AS cz, count(*) AS n FROM pts WHERE y BETWEEN 20 AND 70 GROUP BY ALL) SELECT floor(cx / 4)::BIGINT AS px, floor(cz / 4)::BIGINT AS pz, count(*) AS cells, sum(n)::BIGINT AS hits FROM h GROUP BY ALL")
+def grid_parcels(spark, d):
+    moved = pts(spark, d).withColumns({"x": F.col("x") - 25, "z": F.col("z") - 5})
+    grid = raster.merged(raster.occupancy(moved, 2.0, (20.0, 70.0)).drop("scan_id"))
+    return raster.parcels(grid, 4).groupBy("px", "pz").agg(F.count("*").alias("cells"), F.sum("hits").alias("hits"))
+
+
+@query("SELECT scan_id, point_id, x, y, z, reflectance FROM pts")
+def octree_stored(spark, d):
+    """All points through the octree's table and back."""
+    return reduce.octree_points(reduce.octree(pts(spark, d).select("scan_id", "point_id", *XYZ, "reflectance"), 5.0))
+
+
+@query(f"WITH {_CELLS} SELECT scan_id, ix, iy, iz, max(y) AS top FROM c GROUP BY scan_id, ix, iy, iz")
+def octree_visitor(spark, d):
+    def top(pdf):
+        one = pdf.iloc[:1][["scan_id", "ix", "iy", "iz"]].copy()
+        return one.assign(top=pdf["y"].max())
+
+    return reduce.visited(pts(spark, d), 5.0, top, "scan_id int, ix long, iy long, iz long, top double")
+
+
+@query("SELECT scan_id, point_id, (reflectance BETWEEN 0.02 AND 0.05)::INT AS segment FROM pts")
+def threshold_segments(spark, d):
+    return segment.threshold(pts(spark, d), "reflectance", 0.02, 0.05).select("scan_id", "point_id", "segment")
+
+
+@query("WITH v AS (SELECT s_suppkey - 1 AS k, s_acctbal AS x, s_suppkey::DOUBLE AS y, s_nationkey::DOUBLE AS z FROM supplier), t AS (SELECT a.x AS ax, b.x AS bx, c.x AS cx, a.k FROM v a JOIN v b ON b.k = a.k + 1 JOIN v c ON c.k = a.k + 2) SELECT count(*) AS triangles, round(sum(ax + 2 * bx + 3 * cx), 2) AS x FROM t")
+def obj_meshes(spark, d):
+    """A strip of triangles through the lines of an OBJ file and back."""
+    supplier = schema.table(spark, d, "supplier")
+    low = supplier.agg(F.min("s_suppkey")).first()[0]
+    v = supplier.select((F.col("s_suppkey") - low).alias("k"), F.col("s_acctbal").alias("x"), F.col("s_suppkey").cast("double").alias("y"), F.col("s_nationkey").cast("double").alias("z"))
+    n = v.count()
+    f = v.where(F.col("k") < n - 2).select("k", F.col("k").alias("a"), (F.col("k") + 1).alias("b"), (F.col("k") + 2).alias("c"))
+    lines = formats.obj_lines(v, f).select((F.col("kind") * 10**9 + F.col("k")).alias("k"), "value")
+    vertices, triangles = formats.parsed_obj(lines)
+    x = vertices.select("k", "x")
+    both = triangles.join(x.toDF("a", "ax"), "a").join(x.toDF("b", "bx"), "b").join(x.toDF("c", "cx"), "c")
+    return both.agg(F.count("*").alias("triangles"), r(F.sum(F.col("ax") + 2 * F.col("bx") + 3 * F.col("cx")), 2).alias("x"))
+
+
+@query("SELECT count(*) AS n, round(sum(c_acctbal / 150.0), 4) AS lat, round(sum(c_custkey % 360 - 180.0), 4) AS lon, round(sum(c_acctbal / 10), 4) AS alt, sum(c_custkey % 5)::BIGINT AS quality, max((c_custkey % 60)::BIGINT) AS last FROM customer")
+def rtk_positions(spark, d):
+    c = schema.table(spark, d, "customer")
+    value = F.concat_ws("  ", F.lit("2024/05/06"), F.format_string("07:08:%02d.250", (F.col("c_custkey") % 60).cast("int")), *[x.cast("string") for x in (F.col("c_acctbal") / 150, F.col("c_custkey") % 360 - 180.0, F.col("c_acctbal") / 10)], (F.col("c_custkey") % 5).cast("string"), F.lit("7"))
+    lines = c.select(value.alias("value")).unionByName(spark.createDataFrame([("% date time lat lon height Q",), ("",)], "value string"))
+    back = formats.parsed_positions(lines)
+    return back.agg(F.count("*").alias("n"), *[r(F.sum(x), 4).alias(x) for x in ("lat", "lon", "alt")], F.sum("quality").alias("quality"), F.max(F.second("time")).cast("long").alias("last"))
+
+
 # --- fits, against the motion that was put in
 
 _MOTION = linalg.matrix([3.0, -2.0, 1.0], [0.02, -0.03, 0.05])

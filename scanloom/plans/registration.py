@@ -68,8 +68,9 @@ def icp(model: DataFrame, data: DataFrame, radius: float, iterations: int = 50,
 
 
 def from_pairs(pairs: DataFrame, minimiser: str = "quaternion", *by: str) -> dict[tuple, np.ndarray]:
-    """The pose that carries p onto m for given pairs, for each group of them; groups of at most three pairs have none."""
-    rows = statistics.pair_moments(pairs, *by).where("n > 3").collect()  # a row for each group
+    """The pose that carries p onto m for given pairs, for each group of them: three pairs that are no line are enough, as
+    for georeferencing; groups of fewer have none."""
+    rows = statistics.pair_moments(pairs, *by).where("n >= 3").collect()  # a row for each group
     return {tuple(r[c] for c in by): MINIMISERS[minimiser](linalg.Moments(r.asDict())) for r in rows}
 
 

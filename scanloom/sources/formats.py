@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
@@ -361,3 +361,33 @@ def write_ply(points: DataFrame, path: str, colours: bool = True) -> None:
     """An ASCII PLY as a folder: its header, which has the number of points, and its vertices in parallel parts."""
     points.sparkSession.createDataFrame([(ply_head(points.count(), colours),)], "value string").coalesce(1).write.text(f"{path}/header")
     ply_lines(points, colours).write.text(f"{path}/vertices")
+
+
+def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(kind, k, value): the lines of an OBJ file from vertices (k, x, y, z) and faces (k, a, b, c: numbers of vertices,
+    from 0), in the order of kind and k."""
+    v = vertices.select(F.lit(0).alias("kind"), "k", F.concat_ws(" ", F.lit("v"), *[F.col(c).cast("string") for c in XYZ]).alias("value"))
+    f = faces.select(F.lit(1).alias("kind"), "k", F.concat_ws(" ", F.lit("f"), *[(F.col(c) + 1).cast("string") for c in ("a", "b", "c")]).alias("value"))
+    return v.unionByName(f)
+
+
+def parsed_obj(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices: k, x, y, z; triangles: k, a, b, c) from lines (k, value) of an OBJ file, whose k is their order. A face of
+    more corners is a fan of triangles; texture and normal numbers are read over, and numbers below 0 count from the last."""
+    words = lines.select("k", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("w"))
+    number = F.row_number().over(Window.orderBy("k")) - 1
+    v = words.where(F.element_at("w", 1) == "v").select(number.cast("long").alias("k"), *[F.element_at("w", i + 2).cast("double").alias(c) for i, c in enumerate(XYZ)])
+    ends = F.transform(F.slice("w", 2, F.size("w") - 1), lambda x: F.split_part(x, F.lit("/"), F.lit(1)).cast("long"))
+    f = words.where(F.element_at("w", 1) == "f").select("k", ends.alias("e"))
+    n = v.count()
+    f = f.select("k", F.transform("e", lambda x: F.when(x < 0, x + n).otherwise(x - 1)).alias("e"))
+    fan = f.select("k", "e", F.explode(F.sequence(F.lit(2), F.size("e") - 1)).alias("i"))
+    return v, fan.select("k", F.element_at("e", 1).alias("a"), F.element_at("e", F.col("i")).alias("b"), F.element_at("e", F.col("i") + 1).alias("c"))
+
+
+def parsed_positions(lines: DataFrame) -> DataFrame:
+    """(time, lat, lon, alt, quality) from lines (value) of a positions file: date, time, degrees, metres and the quality of
+    the fix; lines that begin with % are comments."""
+    words = lines.where(~F.trim("value").startswith("%") & (F.trim("value") != "")).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("w"))
+    at = lambda k: F.element_at("w", k)
+    return words.select(F.try_to_timestamp(F.concat_ws(" ", at(1), at(2)), F.lit("yyyy/MM/dd HH:mm:ss.SSS")).alias("time"), *[at(k + 3).cast("double").alias(c) for k, c in enumerate(("lat", "lon", "alt"))], at(6).cast("int").alias("quality"))
