@@ -32,7 +32,7 @@ from scanloom.llm import textkernel as tk
 #: Classes whose content a map task remembers to have handed on; forgetting them costs a repeated row, no result.
 REMEMBERED = 100_000
 #: Logarithm of the number of classes from which a bucket is compared by rows.
-HOT = 10
+HOT = 12
 #: Bytes of text for each file of classes.
 FILE_BYTES = 4 << 20
 
@@ -243,9 +243,10 @@ def leaders(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterat
 def _by_rows(windows: DataFrame, inside_document: bool) -> DataFrame:
     """The leaders of very large buckets, from a row for each window of a class."""
     each = windows.withColumn("place", F.struct("doc_id", (F.col("s") + F.col("k")) if inside_document else F.lit(0).alias("o")))
-    first = each.groupBy("w1", "w2").agg(F.min("place").alias("first"))
-    later = F.when(F.col("place") > F.col("first"), F.struct(F.col("k").alias("a"), F.col("k").alias("b")))
-    return each.join(first, ["w1", "w2"]).groupBy("doc_id", "key").agg(F.collect_set(later).cast(INNER).alias("inner"))
+    first = each.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").toDF("v1", "v2", "first", "n")
+    later = each.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")) & (F.col("place") > F.col("first")))
+    inner = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct(F.col("k").alias("a"), F.col("k").alias("b"))).cast(INNER).alias("inner"))
+    return windows.select("doc_id", "key").distinct().join(inner, ["doc_id", "key"], "left")
 
 
 def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
