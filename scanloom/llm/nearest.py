@@ -36,8 +36,8 @@ SAMPLE, LIST, CENTROIDS, NUMBERS = 20_000, 192, 8192, 4 << 20
 REPLICAS, CLOSURE, PROBES, RATIO = 6, 1.4, 72, 1.5
 #: A list is as good as one already chosen if their centroids are nearer than this share of the point's distance.
 ALIKE = 0.2
-#: Points of a list that one task holds.
-PART = 2048
+#: Points of a list that one task holds, and groups that a vector's ids first meet in.
+PART, SALTS = 2048, 512
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -182,7 +182,11 @@ def points_of(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                 ids.setdefault(key, []).append(i)
             yield pa.record_batch({"key": pa.array(list(ids), pa.binary()), "ids": pa.array([sorted(set(x))[: k + 1] for x in ids.values()], pa.list_(pa.int64())), "v": b.column("v").take(pa.array(list(first.values())))})
 
-    merged = rows.mapInArrow(combined, "key binary, ids array<long>, v array<double>").groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"), F.first("v").alias("v"))
+    def least(d: DataFrame, *by) -> DataFrame:
+        return d.groupBy(*by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"), F.first("v").alias("v"))
+
+    # two steps: what batches have of a vector that a large share of the rows has does not meet in one task
+    merged = least(least(rows.mapInArrow(combined, "key binary, ids array<long>, v array<double>"), "key", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).alias("salt")), "key")
     return staging.staged(merged, "points"), rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "key").distinct()
 
 

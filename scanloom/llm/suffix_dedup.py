@@ -4,7 +4,8 @@ Whole texts are cut into overlapping segments, so that every SPAN-byte string of
 segment, and equal strings are in segments of one bucket at the same offset to an equal anchor, a string of GRAM bytes
 (see repeats.py). A bounded sketch drops buckets that occur once.
 
-The classes of a bucket form a small collection of strings, whose Burrows-Wheeler transform and longest common
+The classes of a bucket, but for those parts at their ends whose windows have no other of their hash, form a small
+collection of strings, whose Burrows-Wheeler transform and longest common
 prefixes are built the column-wise way: each round takes one symbol of every string, from the last to the first, writes
 it into the transform at the place of the string's latest suffix, finds where the longer suffix belongs by the
 last-to-first mapping, and streams transform and prefixes from one sequential file into the next. Every window has its
@@ -33,7 +34,7 @@ from scanloom.llm import textkernel as tk
 
 SPAN, GRAM = 100, 48
 #: Bytes of segments that are sorted together, unless one bucket has more.
-BATCH_BYTES = 128 << 10
+BATCH_BYTES = 256 << 10
 SPOOL = 16 << 20
 
 
@@ -149,9 +150,35 @@ def suffixes(bwt: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.n
     return string, offset
 
 
+def repeated_parts(bodies: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(body, first, last) window of the bodies that have a window whose hash occurs again: from the first such window of
+    a body to its last. Equal windows have equal hashes, so what is left out has no equal."""
+    size = np.array([len(x) for x in bodies], np.int64)
+    many = np.maximum(size - span + 1, 0)
+    owner = np.repeat(np.arange(len(bodies)), many)
+    pos = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    h = tk.byte_grams(np.frombuffer(b"".join(bodies), np.uint8), span)[(np.cumsum(size) - size)[owner] + pos] if len(owner) else np.empty(0, np.uint64)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    again = np.zeros(len(h), bool)
+    again[order] = np.r_[same, False][: len(h)] | np.r_[False, same][: len(h)]
+    owner, pos = owner[again], pos[again]
+    edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+    return owner[edge], pos[edge], pos[np.r_[edge[1:], len(owner)][: len(edge)] - 1]
+
+
 def earlier(classes: list[tuple[bytes, int, int]], span: int, gram: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each class (the place of its anchor, then its bytes): the offsets of its windows that occur at an earlier
     (doc_id, start) of another class."""
+    some, first, last = repeated_parts([x[0][1:] for x in classes], span)
+    if not len(some):
+        return
+    parts = [(bytes((classes[k][0][0] - a,)) + classes[k][0][1 + a : 1 + z + span], classes[k][1], classes[k][2] + a) for k, a, z in zip(some.tolist(), first.tolist(), last.tolist(), strict=True)]
+    for k, windows in _earlier(parts, span, gram):
+        yield int(some[k]), windows + first[k]
+
+
+def _earlier(classes: list[tuple[bytes, int, int]], span: int, gram: int) -> Iterator[tuple[int, np.ndarray]]:
     anchors = np.array([x[0][0] for x in classes], np.int64)
     name: dict[bytes, int] = {}
     anchor = np.array([name.setdefault(x[0][1 + a : 1 + a + gram], len(name)) for x, a in zip(classes, anchors.tolist(), strict=True)], np.int64)
