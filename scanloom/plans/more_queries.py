@@ -34,12 +34,16 @@ def _format_sql(name: str, f: formats.Format) -> str:
     return f"SELECT '{name}' AS format, scan_id, count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z, {', '.join(sums)} FROM pts{' WHERE type & 16 = 0' if f.valid else ''} GROUP BY scan_id"
 
 
-@query("WITH " + "f AS (" + " UNION ALL ".join(_format_sql(n, f) for n, f in formats.FORMATS.items()) + ") SELECT * FROM f")
+#: The formats that the library brings along; others may be registered later.
+_FORMATS = dict(formats.FORMATS)
+
+
+@query("WITH " + "f AS (" + " UNION ALL ".join(_format_sql(n, f) for n, f in _FORMATS.items()) + ") SELECT * FROM f")
 def text_formats(spark, d):
     """All points through the lines of every text format and back."""
     own = _channelled(pts(spark, d))
     out = None
-    for name in formats.FORMATS:
+    for name in _FORMATS:
         lines = formats.lines(own, name, keep=("point_id",)).select("scan_id", "point_id", F.lit("memory").alias("file"), F.col("value").alias("line"))
         back = formats.parsed(lines, name)
         one = back.groupBy("scan_id").agg(F.count("*").alias("n"), *[r(F.sum(F.col(c).cast("string").cast("double")), 3).alias(c) for c in (*XYZ, *_CHANNELS)])

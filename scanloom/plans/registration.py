@@ -54,19 +54,59 @@ def icp(model: DataFrame, data: DataFrame, radius: float, iterations: int = 50,
             if row is None or row["n"] <= 3:
                 break
             k = linalg.Moments(row.asDict())
-            step = MINIMISERS[minimiser](k)
-            if planar:
-                angle = linalg.angles(step[:3, :3])
-                step = linalg.matrix([step[0, 3], 0, step[2, 3]], [0, angle[1], 0])
-            pose = step @ pose
+            pose = _step(k, minimiser, planar) @ pose
             errors.append(k.rms)
-            if len(errors) > 2 and abs(errors[-1] - errors[-2]) < epsilon and abs(errors[-1] - errors[-3]) < epsilon:
+            if _settled(errors, epsilon):
                 break
     finally:
         fixed.unpersist()
     return pose, errors
 
 
+def _step(k: linalg.Moments, minimiser: str, planar: bool) -> np.ndarray:
+    step = MINIMISERS[minimiser](k)
+    if planar:
+        angle = linalg.angles(step[:3, :3])
+        step = linalg.matrix([step[0, 3], 0, step[2, 3]], [0, angle[1], 0])
+    return step
+
+
+def _settled(errors: list[float], epsilon: float) -> bool:
+    return len(errors) > 2 and abs(errors[-1] - errors[-2]) < epsilon and abs(errors[-1] - errors[-3]) < epsilon
+
+
+def icp_links(points: DataFrame, links: list[tuple[int, int]], radius: float, iterations: int = 50, epsilon: float = 1e-5, minimiser: str = "quaternion", planar: bool = False) -> tuple[dict[int, np.ndarray], dict[int, list[float]]]:
+    """icp() of many links (model scan, data scan) at once: poses and errors by data scan. An iteration is one aggregate
+    with a row of sums for each link that has not settled; their poses are a small table that the data is joined to."""
+    spark = points.sparkSession
+    poses = {b: np.eye(4) for _, b in links}
+    errors: dict[int, list[float]] = {b: [] for _, b in links}
+    live = set(poses)
+    pairs = spark.createDataFrame(links, "scan_id int, link int")
+    fixed = spatial.as_model(points.join(pairs, "scan_id"), "link").persist()
+    try:
+        for _ in range(iterations):
+            table = spark.createDataFrame([(s, *linalg.flat(poses[s])) for s in sorted(live)], "link int, " + ", ".join(f"w{k} double" for k in range(16)))
+            data = points.withColumn("link", F.col("scan_id")).join(table, "link")
+            world = data.select("link", "point_id", *[x.alias(c) for c, x in zip("xyz", g.transform([f"w{k}" for k in range(16)], ("x", "y", "z")), strict=True)])
+            near = spatial.nearest(spatial.as_probe(world, "link"), fixed, radius, by=("link",))
+            rows = {r["link"]: r for r in statistics.pair_moments(near, "link").where("n > 3").collect()}
+            for s in sorted(live):
+                if s not in rows:
+                    live.discard(s)
+                    continue
+                k = linalg.Moments(rows[s].asDict())
+                poses[s] = _step(k, minimiser, planar) @ poses[s]
+                errors[s].append(k.rms)
+                if _settled(errors[s], epsilon):
+                    live.discard(s)
+            if not live:
+                break
+    finally:
+        fixed.unpersist()
+    return poses, errors
+
+
 def from_pairs(pairs: DataFrame, minimiser: str = "quaternion", *by: str) -> dict[tuple, np.ndarray]:
     """The pose that carries p onto m for given pairs, for each group of them: three pairs that are no line are enough, as
     for georeferencing; groups of fewer have none."""
@@ -79,7 +119,17 @@ def register_sequence(points: DataFrame, scans: list[int], radius: float, metasc
     the frame of the first. errors receives those of each scan's iterations. What a metascan gathers is written to the
     checkpoint folder scan by scan, so plans do not grow."""
     model = model or ("metascan" if metascan else "previous")
+    if model not in ("previous", "first", "metascan"):
+        raise ValueError(f"no such model: {model}")
     poses = {scans[0]: np.eye(4)}
+    if model != "metascan":  # links do not wait for one another: a link's pose is in the frame of its model
+        links = [(scans[0] if model == "first" else a, b) for a, b in zip(scans[:-1], scans[1:], strict=True)]
+        found, left = icp_links(points, links, radius, **options) if links else ({}, {})
+        for a, b in links:
+            poses[b] = poses[a] @ found[b]
+        if errors is not None:
+            errors.update(left)
+        return poses
     done = points.where(F.col("scan_id") == scans[0])
     before = scans[0]
     for s in scans[1:]:
@@ -89,10 +139,7 @@ def register_sequence(points: DataFrame, scans: list[int], radius: float, metasc
             errors[s] = left
         poses[s] = found @ poses[before]
         before = s
-        if model == "metascan":
-            done = done.unionByName(moved(data, poses[s])).checkpoint()
-        elif model == "previous":
-            done = moved(data, poses[s])
+        done = done.unionByName(moved(data, poses[s])).checkpoint()
     return poses
 
 

@@ -197,6 +197,30 @@ def test_rays_and_mask(spark):
     assert limit[1] < 50
 
 
+def test_no_products_of_sides(spark):
+    """Bodies and poses, planes and points, planes and planes meet without a nested loop or a product."""
+    rng = np.random.default_rng(3)
+    e = spatial.as_probe(cloud(spark, rng.uniform(0, 9, (60, 3))))
+    body = spark.createDataFrame([(0, 1.0, 1.0, 1.0), (1, 2.0, 2.0, 2.0)], "mid long, mx double, my double, mz double")
+    path = spark.createDataFrame([(s, 0.5 * s, 0.0, 0.0) for s in range(5)], "step int, ox double, oy double, oz double")
+    planes = spark.createDataFrame([(0, 0.0, 1.0, 0.0, 4.0), (1, 1.0, 0.0, 0.0, 2.0)], "plane int, nx double, ny double, nz double, rho double")
+    frames = [spatial.collisions(e, body, path, 1.0), spatial.swept_collisions(e, body, path, 1.0), shapes.inliers(cloud(spark, rng.uniform(0, 9, (60, 3))), planes, 0.5), shapes.match_planes(planes, planes, 0.2, 1.0)]
+    for df in frames:
+        plan = df._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        df.collect()
+
+
+def test_links_and_sequences_agree(spark):
+    """All links at once, one after another, and against all before give the motions that were put in."""
+    xyz = np.random.default_rng(6).uniform(0, 20, (120, 3))
+    rows = [(s, 1000 * s + k, float(x + 0.2 * s), float(y - 0.1 * s), float(z)) for s in range(3) for k, (x, y, z) in enumerate(xyz)]
+    points = spark.createDataFrame(rows, "scan_id int, point_id long, x double, y double, z double")
+    for model in ("previous", "first", "metascan"):
+        poses = registration.register_sequence(points, [0, 1, 2], 2.0, model=model, iterations=12)
+        assert all(np.allclose(poses[s][:3, 3], (-0.2 * s, 0.1 * s, 0), atol=0.02) for s in range(3)), model
+
+
 def test_segmentation(spark):
     edges = pd.DataFrame([(0, 1, 1.0), (1, 2, 1.5), (0, 2, 2.0)], columns=["a", "b", "w"])
     assert set(segment.felzenszwalb(edges, 2.0).values()) == {0}
