@@ -80,6 +80,20 @@ def rendered_turns(turns: DataFrame) -> DataFrame:
     return rows.withColumn("out", out).select("conv_id", "turn", "role", "text", F.col("out.role").alias("out_role"), F.col("out.text").alias("out_text"))
 
 
+def _sum(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+
+
+def _starts(name: str) -> Column:
+    """The sums of what comes before each number of an array, inside runs of BLOCK numbers and then of runs: rows without
+    a turn number fall into one block however many they are."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(name) - 1) / BLOCK).cast("int")), lambda k: F.slice(F.col(name), k * BLOCK + 1, F.lit(BLOCK)))
+    both = F.transform(F.array(runs), lambda r: F.struct(r.alias("runs"), F.transform(r, _sum).alias("sums")))[0]
+    before = F.transform(F.array(both), lambda b: F.struct(b["runs"].alias("runs"), F.transform(F.sequence(F.lit(1), F.size(b["runs"])), lambda k: _sum(F.slice(b["sums"], F.lit(1), k - 1))).alias("at")))[0]
+    inside = lambda run, at: F.transform(F.sequence(F.lit(1), F.size(run)), lambda k: at + _sum(F.slice(run, F.lit(1), k - 1)))
+    return F.transform(F.array(before), lambda b: F.flatten(F.zip_with(b["runs"], b["at"], inside)))[0]
+
+
 def conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted and loss_mask of each conversation."""
     rows = rendered_turns(turns).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
@@ -88,7 +102,7 @@ def conversations(turns: DataFrame) -> DataFrame:
     parts = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(turn)).alias("t"))
     # prefix sums of lengths inside a block, then of blocks
     sizes = F.transform("t", lambda x: F.length(x["r"]))
-    starts = F.transform(F.sequence(F.lit(1), F.size("t")), lambda k: F.aggregate(F.slice(F.col("sizes"), F.lit(1), k - 1), F.lit(0), lambda a, x: a + x))
+    starts = _starts("sizes")
     spans = F.filter(F.zip_with("t", "starts", lambda x, s: F.struct(x["role"].alias("role"), (s + x["head"]).cast("long").alias("start"), x["n"].cast("long").alias("length"))), lambda x: x["role"] == ASSISTANT)
     parts = parts.withColumn("sizes", sizes).withColumn("starts", starts).select("conv_id", "block", F.array_join(F.transform("t", lambda x: x["r"]), "").alias("r"), F.transform(spans, lambda x: F.struct(x["start"], x["length"])).alias("spans"))
     parts = parts.withColumn("size", F.length("r").cast("long"))

@@ -29,7 +29,7 @@ from scanloom.llm import staging
 from scanloom.llm import textkernel as tk
 
 #: Text of the test set that is broadcast at once; text of a shard; text for each file of the index.
-BLOCK_BYTES, SHARD_BYTES, FILE_BYTES = 16 << 20, 256 << 10, 8 << 20
+BLOCK_BYTES, SHARD_BYTES, FILE_BYTES = 16 << 20, 256 << 10, 16 << 20
 #: doc_ids; first (number of each document's first word, and of all words); terms (their letters) and sizes (in bytes);
 #: counts (of each term) and steps (of positions, list by list). Numbers have 32 bits.
 INDEX = "doc_ids array<{id}>, first binary, terms binary, sizes binary, counts binary, steps binary"

@@ -44,7 +44,7 @@ B = [f"b{i}" for i in range(BITS // 64)]
 #: Bytes of text whose sets are handed on together.
 ROWS_BYTES = 1 << 20
 #: Bytes of text for each file of sets, and distinct sets for each file of the tables that follow.
-FILE_BYTES, FILE_SETS = 4 << 20, 4_000
+FILE_BYTES, FILE_SETS = 16 << 20, 10_000
 
 #: own: shingles of the set that no other document has.
 SETS = "doc_id long, n long, own long, key binary, sigs array<long>, " + ", ".join(f"{b} long" for b in B)

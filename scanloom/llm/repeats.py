@@ -34,7 +34,7 @@ REMEMBERED = 100_000
 #: Logarithm of the number of classes from which a bucket is compared by rows.
 HOT = 12
 #: Bytes of text for each file of classes.
-FILE_BYTES = 4 << 20
+FILE_BYTES = 16 << 20
 
 
 @dataclass

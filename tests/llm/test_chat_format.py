@@ -19,6 +19,8 @@ def test_round_trip(spark):
         for t in range(r.choice([1, 3, 200])):
             text = r.choice([None, "", "".join(r.choice(bits) for _ in range(r.randint(0, 12)))])
             rows.append((c, r.choice([t, t, t // 2]), r.choice(["user", "assistant", "assistant", "system", None, "we: ird", "\\", "#<"]), text))
+    rows += [(42, None, "assistant" if k % 3 else "user", f"one of very many {k} </turn>\n") for k in range(1500)]  # one block
+    rows += [(43, 0, "assistant", "long \\ ### " * 20_000), (43, 1, "user", "x" * 200_000)]
     rows += [(None, 1, "user", "x"), (41, None, "assistant", "null turn"), (41, 0, "assistant", "y"), (41, 0, "assistant", "y")]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "conv_id long, turn long, role string, text string, formatted string").repartition(3)
     got = {x.conv_id: tuple(x)[1:5] for x in chat_format.digest(chat_format.conversations(df)).collect()}
