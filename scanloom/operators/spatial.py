@@ -1,9 +1,9 @@
 """Spatial joins and searches.
 
-A distance join is a hash join: probes get the cell of a grid whose edge is the radius, model points are put into the
-cells that a ball of the radius around them reaches, and the strict distance test follows the equality on cells. The
-model is the side that is put into several cells, as it is usually the smaller one. Both sides are shuffled by cell, so
-that neither has to fit anywhere; adaptive execution splits dense cells. Ties are broken by id.
+A distance join is a hash join: model points get the cell of a grid whose edge is the radius, probes visit the cells
+that a ball of the radius reaches, and the strict distance test follows the equality on cells. The model, usually the
+smaller side, stays as it is, so that adaptive execution may hash it where it is small; otherwise both sides are shuffled
+by cell, neither has to fit anywhere, and dense cells are split. Ties are broken by id.
 
 Names: probes have pid and px, py, pz; models have mid and mx, my, mz. Further columns pass through; `by` names columns
 that must be equal on both sides, such as the scan.
@@ -34,16 +34,16 @@ def as_model(points: DataFrame, *keep: str) -> DataFrame:
 
 def pairs(probe: DataFrame, model: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
     """All (probe, model) with squared distance d2 below radius squared."""
-    reach = model
+    reach = probe
     for c in "xyz":
-        lo, hi = (F.floor((F.col(f"m{c}") + s * radius) / radius) for s in (-1, 1))
+        lo, hi = (F.floor((F.col(f"p{c}") + s * radius) / radius) for s in (-1, 1))
         reach = reach.withColumn(f"c{c}", F.explode(F.sequence(lo, hi)))
     # a cell whose near face is clearly more than a radius away holds nothing
-    gap = [F.greatest(F.col(f"c{c}") * radius - F.col(f"m{c}"), F.col(f"m{c}") - (F.col(f"c{c}") + 1) * radius, F.lit(0.0)) for c in "xyz"]
+    gap = [F.greatest(F.col(f"c{c}") * radius - F.col(f"p{c}"), F.col(f"p{c}") - (F.col(f"c{c}") + 1) * radius, F.lit(0.0)) for c in "xyz"]
     reach = reach.where(g.square(gap) < radius * radius * (1 + 1e-9))
-    placed = probe.withColumns({f"c{c}": F.floor(F.col(f"p{c}") / radius) for c in "xyz"})
+    placed = model.withColumns({f"c{c}": F.floor(F.col(f"m{c}") / radius) for c in "xyz"})
     d2 = g.square(g.sub(P, M))
-    return placed.join(reach, ["cx", "cy", "cz", *by]).withColumn("d2", d2).where(F.col("d2") < radius * radius).drop("cx", "cy", "cz")
+    return reach.join(placed, ["cx", "cy", "cz", *by]).withColumn("d2", d2).where(F.col("d2") < radius * radius).drop("cx", "cy", "cz")
 
 
 def nearest(probe: DataFrame, model: DataFrame, radius: float, by: Sequence[str] = (), other: bool = False) -> DataFrame:

@@ -25,12 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose files give fewer tasks than there are cores is dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as eight scans. point_id is arithmetic over the columns that tell lines apart: no shuffle numbers them, and
     filters reach the scan of the table."""
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     rest = F.col("l_partkey") * 1009 + F.col("l_suppkey") * 53 + F.col("l_quantity").cast("long")
-    return table(spark, sf_dir, "lineitem").select(
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return spread(table(spark, sf_dir, "lineitem").select(*columns)).select(
         (F.col("l_suppkey") % 8).cast("int").alias("scan_id"), (line * 1000003 + rest % 1000003).alias("point_id"),
         F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"), F.col("l_tax").alias("reflectance"), F.col("l_linenumber").cast("int").alias("type"),
     )
