@@ -58,7 +58,9 @@ def normals(points: DataFrame, k: int, radius: float, position: tuple[float, flo
 def nearest_moments(points: DataFrame, k: int, radius: float) -> DataFrame:
     """moments() of the k nearest of each point in its scan at any distance, itself among them; a scan with fewer points
     gives all it has. The radius is where the search begins and changes no result."""
-    return spatial.k_nearest(spatial.as_probe(points, "scan_id"), spatial.as_model(points, "scan_id"), k, radius, by=("scan_id",), summary=lambda near: moments(near, "scan_id"))
+    model = spatial.fewest(spatial.as_model(points, "scan_id"), k, ("scan_id",))
+    search = lambda p: spatial.k_nearest(p, model, k, radius, by=("scan_id",), summary=lambda near: moments(near, "scan_id"))
+    return spatial.by_place(spatial.as_probe(points, "scan_id"), search, ("scan_id",))
 
 
 def panorama_normals(located: DataFrame, height: int, width: int, position: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -112,10 +114,15 @@ def shape_features(e: DataFrame) -> DataFrame:
     })
 
 
-def density_features(pairs: DataFrame) -> DataFrame:
-    """Per probe, from its neighbours: count, radius, density, height range and variance, and their plane twins."""
+def density_features(pairs: DataFrame, copies: str | None = None) -> DataFrame:
+    """Per probe, from its neighbours: count, radius, density, height range and variance, and their plane twins. A row
+    stands for so many neighbours at one place as the column `copies` says."""
     flat2 = F.pow(F.col("mx") - F.col("px"), 2) + F.pow(F.col("mz") - F.col("pz"), 2)
-    out = pairs.groupBy("pid").agg(F.count("*").alias("n"), F.sqrt(F.max("d2")).alias("radius"), (F.max("my") - F.min("my")).alias("height_range"), F.var_pop("my").alias("height_variance"), F.sqrt(F.max(flat2)).alias("radius_2d"))
+    n = F.sum(copies) if copies else F.count("*")
+    up = F.col("my") - F.col("py")
+    each = F.col(copies) if copies else F.lit(1)
+    variance = F.greatest(F.sum(each * up * up) / n - F.pow(F.sum(each * up) / n, 2), F.lit(0.0))
+    out = pairs.groupBy("pid").agg(n.alias("n"), F.sqrt(F.max("d2")).alias("radius"), (F.max("my") - F.min("my")).alias("height_range"), variance.alias("height_variance"), F.sqrt(F.max(flat2)).alias("radius_2d"))
     return out.withColumns({"density": F.col("n") / F.nullif(4 / 3 * F.pi() * F.pow("radius", 3), F.lit(0.0)), "density_2d": F.col("n") / F.nullif(F.pi() * F.pow("radius_2d", 2), F.lit(0.0))})
 
 
