@@ -101,29 +101,29 @@ def read_text(spark: SparkSession, path: str | list[str], fmt: str, scan_id: int
     return parsed(lines.select(number.alias("scan_id"), F.col("point_id").cast("long").alias("point_id"), "file", "line"), fmt)
 
 
-def parsed(lines: DataFrame, fmt: str) -> DataFrame:
+def parsed(lines: DataFrame, fmt: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Points from lines (scan_id, point_id, file, line) of a text format; the first HEADER_LINES of a file by point_id
-    may be no points."""
+    may be no points. Columns to keep go along with their line."""
     f = FORMATS[fmt]
     fields, ok = _numbers(F.col("line"), len(f.columns))
     blank = F.trim(F.regexp_replace("line", "#.*$", "")) == ""
-    rows = lines.select("scan_id", "point_id", "file", fields.alias("f"), ok.alias("ok"), blank.alias("blank"), "line").where("not blank")
+    rows = lines.select("scan_id", "point_id", *keep, "file", fields.alias("f"), ok.alias("ok"), blank.alias("blank"), "line").where("not blank")
     bad = F.raise_error(F.concat(F.lit("not a line of points in "), F.col("file"), F.lit(": "), F.col("line")))
     rows = rows.where(F.when(F.col("ok"), True).when(F.col("point_id") < HEADER_LINES, False).otherwise(bad.cast("boolean")))
     values = F.when(F.exists("f", lambda x: F.lower(x).contains("x")), _hexadecimal(F.col("f"))).otherwise(F.transform(F.col("f"), lambda x: x.try_cast("double")))
-    return modelled(rows.select("scan_id", "point_id", values.alias("v")), f)
+    return modelled(rows.select("scan_id", "point_id", *keep, values.alias("v")), f, keep)
 
 
-def modelled(rows: DataFrame, f: Format) -> DataFrame:
+def modelled(rows: DataFrame, f: Format, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (scan_id, point_id, v) in the columns of a format, as the point model."""
-    raw = rows.select("scan_id", "point_id", *[F.element_at("v", k + 1).alias(c) for k, c in enumerate(f.columns) if c != "_"])
+    raw = rows.select("scan_id", "point_id", *keep, *[F.element_at("v", k + 1).alias(c) for k, c in enumerate(f.columns) if c != "_"])
     if "type" in f.columns:
         raw = raw.withColumn("type", F.col("type").cast("int"))
     if f.valid:
         raw = raw.where(f.valid())
     x, y, z = f.axes(F.col("x"), F.col("y"), F.col("z"))
     out = raw.withColumns({"x": x, "y": y, "z": z})
-    return out.select(*[(F.col(c.name) if c.name in raw.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in schema.POINTS])
+    return out.select(*[(F.col(c.name) if c.name in raw.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in schema.POINTS], *keep)
 
 
 def read_zip(spark: SparkSession, path: str, fmt: str) -> DataFrame:
