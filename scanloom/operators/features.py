@@ -67,17 +67,20 @@ def panorama_normals(located: DataFrame, height: int, width: int, position: tupl
     """A normal for each pixel (scan_id, row, col) of a panorama with all its points (x, y, z, range): from the points of
     the pixel and of the four beside it, where they are at least three. (px, py, pz) is the pixel's farthest point.
 
-    A pixel's points meet as sums, and five pixels' sums are added up."""
+    A pixel's points meet as counts, means and covariances, and those of five pixels are put together around their common
+    mean: plain sums of squares lose digits with the number of points."""
     key = ["scan_id", "row", "col"]
     some = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    cells = located.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.struct("range", "point_id", "x", "y", "z")).alias("own"), *[F.sum(c).alias(f"s{c}") for c in "xyz"], *[F.sum(F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in some])
+    cells = located.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.struct("range", "point_id", "x", "y", "z")).alias("own"), *[F.avg(c).alias(f"u{c}") for c in "xyz"], *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in some])
     beside = F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))])
-    sums = ["n", *[f"s{c}" for c in "xyz"], *[f"s{a}{b}" for a, b in some]]
-    spread = cells.withColumn("o", F.explode(beside)).select("scan_id", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), *sums)
-    total = spread.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums])
+    parts = ["n", *[f"u{c}" for c in "xyz"], *COVARIANCES]
+    spread = cells.withColumn("o", F.explode(beside)).select("scan_id", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), *parts)
+    total = spread.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).groupBy(*key).agg(F.sum("n").alias("n"), F.collect_list(F.struct(*parts)).alias("parts"))
+    over = lambda f: F.aggregate("parts", F.lit(0.0), lambda s, q: s + q["n"] * f(q)) / F.col("n")
+    total = total.withColumns({f"u{c}": over(lambda q, c=c: q[f"u{c}"]) for c in "xyz"})
+    total = total.withColumns({f"c{a}{b}": over(lambda q, a=a, b=b: q[f"c{a}{b}"] + (q[f"u{a}"] - F.col(f"u{a}")) * (q[f"u{b}"] - F.col(f"u{b}"))) for a, b in some})
     both = total.join(cells.select(*key, F.col("own.point_id").alias("pid"), *[F.col(f"own.{c}").alias(f"p{c}") for c in "xyz"]), key).where("n >= 3")
-    each = both.select(*key, "pid", "n", "px", "py", "pz", *[(F.col(f"s{a}{b}") / F.col("n") - F.col(f"s{a}") / F.col("n") * F.col(f"s{b}") / F.col("n")).alias(f"c{a}{b}") for a, b in some])
-    return away_from(eigen(each), position)
+    return away_from(eigen(both.select(*key, "pid", "n", "px", "py", "pz", *COVARIANCES)), position)
 
 
 def adaptive_normals(points: DataFrame, k_min: int, k_max: int, radius: float) -> DataFrame:
