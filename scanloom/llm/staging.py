@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +41,14 @@ def _hadoop_path(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def relieved(spark: SparkSession) -> None:
+    """Gives back what the driver no longer needs. Its heap would otherwise grow to its limit over the many plans of a
+    pipeline and stay there, and shuffle files and broadcasts that nothing refers to would stay with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """df, written once to the shared folder and read back: its lineage ends there and a lost executor costs nothing.
 
@@ -50,6 +59,7 @@ def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     (df.coalesce(files) if files else df).write.options(**{"compression": "zstd", "parquet.block.size": ROW_GROUP}).parquet(path)
     fs, at = _hadoop_path(spark, path)
     fs.deleteOnExit(at)
+    relieved(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

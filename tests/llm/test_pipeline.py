@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from scanloom.llm import staging
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_jaccard_join import brute as components
 from tests.llm.test_line_dedup import brute as lines
@@ -69,3 +70,13 @@ def test_edges(spark, tmp_path):
             if name == "language_id":
                 assert out.where("text is null or text = ''").isEmpty()
             d = out
+
+
+def collections(spark) -> int:
+    return sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName())
+
+
+def test_staged_tables_relieve_the_driver(spark):
+    before = collections(spark)
+    assert staging.staged(spark.range(10), "ten", 1).count() == 10
+    assert collections(spark) > before
