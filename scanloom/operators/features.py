@@ -6,7 +6,7 @@ are solved together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,12 +55,30 @@ def normals(points: DataFrame, k: int, radius: float, position: tuple[float, flo
     return away_from(eigen(moments(near, "scan_id")), position)
 
 
-def nearest_moments(points: DataFrame, k: int, radius: float) -> DataFrame:
+def nearest_moments(points: DataFrame, k: int, radius: float, then: Callable[[DataFrame], DataFrame] = lambda m: m) -> DataFrame:
     """moments() of the k nearest of each point in its scan at any distance, itself among them; a scan with fewer points
-    gives all it has. The radius is where the search begins and changes no result."""
-    model = spatial.fewest(spatial.as_model(points, "scan_id"), k, ("scan_id",))
-    search = lambda p: spatial.k_nearest(p, model, k, radius, by=("scan_id",), summary=lambda near: moments(near, "scan_id"))
-    return spatial.by_place(spatial.as_probe(points, "scan_id"), search, ("scan_id",))
+    gives all it has. The radius is where the search begins and changes no result. then: what is made of the moments row by
+    row; it is done once for the copies at a place.
+
+    The search goes over places with their number of points. Where a place has k of them, they are the k nearest."""
+    by = ("scan_id",)
+    model = spatial.as_model(points, *by)
+    places = model.groupBy(*spatial.M, *by).agg(F.count("*").alias("copies")).withColumn("pid", F.monotonically_increasing_id()).checkpoint()
+    asked = places.withColumns({f"p{c}": F.col(f"m{c}") for c in "xyz"}).drop(*spatial.M)
+
+    def search(probe: DataFrame) -> DataFrame:
+        return moments(spatial.k_nearest_places(probe.drop("copies"), places.drop("pid"), model, k, radius, by), *by)
+
+    def answer(probe: DataFrame) -> DataFrame:
+        if "copies" not in probe.columns:
+            return then(search(probe))
+        full = probe.where(F.col("copies") >= k)
+        none = {f"c{a}{b}": F.lit(0.0) for i, a in enumerate("xyz") for b in "xyz"[i:]}
+        same = full.select("pid", *by, F.lit(k).cast("long").alias("n"), *spatial.P, *[F.col(f"p{c}").alias(f"avg_{c}") for c in "xyz"], *[v.alias(c) for c, v in none.items()])
+        others = probe.where(F.col("copies") < k)
+        return then(same if others.isEmpty() else same.unionByName(search(others)))
+
+    return spatial.by_place(spatial.as_probe(points, *by), answer, by, places=asked)
 
 
 def panorama_normals(located: DataFrame, height: int, width: int, position: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
