@@ -135,18 +135,35 @@ def shape_features(e: DataFrame) -> DataFrame:
     })
 
 
-def density_features(pairs: DataFrame, copies: str | None = None) -> DataFrame:
-    """Per probe, from its neighbours: count, radius, density, height range and variance, and their plane twins. A row
-    stands for so many neighbours at one place as the column `copies` says."""
+def density_parts(pairs: DataFrame, copies: str | None = None) -> DataFrame:
+    """Per probe what density_features() takes from its neighbours, of which a row stands for so many at one place as the
+    column `copies` says: numbers that can be put together over several places of a probe."""
     flat2 = F.pow(F.col("mx") - F.col("px"), 2) + F.pow(F.col("mz") - F.col("pz"), 2)
-    n = F.sum(copies) if copies else F.count("*")
     up = F.col("my") - F.col("py")
     each = F.col(copies) if copies else F.lit(1)
-    variance = F.greatest(F.sum(each * up * up) / n - F.pow(F.sum(each * up) / n, 2), F.lit(0.0))
-    out = pairs.groupBy("pid").agg(n.alias("n"), F.sqrt(F.max("d2")).alias("radius"), (F.max("my") - F.min("my")).alias("height_range"), variance.alias("height_variance"), F.sqrt(F.max(flat2)).alias("radius_2d"))
+    sums = [F.sum(each).alias("n"), F.sum(each * up).alias("up"), F.sum(each * up * up).alias("up2")]
+    return pairs.groupBy("pid").agg(*sums, F.max("d2").alias("d2"), F.max(flat2).alias("flat2"), F.min("my").alias("low"), F.max("my").alias("high"))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """density_parts() of ids from those of their places, which count `times` times."""
+    sums = [F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "up", "up2")]
+    return parts.groupBy("pid").agg(*sums, *[F.max(c).alias(c) for c in ("d2", "flat2", "high")], F.min("low").alias("low"))
+
+
+def densities(parts: DataFrame) -> DataFrame:
+    """Count, radius, density, height range and variance, and their plane twins."""
+    variance = F.greatest(F.col("up2") / F.col("n") - F.pow(F.col("up") / F.col("n"), 2), F.lit(0.0))
+    out = parts.select("pid", "n", F.sqrt("d2").alias("radius"), (F.col("high") - F.col("low")).alias("height_range"), variance.alias("height_variance"), F.sqrt("flat2").alias("radius_2d"))
     return out.withColumns({"density": F.col("n") / F.nullif(4 / 3 * F.pi() * F.pow("radius", 3), F.lit(0.0)), "density_2d": F.col("n") / F.nullif(F.pi() * F.pow("radius_2d", 2), F.lit(0.0))})
 
 
+def density_features(pairs: DataFrame, copies: str | None = None) -> DataFrame:
+    """Per probe, from its neighbours: count, radius, density, height range and variance, and their plane twins. A row
+    stands for so many neighbours at one place as the column `copies` says."""
+    return densities(density_parts(pairs, copies))
+
+
 def column_features(points: DataFrame, radius: float) -> DataFrame:
     """Per point, over all points nearer than the radius to the vertical line through it: count, height range and
     variance, and its height above the lowest. A grid join in the plane: the vertical is put aside."""
