@@ -9,13 +9,18 @@ through one Arrow batch function only if a file has them. Files inside zip archi
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import csv
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types
@@ -76,11 +81,13 @@ def register(name: str, fmt: Format) -> None:
     FORMATS[name] = fmt
 
 
+NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|0[xX][0-9a-fA-F]*\.?[0-9a-fA-F]*([pP][+-]?\d+)?|inf|nan)$"
+
+
 def _numbers(line: Column, n: int) -> tuple[Column, Column]:
     """(fields of a line, whether it is a line of n numbers): whitespace between, `#` starts a comment."""
     fields = F.split(F.trim(F.regexp_replace(F.regexp_replace(line, "#.*$", ""), r"[\s]+", " ")), " ")
-    number = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|0[xX][0-9a-fA-F]*\.?[0-9a-fA-F]*([pP][+-]?\d+)?|inf|nan)$"
-    return fields, (F.size(fields) == n) & F.forall(fields, lambda x: x.rlike(number))
+    return fields, (F.size(fields) == n) & F.forall(fields, lambda x: x.rlike(NUMBER))
 
 
 @F.pandas_udf(types.ArrayType(types.DoubleType()))
@@ -304,6 +311,124 @@ def lines(points: DataFrame, fmt: str, hexadecimal: bool = False, keep: tuple[st
     return points.select("scan_id", *keep, F.concat_ws(" ", *[text(c) for c in f.columns]).alias("value"))
 
 
+def _written(v: pa.Array) -> pa.Array:
+    """Numbers as text that reads as the same numbers; a number that is there often is written once."""
+    coded = v.dictionary_encode()
+    if 4 * len(coded.dictionary) > len(v):
+        return pc.cast(v, pa.string())
+    return pa.array([repr(x) for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+def line_batches(table: pa.Table, names: Sequence[str]) -> Iterator[tuple[str, pa.Array]]:
+    """(format, lines) of a batch of points: lines() with numbers that several formats have alike written once. Only the digits of very
+    large and very small numbers and of whole ones may look otherwise than there."""
+    xyz = [table.column(c) for c in XYZ]
+    missing = any(c.null_count for c in xyz)
+    xyz = [c.to_numpy() for c in xyz]
+    texts: dict[tuple, pa.Array] = {}
+    for name in names:
+        f, line = FORMATS[name], []
+        for c in f.columns:
+            key = (f.axes if c in XYZ else None, c)
+            if key not in texts:
+                v = pa.array(_BACK[f.axes](*xyz)[XYZ.index(c)], from_pandas=missing) if c in XYZ else pa.array(np.zeros(len(table), np.int64)) if c == "_" else table.column(c).combine_chunks()
+                texts[key] = _written(v)
+            line.append(texts[key])
+        yield name, pc.binary_join_element_wise(*line, " ", null_handling="skip")
+
+
+def _decimals(lines: pa.StringArray, n: int) -> list[np.ndarray] | None:
+    """The columns of lines of n finite decimal numbers with a space between; None if some line is not of that kind."""
+    if not len(lines):
+        return [np.zeros(0)] * n
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_buffer()
+    names = [str(k) for k in range(n)]
+    convert = csv.ConvertOptions(column_types=dict.fromkeys(names, pa.float64()), null_values=[], strings_can_be_null=False)
+    try:
+        table = csv.read_csv(pa.BufferReader(text), csv.ReadOptions(use_threads=False, column_names=names), csv.ParseOptions(delimiter=" ", quote_char=False, ignore_empty_lines=False), convert)
+    except pa.ArrowInvalid:
+        return None
+    values = [c.to_numpy() for c in table.columns]
+    return values if table.num_rows == len(lines) and all(np.isfinite(v).all() for v in values) else None
+
+
+def read_lines(lines: pa.StringArray, ids: np.ndarray, fmt: str, file: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(columns of the point model, numbers of the lines that are points) as parsed() has them, before any filter of the format."""
+    f = FORMATS[fmt]
+    values, kept = _decimals(lines, len(f.columns)), np.arange(len(lines))
+    if values is None:
+        number, rows, kept = re.compile(NUMBER, re.ASCII), [], []
+        for k, line in enumerate(lines.to_pylist()):
+            text = re.sub("#.*$", "", line)
+            fields = re.sub(r"\s+", " ", text, flags=re.ASCII).strip(" ").split(" ")
+            if len(fields) == len(f.columns) and all(number.match(v) for v in fields):
+                rows.append([float.fromhex(v) if "x" in v.lower() else float(v) for v in fields])
+                kept.append(k)
+            elif text.strip(" ") and ids[k] >= HEADER_LINES:
+                raise ValueError(f"not a line of points in {file}: {line}")
+        values, kept = list(np.array(rows, float).reshape(-1, len(f.columns)).T), np.array(kept, int)
+    raw = {c: v for c, v in zip(f.columns, values, strict=True) if c != "_"}
+    raw |= dict(zip(XYZ, f.axes(*[raw[c] for c in XYZ]), strict=True))
+    kinds = {c.name: c.dataType for c in schema.POINTS}
+    return {c: _cast(v, kinds[c]) for c, v in raw.items()}, kept
+
+
+def _cast(v: np.ndarray, kind: types.DataType) -> np.ndarray:
+    if isinstance(kind, (types.ShortType, types.IntegerType)):
+        bound = np.iinfo(np.int16 if isinstance(kind, types.ShortType) else np.int32)
+        v = np.trunc(v)
+        if not ((v >= bound.min) & (v <= bound.max)).all():
+            raise OverflowError(f"not a {kind.simpleString()}")
+        return v.astype(bound.dtype)
+    return v.astype(np.float32) if isinstance(kind, types.FloatType) else v
+
+
+def _decimal(v: np.ndarray) -> np.ndarray:
+    """Doubles of the numbers that the digits of a column say."""
+    if v.dtype != np.float32:
+        return v.astype(float)
+    coded = pa.array(v).dictionary_encode()
+    return np.array([float(str(x)) for x in coded.dictionary.to_numpy()])[coded.indices.to_numpy()]
+
+
+#: Batches of points whose lines are read at once.
+BATCHES = 8
+
+
+def read_back(points: DataFrame, names: Sequence[str], channels: Sequence[str]) -> DataFrame:
+    """(format, scan_id, n, sums of x, y, z and the channels): each point is written as a line of each format and read again, in one
+    pass over the points. A filter of a format may look at the type."""
+    out = [*XYZ, *channels]
+    filtered = [name for name in names if FORMATS[name].valid]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = iter(batches)
+        while some := list(islice(batches, BATCHES)):
+            table = pa.Table.from_batches(some).combine_chunks()
+            scans = table.column("scan_id").combine_chunks().dictionary_encode(null_encoding="encode")
+            code, ids = scans.indices.to_numpy(), table.column("point_id").fill_null(HEADER_LINES).to_numpy()
+            rows = []
+            for name, lines in line_batches(table, names):
+                read, kept = read_lines(lines, ids, name, "memory")
+                of = code[kept]
+                kinds, kind = np.unique(read["type"], return_inverse=True) if name in filtered else ([None], 0)
+                of = of * len(kinds) + kind
+                n = np.bincount(of, minlength=len(scans.dictionary) * len(kinds))
+                sums = {c: np.bincount(of, _decimal(read[c]), len(n)).tolist() for c in out if c in read}
+                for k in np.flatnonzero(n).tolist():
+                    scan, type_ = scans.dictionary[k // len(kinds)].as_py(), kinds[k % len(kinds)]
+                    rows.append({"format": name, "scan_id": scan, "type_": None if type_ is None else int(type_), "n": int(n[k])} | {c: sums[c][k] if c in sums else None for c in out})
+            kind = pa.schema([("format", pa.string()), ("scan_id", scans.dictionary.type), ("type_", pa.int32()), ("n", pa.int64()), *[(c, pa.float64()) for c in out]])
+            yield pa.RecordBatch.from_pylist(rows, kind)
+
+    numbers = [F.col(c).cast("double") if points.schema[c].dataType.typeName() == "decimal" else F.col(c) for c in out]
+    sums = points.select("scan_id", "point_id", *[v.alias(c) for v, c in zip(numbers, out, strict=True)]).mapInArrow(run, f"format string, scan_id {points.schema['scan_id'].dataType.simpleString()}, type_ int, n long, " + ", ".join(f"{c} double" for c in out))
+    for name in filtered:
+        right = sums.select(F.col("type_").alias("type"), F.struct("*").alias("s")).where((F.col("s.format") != name) | FORMATS[name].valid())
+        sums = right.select("s.*")
+    return sums.groupBy("format", "scan_id").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in out])
+
+
 def write(points: DataFrame, path: str, fmt: str, hexadecimal: bool = False) -> None:
     """A folder scan_id=N of text parts for each scan; parts stay parallel, point order in them is the input's."""
     lines(points, fmt, hexadecimal).write.partitionBy("scan_id").text(path)

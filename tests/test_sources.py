@@ -131,3 +131,31 @@ def test_registered_format(spark, tmp_path):
     formats.register("swapped", formats.Format(("z", "y", "x")))
     r = formats.read(spark, write(tmp_path / "scan009.3d", "3 2 1"), "swapped").select(F.col("x"), F.col("z")).first()
     assert (r.x, r.z) == (1, 3)
+
+
+def test_batches_of_lines_are_read_as_files_are(spark):
+    plain = ["1.5 2 -3", "0.001 1e7 2.5E-9"]
+    odd = ["head", "7.25\t0  -1", "# a comment", "", " 8.5 +3 6.5e-9 # inline", "0x1.8p1 -0x10 .5", "inf 1 nan", "4 5 6"]
+    for lines in (plain, odd, []):
+        read, kept = formats.read_lines(formats.pa.array(lines, formats.pa.string()), np.arange(len(lines)), "xyz", "memory")
+        rows = spark.createDataFrame([(0, k, "memory", line) for k, line in enumerate(lines)], "scan_id int, point_id long, file string, line string")
+        want = sorted(map(tuple, formats.parsed(rows, "xyz").select("point_id", "x", "y", "z").collect()))
+        assert repr(want) == repr([tuple(r) for r in zip(kept.tolist(), *[read[c].tolist() for c in "xyz"], strict=True)])
+    for late in ("1 2", "1 2 Infinity", "1 2 3 4", "1 2 3\n4 5 6"):
+        with pytest.raises(ValueError, match="not a line of points"):
+            formats.read_lines(formats.pa.array(["1 2 3", late]), np.array([10, 11]), "xyz", "memory")
+
+
+def test_batches_of_lines_are_those_of_files(spark):
+    points = spark.createDataFrame([(0, 1.5 * k, 0.25 - k, 7.1 * k, 5, 0.5) for k in range(1, 40)], "scan_id int, x double, y double, z double, type int, reflectance double")
+    names = ["uosr", "xyzr", "ptsr", "uosc", "rts", "ks"]
+    for name, lines in formats.line_batches(points.toArrow().combine_chunks(), names):
+        want = [r.value for r in formats.lines(points, name).collect()]
+        assert [[float(v) for v in line.split(" ")] for line in lines.to_pylist()] == [[float(v) for v in line.split(" ")] for line in want]
+
+
+def test_all_formats_read_the_points_once(spark):
+    from scanloom.plans import more_queries
+
+    plan = more_queries.text_formats(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "ExistingRDD" not in plan
